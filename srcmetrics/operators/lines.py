@@ -35,7 +35,6 @@ def span_loc(spans: DataFrame, line_rows: DataFrame) -> DataFrame:
     valid = spans.filter((F.col("start_line") > 0) & (F.col("end_line") > 0))
     edges = valid.select(
         *FILE,
-        F.monotonically_increasing_id().alias("_id"),
         span.alias("span"),
         F.explode(
             F.array(
@@ -43,7 +42,7 @@ def span_loc(spans: DataFrame, line_rows: DataFrame) -> DataFrame:
                 F.struct(F.col("end_line").alias("at"), F.lit(2).alias("phase")),
             )
         ).alias("edge"),
-    ).select(*FILE, "_id", "span", "edge.at", "edge.phase", F.lit(0).alias("nb"))
+    ).select(*FILE, "span", "edge.at", "edge.phase", F.lit(0).alias("nb"))
     counted = line_rows.select(
         *FILE,
         F.col("line_no").alias("at"),
@@ -55,9 +54,11 @@ def span_loc(spans: DataFrame, line_rows: DataFrame) -> DataFrame:
     return (
         edges.unionByName(counted, allowMissingColumns=True)
         .withColumn("seen", F.sum("nb").over(running))
-        .filter(F.col("_id").isNotNull())
-        .groupBy(*FILE, "_id")
-        .agg(F.first("span").alias("span"), F.sum(signed).cast("bigint").alias("loc"))
+        .filter(F.col("span").isNotNull())
+        .groupBy(*FILE, "span")
+        .agg(F.sum(signed).alias("sum"), (F.count("*") / 2).cast("int").alias("copies"))
+        .withColumn("loc", (F.col("sum") / F.col("copies")).cast("bigint"))
         .filter(F.col("loc") > 0)
+        .withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies"))))
         .select(*FILE, "span.*", "loc")
     )
