@@ -13,7 +13,8 @@ from srcmetrics.functions import paths as p
 from srcmetrics.functions.text import decode_text
 from srcmetrics.operators import detect, ignore, lines, offenders, rank, report, select, structure, summary, tree
 from srcmetrics.operators.csharp_items import TOP_LEVEL, csharp_items
-from srcmetrics.operators.rust_items import rust_items
+from srcmetrics.operators.rust_items import block_parent, rust_items
+from srcmetrics.operators.skew import checkpointed
 from srcmetrics.options import ScanOptions
 from srcmetrics.sources.corpus import as_file_root
 
@@ -83,8 +84,6 @@ def _bracket_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _block_parent(spark: SparkSession, sf: str) -> DataFrame:
-    from srcmetrics.operators.rust_items import block_parent
-
     return block_parent(c.nested_files(spark, sf)).drop("ord", "level")
 
 
@@ -120,12 +119,14 @@ def _top(spark: SparkSession, sf: str) -> DataFrame:
     return rank.top_functions(_rust(spark, sf))
 
 
-def _offending_files(spark: SparkSession, sf: str) -> DataFrame:
-    return offenders.offending_files(_rust_loc(spark, sf), _rust(spark, sf), FILE_LIMIT, FN_LIMIT)
+def _offending_files(spark: SparkSession, sf: str, items: DataFrame | None = None) -> DataFrame:
+    items = _rust(spark, sf) if items is None else items
+    return offenders.offending_files(_rust_loc(spark, sf), items, FILE_LIMIT, FN_LIMIT)
 
 
 def _offender_items(spark: SparkSession, sf: str) -> DataFrame:
-    return offenders.offender_items(_rust(spark, sf), _offending_files(spark, sf), FN_LIMIT).select(*ITEM)
+    items = checkpointed(_rust(spark, sf))  # read twice below
+    return offenders.offender_items(items, _offending_files(spark, sf, items), FN_LIMIT).select(*ITEM)
 
 
 def _totals(spark: SparkSession, sf: str) -> DataFrame:
@@ -138,7 +139,7 @@ def _totals(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _summary(spark: SparkSession, sf: str) -> DataFrame:
-    items = _rust(spark, sf)
+    items = checkpointed(_rust(spark, sf))  # read twice below
     return summary.file_summary(_rust_loc(spark, sf), items, rank.top_functions(items))
 
 

@@ -59,11 +59,22 @@ class Lexicon:
         return "|".join(parts)
 
     extra: str = ""
+    plain_ahead: str = ""  # lookahead: no definition begins here
 
     @property
     def chunk(self) -> str:
         return rf"(?:{self.piece(GROUP_DEPTH)})++[;{{}}()\[\]]?|[;{{}}()\[\]]"
 
+    @property
+    def merged_chunk(self) -> str:
+        """Chunks that run on over ``;`` between statements that declare nothing.
+        What follows a closer may end a definition and still stops at its ``;``."""
+        inside, alone = self.piece(GROUP_DEPTH), self.piece(GROUP_DEPTH)
+        end = r"[;{}()\[\]]"
+        return (
+            rf"(?<![}})\]]){self.plain_ahead}(?:{inside}|;{self.plain_ahead})++{end}?|(?:{alone})++{end}?|{end}"
+        )
+
     @property
     def token(self) -> str:
         """One comment, one literal, one run of other text or one character."""
@@ -90,6 +101,14 @@ def _csharp_strings() -> str:
 
 _STATEMENT_FREE_BRACES = r"|\{(?:[^{}()\[\];\"'/#]++|\((?:[^{}()\[\];\"'/#])*+\))*+\}"
 
+# Words that can begin a Rust definition; `#` begins an attribute.
+_RUST_HEAD_WORDS = r"(?:#|(?:pub|fn|struct|enum|trait|impl|const|static|unsafe|async|extern|default|auto|safe)\b)"
+# A C# assignment, complete call or keyword statement.
+_CS_PLAIN_START = (
+    r"(?:[\w.]++\s*+(?:[-+*/%&|^?]{0,2}=(?![=>])|\+\+|--|\([^(){};\"'/]*+\)\s*+;)"
+    r"|(?:return|throw|break|continue|yield|goto|if|for|foreach|while|switch|try|lock|case|do|var)\b)"
+)
+
 RUST = Lexicon(
     run=r"""[^"'/(){}\[\];#]++""",
     comments=rf"//[^\n]*+|{_block_comment(6)}",
@@ -97,6 +116,7 @@ RUST = Lexicon(
     loose="[#'/]",
     in_brackets=rf"|;{_STATEMENT_FREE_BRACES}",
     extra=r"(?<=[<,]\s{0,4})\{[^{}();\"']*+\}(?=\s*[,>])",  # const generic argument
+    plain_ahead=rf"(?!(?:\s++|//[^\n]*+|{_block_comment(6)})*+{_RUST_HEAD_WORDS})",
 )
 
 CSHARP = Lexicon(
@@ -105,6 +125,7 @@ CSHARP = Lexicon(
     strings=_csharp_strings,
     loose="[$@'/]",
     in_brackets=rf"|;{_STATEMENT_FREE_BRACES}",
+    plain_ahead=rf"(?=(?:\s++|//[^\n]*+)*+{_CS_PLAIN_START})",
 )
 
 LEXICONS = {"rust": RUST, "csharp": CSHARP}
@@ -155,6 +176,14 @@ _CS_GROUP1 = r"\[(?:[^\[\]\"]++|\"(?:[^\"\\]++|\\.)*+\"|\[(?:[^\[\]]++|\[[^\[\]]
 CS_LEAD = rf"^(?:\s++|{CS_COMMENT}|(?=\[\s*(?:assembly|module)\s*:){_CS_GROUP1})*+"
 CS_PREFIX = rf"{CS_LEAD}(?:\s++|{CS_COMMENT}|{_CS_GROUP1})*+"
 
+# Text that begins, after directives, with a namespace or a type: C# allows no
+# statements at the top of such a file.
+CS_TYPES_FIRST = (
+    rf"^(?:\s++|{CS_COMMENT}|{_CS_GROUP1}|(?:global\s+)?using\s[^;({{]*+;|extern\s+alias\s[^;]*+;)*+"
+    r"(?:(?:public|internal|static|sealed|abstract|partial|readonly|unsafe|ref|file)\s++)*+"
+    r"(?:namespace|class|struct|interface|enum|record|delegate)\b"
+)
+
 # Words that can stand before a member's type.
 _CS_MODIFIER_WORDS = (
     "public|private|protected|internal|static|sealed|abstract|partial|readonly|unsafe"
@@ -162,39 +191,45 @@ _CS_MODIFIER_WORDS = (
 )
 CS_MODIFIERS = rf"^(?:(?:{_CS_MODIFIER_WORDS})\b\s*+)*+"
 CS_NAME = r"@?\w+"
-_CS_PARENS = r"\((?:[^()]|\((?:[^()]|\([^()]*+\))*+\))*+\)"
-# Reluctant: the shortest type text after which the rest of the pattern fits.
-_CS_TYPE = rf"(?:[\w.?\[\],\s<>*&@]|::|{_CS_PARENS})+?"
-_CS_GENERIC = r"(?:<[^(){}=;]*>)?"
-_CS_QUALIFIER = r"(?:[\w.<>,\s]+\.\s*)?"
-
-CS_TYPE_DECL = (
-    rf"{CS_MODIFIERS}(class|struct|interface|enum|record(?:\s+(?:class|struct))?)\s+({CS_NAME})"
+
+
+def _balanced(open_: str, close: str, inside: str, depth: int) -> str:
+    inner = rf"|{_balanced(open_, close, inside, depth - 1)}" if depth else ""
+    return rf"{open_}(?:{inside}{inner})*+{close}"
+
+
+# Round groups, type arguments, and array or nullable marks, to be taken out so
+# that what is left of a signature is words, `()` and the sign that ends it.
+CS_PARENS = _balanced(r"\(", r"\)", "[^()]", 5)
+CS_TYPE_ARGUMENTS = _balanced("<", ">", r"[\w\s,.?\[\]():*@]", 5)
+CS_TYPE_MARKS = r"\s*\[[^\[\]]*+\]|[?*]"
+CS_INDEXER = r"^[^={;(]*?\bthis\s*\["
+
+# A statement that cannot declare anything: an assignment, a call, a keyword.
+CS_PLAIN = (
+    r"^(?:[\w.]+\s*(?:[-+*/%&|^?]{0,2}=(?![=>])|\+\+|--)|[\w.]+\s*\([^(){};]*+\)\s*;\z"
+    r"|(?:return|throw|break|continue|yield|goto|if|for|foreach|while|switch|else|do|try|catch|finally|lock|case)\b)"
 )
-CS_NAMESPACE = r"^namespace\s+[\w.@]+\s*[{;]\z"
-CS_DELEGATE = rf"{CS_MODIFIERS}delegate\s+{_CS_TYPE}\s+({CS_NAME})\s*{_CS_GENERIC}\s*\("
-CS_EVENT = rf"{CS_MODIFIERS}event\s+{_CS_TYPE}\s+{_CS_QUALIFIER}({CS_NAME})\s*(?:[;,={{]|\z)"
-CS_CONVERSION = rf"\b(implicit|explicit)\s+{_CS_QUALIFIER}operator\s+(?:checked\s+)?([^()]+?|{_CS_PARENS}[^()]*?)\s*\("
-CS_OPERATOR = r"\boperator\s*(?:checked\s+)?(true\b|false\b|[^\s\w()]+)\s*\("
-CS_INDEXER = rf"{CS_MODIFIERS}{_CS_TYPE}\s+{_CS_QUALIFIER}this\s*\["
-CS_DESTRUCTOR = rf"{CS_MODIFIERS}~\s*({CS_NAME})\s*\("
-CS_METHOD = rf"{CS_MODIFIERS}(?:{_CS_TYPE}\s+)?{_CS_QUALIFIER}({CS_NAME})\s*{_CS_GENERIC}\s*\("
-CS_PROPERTY = rf"{CS_MODIFIERS}{_CS_TYPE}\s+{_CS_QUALIFIER}({CS_NAME})\s*(?:\{{\z|=>)"
-CS_FIELD = rf"{CS_MODIFIERS}{_CS_TYPE}\s+({CS_NAME})\s*(?:=(?!>)|[;,\[])"
+CS_DECLARED = rf"^(class|struct|interface|enum|record|namespace|delegate|event|using)\b"
+CS_TYPE_NAME = rf"^(?:record\s+(?:class|struct)|\w+)\s+({CS_NAME})"
+CS_CONVERSION = r"\b(implicit|explicit)\s+(?:[\w.]+\.\s*)?operator\s+(?:checked\s+)?([^()]+?)\s*\("
+CS_OPERATOR = r"\boperator\s*(?:checked\s+)?(true\b|false\b|[^\s\w()]+)\s*\(\)"
+CS_CALL_NAME = rf"({CS_NAME})\s*\(\)"
+CS_FIRST_DECLARATOR = rf"^[^,]*?({CS_NAME})\s*(?:,|\z)"
+CS_LAST_NAME = rf"\W({CS_NAME})\s*\z"
 CS_CONST = rf"^(?:(?:{_CS_MODIFIER_WORDS})\s+)*?const\b"
 CS_STATIC = rf"^(?:(?:{_CS_MODIFIER_WORDS})\s+)*?static\b"
-CS_ACCESSOR = rf"{CS_MODIFIERS}(?:(?:public|private|protected|internal)\s+)*(get|set|init|add|remove)\s*(?:[{{;]\z|=>)"
-CS_ARROW = rf"^(?:[^(){{}}=]|=(?!>)|{_CS_PARENS})*+=>"
+CS_ACCESSOR = r"^(get|set|init|add|remove)\s*(?:[{;]\z|=>)"
+CS_SIGN = r"^[^={;]*+(=>|=|\{|;)"
 
 # Words that begin a statement, so no local function follows.
 _CS_NOT_TYPE = (
     "return|await|else|throw|yield|case|goto|in|is|as|when|if|while|for|foreach|switch"
-    "|using|lock|catch|fixed|do|try|finally|new|checked|unchecked|default|and|or|not|out|var\\s+\\w+\\s*="
+    "|using|lock|catch|fixed|do|try|finally|new|checked|unchecked|default|and|or|not|out"
 )
 _CS_NOT_NAME = "if|while|for|foreach|switch|using|lock|catch|fixed|when|nameof|typeof|sizeof|default|new|base|this"
 CS_LOCAL_FUNCTION = (
-    rf"^(?:(?:static|async|unsafe|extern)\s+)*+(?!(?:{_CS_NOT_TYPE})\b){_CS_TYPE}\s+"
-    rf"(?!(?:{_CS_NOT_NAME})\b)({CS_NAME})\s*{_CS_GENERIC}\s*{_CS_PARENS}\s*(?:where\b[^{{=;]*)?(?:\{{\z|=>)"
+    rf"^(?!(?:{_CS_NOT_TYPE})\b)(?:[\w.:@]++|\(\))\s*(?<=[\s)])(?!(?:{_CS_NOT_NAME})\b)({CS_NAME})\s*\(\)\s*(?:where\b|\z)"
 )
 CS_USING = r"^(?:global\s+)?using\s+(?:static\s+|unsafe\s+)*[\w.:@]+(?:\s*<[^;]*>)?\s*;\z|^(?:global\s+)?using\s+(?:unsafe\s+)?\w+\s*=\s*[^;]*;\z|^extern\s+alias\b"
 CS_BLOCK_STATEMENT = (

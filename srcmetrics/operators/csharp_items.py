@@ -21,6 +21,7 @@ from srcmetrics.operators.structure import (
     measured,
     nested,
     with_block_markers,
+    without_plain_statements,
 )
 
 TYPE_BLOCKS = ("type", "interface")
@@ -28,121 +29,179 @@ MEMBER_BLOCKS = ("property", "indexer", "event")
 TOP_LEVEL = "top-level statements"
 
 
+TYPE_SHAPES = ("class", "struct", "record", "interface", "enum")
+
+
 def _matches(text: Column, pattern: str) -> Column:
     return F.rlike(text, F.lit(pattern))
 
 
-def _shape_columns(rows: DataFrame) -> DataFrame:
-    """``shape``/``name``: what the chunk declares where members are allowed;
-    ``local_name``: the local function it declares where statements are."""
+def _first(text: Column, pattern: str) -> Column:
+    """First group of the first match, null where there is none."""
+    found = F.regexp_extract(text, pattern, 1)
+    return F.when(found != "", found)
+
+
+def _signatures(cut: DataFrame) -> DataFrame:
+    """Brings each possible head into one plain form, step by step.
+
+    ``head``  the chunk without attributes and comments;
+    ``flat``  the head without modifiers, with round groups as ``()`` and without
+              type arguments and array marks;
+    ``sign``  what ends the signature: ``{``, ``;``, ``=>`` or ``=``;
+    ``words`` what stands before it. Every pattern runs in one pass.
+    """
     chunk = F.col("chunk")
-    lead = F.regexp_extract(chunk, lx.CS_LEAD, 0)
-    bare = F.regexp_replace(F.regexp_replace(chunk, lx.CS_PREFIX, ""), lx.CS_COMMENT, " ")
-    rows = rows.select(
-        "*",
-        lead.alias("lead"),
-        F.when(F.col("term").isin("{", ";", "(", "["), F.trim(bare)).otherwise(F.lit("")).alias("head"),
-        F.when(F.col("closer"), F.lit("")).otherwise(bare).alias("code"),
+    may_head = F.col("term").isin("{", ";", "(", "[")
+    bare = F.regexp_replace(chunk, lx.CS_PREFIX, "")
+    commented = F.contains("_bare", F.lit("/")) | F.contains("_bare", F.lit("#"))
+    clean = F.when(commented, F.regexp_replace("_bare", lx.CS_COMMENT, " ")).otherwise(F.col("_bare"))
+    flat = F.regexp_replace(F.regexp_replace("_body", lx.CS_PARENS, "()"), lx.CS_TYPE_ARGUMENTS, "")
+    return (
+        cut.withColumn("_bare", F.when(F.col("closer"), F.lit("")).otherwise(bare))
+        .withColumn("head", F.trim(clean))
+        .withColumn("plain", ~may_head | (F.col("head") == "") | _matches(F.col("head"), lx.CS_PLAIN))
+        .withColumn("_body", F.when(~F.col("plain"), F.regexp_replace("head", lx.CS_MODIFIERS, "")))
+        .withColumn("flat", F.regexp_replace(flat, lx.CS_TYPE_MARKS, ""))
+        .withColumn("sign", _first(F.col("flat"), lx.CS_SIGN))
+        .withColumn("words", F.trim(F.regexp_extract("flat", r"^[^={;]*+", 0)))
     )
-    head = F.col("head")
-    word = F.regexp_extract(head, lx.CS_TYPE_DECL, 1)
-    block_or_end = F.col("term").isin("{", ";")
+
+
+def _shapes(rows: DataFrame) -> DataFrame:
+    """``shape``/``name``: what the head declares where members are allowed;
+    ``local_name``: the local function it declares where statements are."""
+    head, flat, words, sign = F.col("head"), F.col("flat"), F.col("words"), F.col("sign")
+    declared = _first(F.col("_body"), lx.CS_DECLARED)
+    rows = rows.withColumn("declared", declared).withColumn(
+        "operator", F.contains("_body", F.lit("operator")) & _matches(flat, lx.CS_OPERATOR)
+    ).withColumn(
+        "conversion", F.contains("_body", F.lit("operator")) & _matches(F.col("_body"), lx.CS_CONVERSION)
+    )
+    declared = F.col("declared")
+    called = F.contains(words, F.lit("()"))
+    two_words = _matches(words, r"\S\s+@?\w")
     shape = (
-        F.when(head == "", None)
-        .when((word != "") & block_or_end, F.regexp_extract(word, r"^\w+", 0))
-        .when(_matches(head, lx.CS_NAMESPACE), "namespace")
-        .when(_matches(head, lx.CS_DELEGATE) & (F.col("term") == ";"), "delegate")
-        .when(_matches(head, lx.CS_EVENT), "event")
-        .when(_matches(head, lx.CS_CONVERSION), "conversion")
-        .when(_matches(head, lx.CS_OPERATOR), "operator")
-        .when(_matches(head, lx.CS_INDEXER), "indexer")
-        .when(_matches(head, lx.CS_DESTRUCTOR), "destructor")
-        .when(_matches(head, lx.CS_PROPERTY), "property")
-        .when(_matches(head, lx.CS_FIELD), "field")
-        .when(_matches(head, lx.CS_METHOD), "method")
+        F.when(F.col("plain"), None)
+        .when(declared.isin(*TYPE_SHAPES) & F.col("term").isin("{", ";") & _matches(F.col("_body"), lx.CS_TYPE_NAME), declared)
+        .when(declared.isin("namespace", "delegate", "event"), declared)
+        .when(declared == "using", None)
+        .when(F.col("conversion"), "conversion")
+        .when(F.col("operator"), "operator")
+        .when(_matches(F.col("_body"), lx.CS_INDEXER), "indexer")
+        .when(F.startswith(words, F.lit("~")) & called, "destructor")
+        .when(called & ((sign != "=") | sign.isNull()), "method")
+        .when(two_words & sign.isin("{", "=>"), "property")
+        .when(two_words & sign.isin("=", ";"), "field")
     )
-    rows = rows.select("*", shape.alias("shape"))
+    rows = rows.withColumn("shape", shape)
     kind = F.col("shape")
+    call_name = F.regexp_extract(F.regexp_replace(words, r"^delegate\s+", ""), lx.CS_CALL_NAME, 1)
+    member_words = F.regexp_replace(words, r"^event\s+", "")
     name = (
-        F.when(kind.isin("class", "struct", "record", "interface", "enum"), F.regexp_extract(head, lx.CS_TYPE_DECL, 2))
-        .when(kind == "delegate", F.regexp_extract(head, lx.CS_DELEGATE, 1))
-        .when(kind == "event", F.regexp_extract(head, lx.CS_EVENT, 1))
+        F.when(kind.isin(*TYPE_SHAPES), F.regexp_extract("_body", lx.CS_TYPE_NAME, 1))
+        .when(kind.isin("delegate", "method"), call_name)
+        .when(kind.isin("event", "field"), F.regexp_extract(member_words, lx.CS_FIRST_DECLARATOR, 1))
         .when(
             kind == "conversion",
             F.concat(
-                F.regexp_extract(head, lx.CS_CONVERSION, 1),
+                F.regexp_extract("_body", lx.CS_CONVERSION, 1),
                 F.lit(" operator "),
-                F.trim(F.regexp_extract(head, lx.CS_CONVERSION, 2)),
+                F.trim(F.regexp_extract("_body", lx.CS_CONVERSION, 2)),
             ),
         )
-        .when(kind == "operator", F.concat(F.lit("operator "), F.regexp_extract(head, lx.CS_OPERATOR, 1)))
+        .when(kind == "operator", F.concat(F.lit("operator "), F.regexp_extract(flat, lx.CS_OPERATOR, 1)))
         .when(kind == "indexer", F.lit("this[]"))
-        .when(kind == "destructor", F.concat(F.lit("~"), F.regexp_extract(head, lx.CS_DESTRUCTOR, 1)))
-        .when(kind == "property", F.regexp_extract(head, lx.CS_PROPERTY, 1))
-        .when(kind == "field", F.regexp_extract(head, lx.CS_FIELD, 1))
-        .when(kind == "method", F.regexp_extract(head, lx.CS_METHOD, 1))
+        .when(kind == "destructor", F.concat(F.lit("~"), call_name))
+        .when(kind == "property", F.regexp_extract(words, lx.CS_LAST_NAME, 1))
     )
-    constness = F.when(_matches(head, lx.CS_CONST), "const").when(_matches(head, lx.CS_STATIC), "static")
-    local = F.regexp_extract(head, lx.CS_LOCAL_FUNCTION, 1)
-    accessor = F.regexp_extract(head, lx.CS_ACCESSOR, 1)
-    arrow = _matches(head, lx.CS_ARROW)
-    # A field value or an expression body may hold braces; both run to the `;`.
-    to_semicolon = (kind == "field") | (kind.isNotNull() & (kind != "field") & arrow)
-    code = F.trim(F.col("code"))
-    return rows.select(
+    constness = F.when(_matches(head, lx.CS_CONST), "const").when(_matches(head, lx.CS_STATIC), "static").otherwise("plain")
+    member_arrow = F.when(kind.isin("operator", "conversion"), _matches(flat, r"\(\)\s*=>")).otherwise(sign == "=>")
+    return rows.withColumn("arrow", F.coalesce(member_arrow, F.lit(False))).select(
         "*",
         name.alias("name"),
-        F.when(kind == "field", F.coalesce(constness, F.lit("plain"))).alias("field_kind"),
-        F.when(local != "", local).alias("local_name"),
-        F.when(accessor != "", accessor).alias("accessor"),
-        F.coalesce(to_semicolon, F.lit(False)).alias("to_semicolon"),
-        arrow.alias("arrow"),
-        # For statements at the top of a file.
-        F.when(_matches(code, lx.CS_CONTINUATION), "tail")
-        .when(_matches(code, lx.CS_WHILE_TAIL), "while")
-        .when(_matches(head, lx.CS_USING), "using")
-        .when(code.isin("", ";"), "empty")
-        .otherwise("code")
-        .alias("begins_as"),
-        F.when(_matches(head, lx.CS_DO), "do")
-        .when(_matches(head, lx.CS_BLOCK_STATEMENT) | ((local != "") & ~arrow), "block")
-        .alias("opens_as"),
+        F.when(kind == "field", constness).alias("field_kind"),
+        F.when(~F.col("plain") & called & (F.col("arrow") | (sign == "{")), _first(words, lx.CS_LOCAL_FUNCTION)).alias("local_name"),
+        F.when(~F.col("plain"), _first(F.col("_body"), lx.CS_ACCESSOR)).alias("accessor"),
+        # A field value or an expression body may hold braces; both run to the `;`.
+        (F.coalesce(kind == "field", F.lit(False)) | (kind.isNotNull() & F.col("arrow"))).alias("to_semicolon"),
+    )
+
+
+def _statement_marks(rows: DataFrame) -> DataFrame:
+    """How a chunk begins and what kind of block it opens, for statements at the
+    top of a file."""
+    head = F.col("head")
+    word = F.regexp_extract(head, r"^[A-Za-z]++", 0)
+    begins_as = (
+        F.when(word.isin("else", "catch", "finally"), "tail")
+        .when((word == "while") & (F.col("term") == ";"), "while")
+        .when(word.isin("using", "global", "extern") & _matches(head, lx.CS_USING), "using")
+        .when(head.isin("", ";"), "empty")
+    )
+    opens_as = F.when(
+        F.col("opener"),
+        F.when(word == "do", "do").when(F.col("local_name").isNotNull() & ~F.col("arrow"), "block").when(
+            _matches(head, lx.CS_BLOCK_STATEMENT), "block"
+        ),
     )
+    return rows.select("*", begins_as.alias("begins_as"), opens_as.alias("opens_as"))
+
+
+HEAD_FIELDS = [
+    "shape", "name", "field_kind", "local_name", "accessor", "to_semicolon", "arrow", "begins_as", "opens_as",
+]
 
 
 def csharp_rows(files: DataFrame) -> DataFrame:
     """Structural rows of C# files with shapes, one level window applied."""
-    cut = chunks(files, "csharp").withColumn("closer", F.col("term").isin("}", ")", "]"))
-    keep = ["shape", "name", "field_kind", "local_name", "accessor", "to_semicolon", "arrow", "begins_as", "opens_as"]
-    rows = nested(measured(_shape_columns(cut), F.col("lead"), [F.col(c) for c in keep]))
+    cut = chunks(files, "csharp").withColumns(
+        {"closer": F.col("term").isin("}", ")", "]"), "opener": F.col("term").isin(*OPENERS)}
+    )
+    marked = _statement_marks(_shapes(_signatures(cut)))
+    anything = F.coalesce("shape", "local_name", "accessor", "begins_as", "opens_as").isNotNull()
+    rows = measured(marked, lx.CS_LEAD, F.when(anything, F.struct(*HEAD_FIELDS)))
+    rows = without_plain_statements(nested(rows))
     w = level_window()
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     at_level = ~F.col("marker")
-    kind = F.col("shape")
+    head = F.col("head")
+    kind = head["shape"]
+    no = F.lit(False)
+    arrow, to_semicolon = F.coalesce(head["arrow"], no), F.coalesce(head["to_semicolon"], no)
     block = (
         F.when(F.col("term") != "{", "code")
         .when(kind.isin("class", "struct", "record"), "type")
         .when(kind.isin("interface", "enum", "namespace"), kind)
-        .when(kind.isin(*MEMBER_BLOCKS) & ~F.col("arrow"), "member")
+        .when(kind.isin(*MEMBER_BLOCKS) & ~arrow, "member")
         .otherwise("code")
     )
     own = F.struct(
-        "shape", "name", "field_kind", "local_name", "accessor", "pos", "cum0", "start_line", "arrow"
+        *[head[f].alias(f) for f in ("shape", "name", "field_kind", "local_name", "accessor")],
+        "pos",
+        "cum0",
+        "start_line",
     )
-    waits = F.col("opener") & (F.col("to_semicolon") | F.col("arrow") | (F.col("term") != "{"))
-    mark = F.when(at_level & waits & (kind.isNotNull() | F.col("local_name").isNotNull() | F.col("accessor").isNotNull()),
-                  F.struct(F.lit(True).alias("open"), own.alias("h"))).when(
-        at_level & (F.col("term") == ";"), F.struct(F.lit(False).alias("open"), own.alias("h"))
-    )
-    own_parent = F.when(F.col("marker"), F.struct(block.alias("kind"), "name"))
-    return (
+    declares = F.coalesce(head["shape"], head["local_name"], head["accessor"]).isNotNull()
+    waits = F.col("opener") & declares & (to_semicolon | arrow | (F.col("term") != "{"))
+    nothing = F.struct(F.lit(None).cast(
+        "struct<shape:string,name:string,field_kind:string,local_name:string,accessor:string,"
+        "pos:int,cum0:bigint,start_line:int>"
+    ).alias("h"))
+    mark = F.when(at_level & waits, F.struct(own.alias("h"))).when(at_level & (F.col("term") == ";"), nothing)
+    own_parent = F.when(F.col("marker"), F.struct(block.alias("kind"), head["name"].alias("name")))
+    rows = (
         with_block_markers(rows)
         .withColumn("h0", own)
         .withColumn("block", block)
+        .withColumn("by_block", (F.col("term") == "{") & ~to_semicolon & ~arrow)
         .withColumn("parent", F.last(own_parent, ignorenulls=True).over(before))
-        .withColumn("waiting", F.last(mark, ignorenulls=True).over(before))
+        .withColumn("waiting", F.last(mark, ignorenulls=True).over(before)["h"])
         .withColumn("close_cum", F.when(F.col("opener"), F.lead("cum1").over(w)))
         .withColumn("close_line", F.when(F.col("opener"), F.lead("end_line").over(w)))
+    )
+    return (
+        _top_level_statements(rows)
         .filter(at_level)
         .withColumn("parent_kind", F.coalesce(F.col("parent.kind"), F.lit("file")))
     )
@@ -151,13 +210,8 @@ def csharp_rows(files: DataFrame) -> DataFrame:
 def _declared(rows: DataFrame) -> DataFrame:
     """Finished definitions: the head ``h``, what it is (``role``), and its end."""
     ends = F.col("term") == ";"
-    begins = F.col("term") == "{"
-    by_block = begins & ~F.col("to_semicolon") & ~F.col("arrow")
-    head = (
-        F.when(by_block, F.col("h0"))
-        .when(ends & F.col("waiting.open"), F.col("waiting.h"))
-        .when(ends, F.col("h0"))
-    )
+    by_block = F.col("by_block")
+    head = F.when(by_block, F.col("h0")).when(ends, F.coalesce("waiting", "h0"))
     rows = rows.withColumn("h", head)
     h, parent = F.col("h"), F.col("parent_kind")
     holds_types = parent.isin("file", "namespace", *TYPE_BLOCKS)
@@ -183,140 +237,137 @@ def _declared(rows: DataFrame) -> DataFrame:
     )
 
 
+def _top_level_statements(rows: DataFrame) -> DataFrame:
+    """Adds ``statement_loc`` on the last row of each statement at the top of a file.
+
+    At level 0 a statement begins after a ``;``, or after a ``}`` that closed a
+    block unless what follows goes on with it (``else``, ``catch``, ``while`` ...).
+    """
+    w = level_window()
+    opened_as = F.last(
+        F.when(
+            F.col("opener"),
+            F.when(F.col("block").isin("type", "interface", "enum", "namespace"), "block").otherwise(
+                F.coalesce("head.opens_as", F.lit("value"))
+            ),
+        ),
+        ignorenulls=True,
+    ).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    follows = F.coalesce("head.begins_as", F.lit("code"))
+    starts = (
+        F.col("_prev_term").isNull()
+        | (F.col("_prev_term") == ";")
+        | (
+            (F.col("_prev_term") == "}")
+            & F.col("_opened_as").isin("block", "do")
+            & (follows != "tail")
+            & ~((follows == "while") & (F.col("_opened_as") == "do"))
+        )
+    )
+    declares = F.col("head.shape").isin(*TYPE_SHAPES, "delegate", "namespace") | follows.isin("using", "empty")
+    first = F.when(
+        F.col("_starts"),
+        F.struct("cum0", "start_line", F.coalesce(declares, F.lit(False)).alias("declares")),
+    )
+    ground = (F.col("level") == 0) & (F.col("term") != "")
+    last = F.coalesce(F.lead("_starts").over(w), F.lit(True)) | (F.lead("term").over(w) == "")
+    return (
+        rows.withColumn("_prev_term", F.lag("term").over(w))
+        .withColumn("_opened_as", opened_as)
+        .withColumn("_starts", ground & starts)
+        .withColumn("_first", F.last(first, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn(
+            "statement_loc",
+            F.when(ground & last & ~F.col("_first.declares"), F.col("cum1") - F.col("_first.cum0") + 1),
+        )
+        .withColumn("statement_line", F.col("_first.start_line"))
+        .drop("_prev_term", "_opened_as", "_starts", "_first")
+    )
+
+
 def _with_context(rows: DataFrame) -> DataFrame:
     """Adds, in file order, the member an accessor belongs to and whether the
-    outermost block is a statement (whose content is not looked into)."""
-    here = file_window().rowsBetween(Window.unboundedPreceding, 0)
+    outermost block is a statement (whose content is not looked into); gives the
+    first statement of a file the sum over all of them."""
+    ordered = file_window()
+    here = ordered.rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy(*FILE)
     member = F.when(
         F.col("role").isin("with_accessors", "event"),
         F.struct(F.col("h.name").alias("name"), F.col("parent").alias("owner")),
     )
     outermost = F.when((F.col("level") == 0) & F.col("opener"), F.col("block").isin("type", "interface", "namespace"))
+    is_statement = F.col("statement_loc").isNotNull()
+    role = (
+        F.when(F.col("role").isNotNull(), F.col("role"))
+        .when(is_statement & (F.col("_statement") == 1) & (F.col("statements_loc") > 0), "statements")
+        .when(F.col("term") == "", "file")
+    )
     return (
-        rows.filter(F.col("role").isNotNull() | ((F.col("level") == 0) & F.col("opener")))
+        rows.filter(
+            F.col("role").isNotNull()
+            | is_statement
+            | ((F.col("level") == 0) & F.col("opener"))
+            | (F.col("term") == "")
+        )
         .withColumn("member", F.last(member, ignorenulls=True).over(here))
         .withColumn("in_declaration", F.last(outermost, ignorenulls=True).over(here))
+        .withColumn("_statement", F.sum(F.when(is_statement, 1)).over(here))
+        .withColumn("statements_loc", F.sum("statement_loc").over(whole))
+        .withColumn("statements_end", F.max(F.when(is_statement, F.col("end_line"))).over(whole))
+        .withColumn("role", role)
         .filter(F.col("role").isNotNull())
     )
 
 
-def _member_items(rows: DataFrame) -> DataFrame:
-    found = _with_context(_declared(rows)).filter(
+def csharp_items(files: DataFrame, with_files: bool = False) -> DataFrame:
+    """Items of C# files; ``with_files`` adds one ``file`` row per file."""
+    found = _with_context(_declared(csharp_rows(files))).filter(
         (F.col("role") != "with_accessors") & ((F.col("role") != "local") | F.col("in_declaration"))
     )
+    if not with_files:
+        found = found.filter(F.col("role") != "file")
     role, h = F.col("role"), F.col("h")
-    owner = F.when(role == "accessor", F.col("member.owner")).otherwise(F.col("parent"))
+    summed = role == "statements"
+    owner = F.when(role == "accessor", F.col("member.owner")).when(~summed, F.col("parent"))
     found = found.withColumn("owned_by", owner).withColumn(
         "item_name",
         F.when(role == "accessor", F.concat(F.col("member.name"), F.lit("."), h["accessor"]))
         .when(role == "local", F.concat(F.lit("local "), h["local_name"]))
-        .otherwise(h["name"]),
+        .when(summed, F.lit(TOP_LEVEL))
+        .when(role != "file", h["name"]),
     )
-    in_interface = F.col("owned_by.kind") == "interface"
+    in_interface = F.coalesce(F.col("owned_by.kind") == "interface", F.lit(False))
     callable_category = F.when(in_interface, "trait_method").otherwise("impl_method")
     categories = (
         F.when(role.isin("class", "struct", "record"), F.array(F.lit("struct"), F.lit("impl_block")))
         .when(role == "interface", F.array(F.lit("trait"), F.lit("impl_block")))
         .when(role == "event_field", F.array(F.lit("event")))
         .when(role.isin("callable", "accessor"), F.array(callable_category))
-        .when(role == "local", F.array(F.lit("file_scope_function")))
+        .when(role.isin("local", "statements"), F.array(F.lit("file_scope_function")))
         .otherwise(F.array(role))
     )
+    loc = (
+        F.when(summed, F.col("statements_loc"))
+        .when(role == "file", F.col("cum1"))
+        .otherwise(F.col("last_cum") - h["cum0"] + 1)
+    )
     out = (
-        found.withColumn("loc", (F.col("last_cum") - h["cum0"] + 1).cast("bigint"))
-        .filter(F.col("loc") > 0)
+        found.withColumn("loc", loc.cast("bigint"))
+        .filter((F.col("loc") > 0) | (role == "file"))
         .withColumn("category", F.explode(categories))
     )
     is_method = F.col("category").isin("impl_method", "trait_method")
     return out.select(
         *item_projection(
             "csharp",
-            ordinal=h["pos"],
+            # statements are summed up after every other entry of the file
+            ordinal=F.when(summed, F.lit(2**31 - 1)).when(role == "file", F.col("pos")).otherwise(h["pos"]),
             name=F.col("item_name"),
             owner=F.when(is_method, F.col("owned_by.name")),
             owner_trait=F.when((F.col("category") == "impl_block") & (role == "interface"), F.lit("interface")),
             display_name=F.col("item_name"),
-            start_line=h["start_line"],
-            end_line=F.col("last_line"),
-        )
-    )
-
-
-def top_level_items(rows: DataFrame) -> DataFrame:
-    """One ``top-level statements`` entry per file: the sum of its statements."""
-    ground = rows.filter((F.col("level") == 0) & (F.col("term") != ""))
-    by_pos = Window.partitionBy(*FILE).orderBy("pos")
-    prev_term = F.lag("term").over(by_pos)
-    opened_as = F.last(
-        F.when(
-            F.col("opener"),
-            F.when(F.col("block").isin("type", "interface", "enum", "namespace"), "block").otherwise(
-                F.coalesce("opens_as", F.lit("value"))
-            ),
-        ),
-        ignorenulls=True,
-    ).over(by_pos.rowsBetween(Window.unboundedPreceding, -1))
-    follows = F.col("begins_as")
-    starts = (
-        prev_term.isNull()
-        | (prev_term == ";")
-        | (
-            (prev_term == "}")
-            & F.col("opened_as").isin("block", "do")
-            & (follows != "tail")
-            & ~((follows == "while") & (F.col("opened_as") == "do"))
-        )
-    )
-    declares = (
-        F.col("shape").isin("class", "struct", "record", "interface", "enum", "delegate", "namespace")
-        | follows.isin("using", "empty")
-    )
-    numbered = (
-        ground.withColumn("opened_as", opened_as)
-        .withColumn("starts", starts)
-        .withColumn("statement", F.sum(F.when(F.col("starts"), 1).otherwise(0)).over(by_pos))
-        .withColumn("declares", F.coalesce(declares, F.lit(False)))
-    )
-    per_statement = (
-        numbered.groupBy(*FILE, "statement")
-        .agg(
-            F.max("path").alias("path"),
-            F.min("cum0").alias("first_cum"),
-            F.max("cum1").alias("last_cum"),
-            F.min("start_line").alias("start_line"),
-            F.max("end_line").alias("end_line"),
-            F.max(F.when(F.col("starts"), F.col("declares"))).alias("declares"),
-            F.max("pos").alias("pos"),
-        )
-        .filter(~F.col("declares"))
-    )
-    per_file = (
-        per_statement.groupBy(*FILE)
-        .agg(
-            F.max("path").alias("path"),
-            F.sum(F.col("last_cum") - F.col("first_cum") + 1).cast("bigint").alias("loc"),
-            F.min("start_line").alias("start_line"),
-            F.max("end_line").alias("end_line"),
-            F.max("pos").alias("pos"),
-        )
-        .filter(F.col("loc") > 0)
-    )
-    none = F.lit(None).cast("string")
-    return per_file.select(
-        *item_projection(
-            "csharp",
-            # after every other entry of the file
-            ordinal=F.lit(2**31 - 1),
-            category=F.lit("file_scope_function"),
-            name=F.lit(TOP_LEVEL),
-            owner=none,
-            owner_trait=none,
-            display_name=F.lit(TOP_LEVEL),
-            is_function=F.lit(True),
+            start_line=F.when(summed, F.col("statement_line")).when(role == "file", F.lit(1)).otherwise(h["start_line"]),
+            end_line=F.when(summed, F.col("statements_end")).when(role == "file", F.col("end_line")).otherwise(F.col("last_line")),
         )
     )
-
-
-def csharp_items(files: DataFrame) -> DataFrame:
-    rows = csharp_rows(files)
-    return _member_items(rows).unionByName(top_level_items(rows))

@@ -16,6 +16,7 @@ from srcmetrics.operators.structure import (
     measured,
     nested,
     with_block_markers,
+    without_plain_statements,
 )
 
 BLOCK_KINDS = ("fn", "struct", "enum", "trait", "impl")
@@ -31,79 +32,94 @@ def spaced_tokens(text: Column) -> Column:
     return F.trim(out)
 
 
-def _head_columns() -> list[Column]:
-    """What the windows need of a head, extracted while the text is at hand."""
+HEAD = "struct<kind:string,name:string,trait_path:string,is_test:boolean,pos:int,cum0:bigint,start_line:int>"
+
+
+def _heads(cut: DataFrame) -> DataFrame:
+    """Adds ``kind`` where a chunk begins a definition."""
     chunk = F.col("chunk")
-    may_head = F.col("term").isin("{", ";", "(", "[")
-    word = F.regexp_extract(chunk, lx.RUST_HEAD, 1)
-    kind = F.when(F.rlike(chunk, F.lit(lx.RUST_HEAD)), F.when(word == "", "impl").otherwise(word))
-    kind = F.when(may_head, kind)
-    kind = F.when(
-        kind.isin(*VALUE_KINDS) & ~F.rlike(chunk, F.lit(lx.RUST_VALUE_HEAD)), None
-    ).otherwise(kind)
-    return [kind.alias("kind")]
+    found = cut.withColumn(
+        "_head",
+        F.when(F.col("term").isin("{", ";", "(", "["), F.regexp_extract(chunk, lx.RUST_HEAD, 0)).otherwise(F.lit("")),
+    )
+    word = F.regexp_extract("_head", r"(\w+)(?:\W+mut\b)?(?:\s|//[^\n]*+|/\*[\s\S]*?\*/)+(?:r#)?\w+\z", 1)
+    kind = F.when(F.col("_head") == "", None).when(F.endswith("_head", F.lit("impl")), "impl").otherwise(word)
+    found = found.withColumn("kind", kind)
+    untyped = F.col("kind").isin(*VALUE_KINDS) & ~F.rlike(chunk, F.lit(lx.RUST_VALUE_HEAD))
+    return found.withColumn("kind", F.when(~untyped, F.col("kind")))
 
 
-def _with_head_details(rows: DataFrame) -> DataFrame:
+def _measured_heads(rows: DataFrame) -> DataFrame:
+    """Extracts what the windows need of a head while the text is at hand."""
     chunk, kind = F.col("chunk"), F.col("kind")
-    bare = F.regexp_replace(chunk, rf"{lx.RUST_COMMENT}", " ")
-    # `impl<..> [!]Trait for Target where .. {`; a nested `for<'a>` is not the divider.
+    bare = F.regexp_replace(chunk, lx.RUST_COMMENT, " ")
+    # `impl<..> [!]Trait for Target where .. {`; the `for` of `for<'a>` is not the divider.
     header = F.regexp_replace(bare, rf"^[\s\S]*?\bimpl\b\s*(?:{lx.RUST_GENERICS})?", "")
     header = F.regexp_replace(header, r"\bwhere\b[\s\S]*$|\{\z", "")
+    opener = F.col("term").isin(*OPENERS)
+    rows = rows.withColumn("_impl", F.when(kind == "impl", header)).withColumn(
+        "block",
+        F.when(opener & F.rlike(chunk, F.lit(lx.RUST_MACRO_OPEN)), "macro").when(
+            opener & F.rlike(chunk, F.lit(lx.RUST_EXTERN_BLOCK)), "extern"
+        ),
+    )
+    header = F.col("_impl")
     divided = F.regexp_extract(header, r"^([\s\S]*?)\s+for\b(?!\s*<)([\s\S]*)$", 2)
     target = F.when(divided == "", header).otherwise(divided)
     trait_path = F.regexp_extract(header, r"^\s*!?([\s\S]*?)\s+for\b(?!\s*<)([\s\S]*)$", 1)
-    prefix = F.regexp_replace(
-        F.regexp_extract(chunk, lx.RUST_PREFIX, 0), rf"{lx.RUST_COMMENT}", ""
-    )
-    is_impl = kind == "impl"
-    opener = F.col("term").isin(*OPENERS)
-    lead = F.when(kind.isNotNull(), F.regexp_extract(chunk, lx.RUST_LEAD, 0)).otherwise(F.lit(""))
-    return measured(
-        rows,
-        lead,
-        [
-            F.when(kind.isNotNull(), kind)
-            .when(opener & F.rlike(chunk, F.lit(lx.RUST_EXTERN_BLOCK)), F.lit("extern"))
-            .alias("kind"),
-            F.when(is_impl, spaced_tokens(target))
-            .when(kind.isNotNull(), F.regexp_extract(chunk, lx.RUST_HEAD, 2))
-            .alias("name"),
-            F.when(is_impl, text_or_null(spaced_tokens(trait_path))).alias("trait_path"),
-            F.when(kind == "fn", F.rlike(prefix, F.lit(lx.RUST_TEST_ATTRIBUTE))).alias("is_test"),
-            F.when(opener, F.rlike(chunk, F.lit(lx.RUST_MACRO_OPEN))).otherwise(F.lit(False)).alias("macro"),
-        ],
+    prefix = F.regexp_replace(F.regexp_extract(chunk, lx.RUST_PREFIX, 0), lx.RUST_COMMENT, "")
+    head = F.struct(
+        F.coalesce("kind", "block").alias("kind"),
+        F.when(kind == "impl", spaced_tokens(target))
+        .when(kind.isNotNull(), F.regexp_extract("_head", rf"({lx.RUST_IDENT})\z", 1))
+        .alias("name"),
+        F.when(kind == "impl", text_or_null(spaced_tokens(trait_path))).alias("trait_path"),
+        F.when(kind == "fn", F.rlike(prefix, F.lit(lx.RUST_TEST_ATTRIBUTE))).alias("is_test"),
     )
+    return measured(rows, lx.RUST_LEAD, F.when(kind.isNotNull() | F.col("block").isNotNull(), head))
 
 
 def rust_rows(files: DataFrame) -> DataFrame:
-    """Structural rows of Rust files with head columns, one level window applied."""
-    cut = chunks(files, "rust")
-    rows = nested(_with_head_details(cut.select("*", *_head_columns())))
+    """Structural rows of Rust files with their heads, one level window applied."""
+    rows = without_plain_statements(nested(_measured_heads(_heads(chunks(files, "rust")))))
+    kind = F.col("head.kind")
+    own = F.struct(
+        kind.alias("kind"),
+        F.col("head.name").alias("name"),
+        F.col("head.trait_path").alias("trait_path"),
+        F.col("head.is_test").alias("is_test"),
+        "pos",
+        "cum0",
+        "start_line",
+    )
+    rows = rows.withColumn("own", F.when(kind.isin(*BLOCK_KINDS, *VALUE_KINDS), own)).withColumn(
+        "macro", F.coalesce(kind == "macro", F.lit(False))
+    )
     w = level_window()
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    head = F.struct("kind", "name", "trait_path", "is_test", "pos", "cum0", "start_line")
-    nothing = F.lit(None).cast("struct<kind:string,name:string,trait_path:string,is_test:boolean,pos:int,cum0:bigint,start_line:int>")
     at_level = ~F.col("marker")
-    value_kind = F.col("kind").isin(*VALUE_KINDS)
-    block_kind = F.col("kind").isin(*BLOCK_KINDS)
     ends = F.col("term") == ";"
     begins = F.col("term") == "{"
     # A head not finished by its own chunk waits for its terminator on its level.
-    value_mark = F.when(at_level & value_kind & F.col("opener"), F.struct(F.lit(True).alias("open"), head.alias("h"))).when(
-        at_level & ends, F.struct(F.lit(False).alias("open"), nothing.alias("h"))
+    none = F.struct(F.lit(None).cast(HEAD).alias("h"))
+    waits = F.struct(F.col("own").alias("h"))
+    value_mark = F.when(at_level & F.col("own.kind").isin(*VALUE_KINDS) & F.col("opener"), waits).when(
+        at_level & ends, none
     )
     block_mark = F.when(
-        at_level & block_kind & F.col("term").isin("(", "["), F.struct(F.lit(True).alias("open"), head.alias("h"))
-    ).when(at_level & (ends | begins), F.struct(F.lit(False).alias("open"), nothing.alias("h")))
+        at_level & F.col("own.kind").isin(*BLOCK_KINDS) & F.col("term").isin("(", "["), waits
+    ).when(at_level & (ends | begins), none)
     # A parent that is not a `{` block (macro call, argument list) holds no items.
-    own_block = F.when(F.col("term") == "{", F.coalesce("kind", F.lit("block"))).otherwise(F.lit("group"))
-    parent = F.when(F.col("marker"), F.struct(own_block.alias("kind"), "name", "trait_path"))
+    own_block = F.when(begins, F.coalesce(kind, F.lit("block"))).otherwise(F.lit("group"))
+    parent = F.when(
+        F.col("marker"),
+        F.struct(own_block.alias("kind"), F.col("head.name").alias("name"), F.col("head.trait_path").alias("trait_path")),
+    )
     return (
         with_block_markers(rows)
         .withColumn("parent", F.last(parent, ignorenulls=True).over(before))
-        .withColumn("waiting_value", F.last(value_mark, ignorenulls=True).over(before))
-        .withColumn("waiting_block", F.last(block_mark, ignorenulls=True).over(before))
+        .withColumn("waiting_value", F.last(value_mark, ignorenulls=True).over(before)["h"])
+        .withColumn("waiting_block", F.last(block_mark, ignorenulls=True).over(before)["h"])
         .withColumn("close_cum", F.when(F.col("opener"), F.lead("cum1").over(w)))
         .withColumn("close_line", F.when(F.col("opener"), F.lead("end_line").over(w)))
         .withColumn("closes_macro", F.when(F.col("closer"), F.lag("macro").over(w)).otherwise(F.lit(False)))
@@ -113,46 +129,47 @@ def rust_rows(files: DataFrame) -> DataFrame:
 
 def block_parent(files: DataFrame) -> DataFrame:
     """Heads of Rust definitions with the kind and name of the enclosing block."""
-    rows = rust_rows(files).filter(F.col("kind").isNotNull() & ~F.col("closer"))
+    rows = rust_rows(files).filter(F.col("own").isNotNull())
     return rows.select(
         *FILE,
         "path",
         F.col("pos").alias("ord"),
         "level",
-        "kind",
-        "name",
+        "own.kind",
+        "own.name",
         F.coalesce(F.col("parent.kind"), F.lit("file")).alias("parent_kind"),
         F.col("parent.name").alias("parent_name"),
     )
 
 
-def rust_items(files: DataFrame) -> DataFrame:
+def rust_items(files: DataFrame, with_files: bool = False) -> DataFrame:
+    """Items of Rust files; ``with_files`` adds one ``file`` row per file."""
     rows = rust_rows(files)
-    own = F.struct("kind", "name", "trait_path", "is_test", "pos", "cum0", "start_line")
-    value_kind = F.col("kind").isin(*VALUE_KINDS)
-    block_kind = F.col("kind").isin(*BLOCK_KINDS)
+    own = F.col("own")
     ends = F.col("term") == ";"
     begins = F.col("term") == "{"
     head = (
-        F.when(value_kind & ends, own)
-        .when(block_kind & (ends | begins), own)
-        .when(F.col("kind").isNull() & ends & F.col("waiting_value.open"), F.col("waiting_value.h"))
-        .when(F.col("kind").isNull() & (ends | begins) & F.col("waiting_block.open"), F.col("waiting_block.h"))
+        F.when(own["kind"].isin(*VALUE_KINDS) & ends, own)
+        .when(own["kind"].isin(*BLOCK_KINDS) & (ends | begins), own)
+        .when(own.isNull() & ends & F.col("waiting_value").isNotNull(), F.col("waiting_value"))
+        .when(own.isNull() & (ends | begins) & F.col("waiting_block").isNotNull(), F.col("waiting_block"))
     )
     so_far = file_window().rowsBetween(Window.unboundedPreceding, -1)
     in_macro = F.sum(
         F.when(F.col("macro"), 1).when(F.col("closes_macro"), -1).otherwise(0)
     ).over(so_far)
+    is_file = (F.col("term") == "") if with_files else F.lit(False)
     found = (
         rows.withColumn("h", head)
-        .filter(F.col("h").isNotNull() | F.col("macro") | F.col("closes_macro"))
+        .filter(F.col("h").isNotNull() | F.col("macro") | F.col("closes_macro") | is_file)
         .withColumn("macro_depth", F.coalesce(in_macro, F.lit(0)))
-        .filter(F.col("h").isNotNull() & (F.col("macro_depth") == 0))
+        .filter((F.col("h").isNotNull() & (F.col("macro_depth") == 0)) | is_file)
     )
     kind, parent = F.col("h.kind"), F.coalesce(F.col("parent.kind"), F.lit("file"))
     has_body = begins
     category = (
-        F.when(parent.isin("group", "extern"), None)
+        F.when(is_file, "file")
+        .when(parent.isin("group", "extern"), None)
         .when((kind == "fn") & has_body & (parent == "impl"), "impl_method")
         .when((kind == "fn") & has_body & (parent == "trait"), "trait_method")
         .when((kind == "fn") & has_body & F.col("h.is_test"), "test_function")
@@ -182,17 +199,17 @@ def rust_items(files: DataFrame) -> DataFrame:
     return (
         found.withColumn("category", category)
         .filter(F.col("category").isNotNull())
-        .withColumn("loc", (last_cum - F.col("h.cum0") + 1).cast("bigint"))
-        .filter(F.col("loc") > 0)
+        .withColumn("loc", F.when(is_file, F.col("cum1")).otherwise(last_cum - F.col("h.cum0") + 1).cast("bigint"))
+        .filter((F.col("loc") > 0) | is_file)
         .select(
             *item_projection(
                 "rust",
-                ordinal=F.col("h.pos"),
+                ordinal=F.coalesce("h.pos", "pos"),
                 name=name,
                 owner=owner,
                 owner_trait=owner_trait,
                 display_name=display,
-                start_line=F.col("h.start_line"),
+                start_line=F.coalesce("h.start_line", F.lit(1)),
                 end_line=last_line,
             )
         )

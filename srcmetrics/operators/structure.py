@@ -38,14 +38,24 @@ def mask_source(files: DataFrame, language: str, fill: str = " ") -> DataFrame:
     return files.withColumn("masked", F.array_join(blank, ""))
 
 
-def chunks(files: DataFrame, language: str) -> DataFrame:
+def chunks(files: DataFrame, language: str, whole_statements: bool = False) -> DataFrame:
     """One row per chunk; narrow. A line break is put at both ends so that every
-    line, also the first, begins after one."""
-    text = F.concat(F.lit("\n"), F.col("content"), F.lit("\n"))
+    line, also the first, begins after one. Unless ``whole_statements``, a run of
+    statements that no definition can be part of is taken into the next chunk, so
+    that it costs no row of its own in the shuffle."""
+    content = F.col("content")
+    unmarked = F.when(F.startswith(content, F.lit("\ufeff")), F.substring(content, 2, 2**31 - 1)).otherwise(content)
+    text = F.concat(F.lit("\n"), unmarked, F.lit("\n"))
     lexicon = lexical.LEXICONS[language]
-    cut = files.select(
-        *FILE, "path", F.posexplode(F.regexp_extract_all(text, F.lit(lexicon.chunk), F.lit(0))).alias("pos", "chunk")
-    )
+    single = F.regexp_extract_all(text, F.lit(lexicon.chunk), F.lit(0))
+    merged = F.regexp_extract_all(text, F.lit(lexicon.merged_chunk), F.lit(0))
+    if whole_statements:
+        pieces = single
+    elif language == "csharp":  # statements at the top of a file are measured one by one
+        pieces = F.when(F.rlike(text, F.lit(lexical.CS_TYPES_FIRST)), merged).otherwise(single)
+    else:
+        pieces = merged
+    cut = files.select(*FILE, "path", F.posexplode(pieces).alias("pos", "chunk"))
     last = F.right("chunk", F.lit(1))
     return cut.select(
         *FILE,
@@ -56,27 +66,37 @@ def chunks(files: DataFrame, language: str) -> DataFrame:
     )
 
 
-def measured(chunk_rows: DataFrame, lead: Column, payload: list[Column]) -> DataFrame:
+def measured(chunk_rows: DataFrame, lead_pattern: str, head: Column) -> DataFrame:
     """Replaces the text by counts: visible lines and line breaks begun in the
-    chunk, and the same up to the first character after ``lead``."""
-    to_start = F.substring(F.col("chunk"), F.lit(1), F.length(lead) + 1)
-    return chunk_rows.select(
-        *FILE,
-        "path",
-        "pos",
-        "term",
-        visible_line_starts(F.col("chunk")).alias("nb"),
-        line_breaks(F.col("chunk")).alias("nl"),
-        visible_line_starts(to_start).alias("nb_lead"),
-        line_breaks(to_start).alias("nl_lead"),
-        *payload,
+    chunk, and the same up to the first character after its lead. ``head`` is one
+    nullable struct, so that the many rows without a head stay short."""
+    chunk, nl = F.col("chunk"), F.col("nl")
+    # The usual chunk is one line: a break, an indent, a statement.
+    one_line = (nl == 1) & F.startswith(chunk, F.lit("\n")) & (F.col("term") != "")
+    lead = F.regexp_extract(chunk, lead_pattern, 0)
+    to_start = F.substring(chunk, F.lit(1), F.length(lead) + 1)
+    return (
+        chunk_rows.withColumn("nl", line_breaks(chunk))
+        .withColumn("_to_start", F.when((nl > 0) & ~one_line, to_start).otherwise(F.lit("")))
+        .select(
+            *FILE,
+            "path",
+            "pos",
+            "term",
+            F.when((nl == 0) | one_line, nl).otherwise(visible_line_starts(chunk)).alias("nb"),
+            "nl",
+            F.when(one_line, 1).otherwise(visible_line_starts(F.col("_to_start"))).alias("nb_lead"),
+            F.when(one_line, 1).otherwise(line_breaks(F.col("_to_start"))).alias("nl_lead"),
+            head.alias("head"),
+        )
     )
 
 
 def nested(rows: DataFrame) -> DataFrame:
     """Adds running visible-line count (``cum0`` at the start, ``cum1`` at the end
     of the chunk), line numbers, and ``depth`` after and ``level`` at the chunk."""
-    here = Window.partitionBy(*FILE).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    ordered = Window.partitionBy(*FILE).orderBy("pos")
+    here = ordered.rowsBetween(Window.unboundedPreceding, 0)
     opener = F.col("term").isin(*OPENERS)
     closer = F.col("term").isin(*CLOSERS)
     step = F.when(opener, 1).when(closer, -1).otherwise(0)
@@ -85,15 +105,29 @@ def nested(rows: DataFrame) -> DataFrame:
         .withColumn("end_line", F.sum("nl").over(here).cast("int"))
         .withColumn("depth", F.sum(step).over(here).cast("int"))
         .withColumn("path", F.first("path", ignorenulls=True).over(here))
+        .withColumn("after_closer", F.coalesce(F.lag("term").over(ordered).isin(*CLOSERS), F.lit(False)))
         .withColumn("opener", opener)
         .withColumn("closer", closer)
         .withColumn("cum0", F.col("cum1") - F.col("nb") + F.col("nb_lead"))
-        .withColumn("start_line", F.col("end_line") - F.col("nl") + F.col("nl_lead"))
+        .withColumn("start_line", (F.col("end_line") - F.col("nl") + F.col("nl_lead")).cast("int"))
         .withColumn("level", F.col("depth") - F.when(F.col("opener"), 1).otherwise(0))
         .drop("nb", "nl", "nb_lead", "nl_lead")
     )
 
 
+def without_plain_statements(rows: DataFrame) -> DataFrame:
+    """Drops what no window needs any more once lines are counted: statements that
+    are no head and cannot end one (only a ``;`` right after a closer can)."""
+    return rows.filter(
+        F.col("opener")
+        | F.col("closer")
+        | F.col("head").isNotNull()
+        | F.col("after_closer")
+        | (F.col("level") == 0)
+        | (F.col("term") == "")  # the last row of each file
+    )
+
+
 def with_block_markers(rows: DataFrame) -> DataFrame:
     """Repeats each opener one level deeper, where its content lives, so that one
     window per ``(file, lvl)`` shows a row both its siblings and its parent."""
@@ -110,7 +144,7 @@ def file_window() -> Window:
 
 
 def _events(files: DataFrame, language: str) -> DataFrame:
-    rows = measured(chunks(files, language), F.lit(""), [])
+    rows = measured(chunks(files, language, whole_statements=True), r"^", F.lit(None).cast("string"))
     return nested(rows).filter(F.col("term") != "")
 
 

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from srcmetrics.operators.csharp_items import csharp_items
 from srcmetrics.operators.detect import detect_language
 from srcmetrics.operators.ignore import apply_ignore_rules, ignore_rules
-from srcmetrics.operators.lines import file_loc
 from srcmetrics.operators.offenders import offender_items, offending_files, offending_functions
 from srcmetrics.operators.rank import top_functions
 from srcmetrics.operators.report import json_report, summary_text
@@ -23,11 +22,16 @@ from srcmetrics.operators.tree import tree_report
 from srcmetrics.options import ScanOptions
 
 
+def source_rows(files: DataFrame) -> DataFrame:
+    """Items, and one ``file`` row with the total of each file, in one pass over
+    the text. Each language reads its own files; keep the table partitioned by
+    ``language`` and each byte is read once."""
+    rust = rust_items(files.filter(F.col("language") == "rust"), with_files=True)
+    return rust.unionByName(csharp_items(files.filter(F.col("language") == "csharp"), with_files=True))
+
+
 def source_items(files: DataFrame) -> DataFrame:
-    """Items of files with a ``language`` column. Each language reads its own files;
-    keep the table partitioned by ``language`` and each byte is read once."""
-    rust = rust_items(files.filter(F.col("language") == "rust"))
-    return rust.unionByName(csharp_items(files.filter(F.col("language") == "csharp")))
+    return source_rows(files).filter(F.col("category") != "file")
 
 
 def source_status(files: DataFrame, mode: str = "permissive") -> DataFrame:
@@ -37,8 +41,8 @@ def source_status(files: DataFrame, mode: str = "permissive") -> DataFrame:
 
 @dataclass(frozen=True)
 class Scan:
-    """Result tables of one scan; each is lazy but ``items`` and ``file_loc``,
-    which several others read and which are therefore checkpointed."""
+    """Result tables of one scan. ``items`` and ``file_loc`` come from one
+    checkpointed pass over the text; the rest is lazy."""
 
     options: ScanOptions
     roots: DataFrame  # root, label, kind, uri, language, status
@@ -86,8 +90,11 @@ def scan(files: DataFrame, options: ScanOptions | None = None, roots: DataFrame
     if options.mode == "failfast":
         status = source_status(kept, "failfast")
         status.agg(F.count("status")).collect()
-    sizes = checkpointed(file_loc(kept))
-    items = checkpointed(source_items(kept))
+    rows = checkpointed(source_rows(kept))  # small next to the text; read several times
+    sizes = rows.filter(F.col("category") == "file").select(
+        "root", "file_id", "path", "language", F.col("loc").alias("total_loc")
+    )
+    items = rows.filter(F.col("category") != "file")
     top = top_functions(items, options.top)
     if options.offenders is not None:
         limits = options.offenders
