@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from srcmetrics.sources.corpus import from_documents, from_pages
+from srcmetrics.sources.corpus import from_documents, from_pages, spread
 
 FIRST_PARTS = ["src", "src/core", "src2/io", "tests", "obj/Debug", "lib/Bin"]
 EXTENSIONS = [".rs", ".cs", ".RS", ".Designer.cs", ".g.cs", ".generated.cs", ".txt", ".cs", ".rs", ".razor", ".md"]
@@ -16,6 +16,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def spread_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(documents(spark, sf_dir).select("doc_id", "source", "text"))
+
+
 def _pick(number: Column, values: list[str], other: str | None = None) -> Column:
     out = F.lit(other) if other is not None else F.lit(values[-1])
     for i, v in enumerate(values):
@@ -150,7 +154,7 @@ def _generated(spark: SparkSession, sf_dir: str, head: str, tail: str, templates
     path = F.concat(
         _pick(F.col("doc_id") % 3, ["src", "src/core", "src.old"]), F.lit("/d"), F.col("doc_id").cast("string"), F.lit(suffix)
     )
-    return from_documents(documents(spark, sf_dir).withColumn("text", text), path)
+    return from_documents(spread_documents(spark, sf_dir).withColumn("text", text), path)
 
 
 def rust_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -252,7 +256,7 @@ def nested_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("\n}\nfn tail();\n"),
     )
     path = F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".rs"))
-    return from_documents(documents(spark, sf_dir).withColumn("text", text), path)
+    return from_documents(spread_documents(spark, sf_dir).withColumn("text", text), path)
 
 
 def quoted_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -264,4 +268,4 @@ def quoted_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     text = F.array_join(F.transform(F.split("text", "\n", -1), line_text), "\n")
     path = F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".rs"))
-    return from_documents(documents(spark, sf_dir).withColumn("text", text), path)
+    return from_documents(spread_documents(spark, sf_dir).withColumn("text", text), path)

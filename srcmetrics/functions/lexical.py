@@ -208,7 +208,7 @@ CS_INDEXER = r"^[^={;(]*?\bthis\s*\["
 # A statement that cannot declare anything: an assignment, a call, a keyword.
 CS_PLAIN = (
     r"^(?:[\w.]+\s*(?:[-+*/%&|^?]{0,2}=(?![=>])|\+\+|--)|[\w.]+\s*\([^(){};]*+\)\s*;\z"
-    r"|(?:return|throw|break|continue|yield|goto|if|for|foreach|while|switch|else|do|try|catch|finally|lock|case)\b)"
+    r"|(?:return|throw|break|continue|yield|goto|if|for|foreach|while|switch|else|do|try|catch|finally|lock|case|var|await)\b)"
 )
 CS_DECLARED = rf"^(class|struct|interface|enum|record|namespace|delegate|event|using)\b"
 CS_TYPE_NAME = rf"^(?:record\s+(?:class|struct)|\w+)\s+({CS_NAME})"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -63,10 +64,10 @@ class ScanOptions:
         for name, label in (("include_regex", "include-path"), ("exclude_regex", "exclude-path")):
             for pattern in getattr(self, name):
                 probe = spark.range(1).select(
-                    F.rlike(F.col("id").cast("string"), F.lit("(?U)" + pattern)).alias("ok")
+                    F.rlike(F.lit(""), F.lit("(?U)" + pattern)).alias("ok")
                 )
                 try:
                     probe.collect()
-                except PySparkException as err:
+                except (PySparkException, Py4JJavaError) as err:
                     raise ValueError(f"invalid {label} regex: {pattern}") from err
         return self

@@ -13,6 +13,14 @@ from srcmetrics.functions.text import decode_text
 from srcmetrics.operators.skew import checkpointed
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """Spreads a table stored in fewer pieces than there are cores, so that its
+    texts are cut up by all of them. A large table has more pieces than cores and
+    is returned as it is, with no shuffle."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores * 2) if table.rdd.getNumPartitions() < cores else table
+
+
 def from_documents(documents: DataFrame, path) -> DataFrame:
     """Document rows as files; ``path`` is the column expression to use as path."""
     return documents.select(
