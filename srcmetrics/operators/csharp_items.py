@@ -190,15 +190,32 @@ def csharp_rows(files: DataFrame) -> DataFrame:
     ).alias("h"))
     mark = F.when(at_level & waits, F.struct(own.alias("h"))).when(at_level & (F.col("term") == ";"), nothing)
     own_parent = F.when(F.col("marker"), F.struct(block.alias("kind"), head["name"].alias("name")))
+    opened_as = F.when(
+        F.col("opener"),
+        F.when(F.col("block").isin("type", "interface", "enum", "namespace"), "block").otherwise(
+            F.coalesce(head["opens_as"], F.lit("value"))
+        ),
+    )
     rows = (
         with_block_markers(rows)
-        .withColumn("h0", own)
-        .withColumn("block", block)
-        .withColumn("by_block", (F.col("term") == "{") & ~to_semicolon & ~arrow)
-        .withColumn("parent", F.last(own_parent, ignorenulls=True).over(before))
-        .withColumn("waiting", F.last(mark, ignorenulls=True).over(before)["h"])
-        .withColumn("close_cum", F.when(F.col("opener"), F.lead("cum1").over(w)))
-        .withColumn("close_line", F.when(F.col("opener"), F.lead("end_line").over(w)))
+        .withColumns(
+            {
+                "h0": F.when(declares, own),
+                "block": block,
+                "by_block": (F.col("term") == "{") & ~to_semicolon & ~arrow,
+            }
+        )
+        .withColumns(
+            {
+                "parent": F.last(own_parent, ignorenulls=True).over(before),
+                "waiting": F.last(mark, ignorenulls=True).over(before)["h"],
+                "close_cum": F.when(F.col("opener"), F.lead("cum1").over(w)),
+                "close_line": F.when(F.col("opener"), F.lead("end_line").over(w)),
+                "prev_term": F.lag("term").over(w),
+                "next_term": F.lead("term").over(w),
+                "prev_opened_as": F.last(opened_as, ignorenulls=True).over(before),
+            }
+        )
     )
     return (
         _top_level_statements(rows)
@@ -244,24 +261,16 @@ def _top_level_statements(rows: DataFrame) -> DataFrame:
     block unless what follows goes on with it (``else``, ``catch``, ``while`` ...).
     """
     w = level_window()
-    opened_as = F.last(
-        F.when(
-            F.col("opener"),
-            F.when(F.col("block").isin("type", "interface", "enum", "namespace"), "block").otherwise(
-                F.coalesce("head.opens_as", F.lit("value"))
-            ),
-        ),
-        ignorenulls=True,
-    ).over(w.rowsBetween(Window.unboundedPreceding, -1))
     follows = F.coalesce("head.begins_as", F.lit("code"))
+    opened_as = F.col("prev_opened_as")
     starts = (
-        F.col("_prev_term").isNull()
-        | (F.col("_prev_term") == ";")
+        F.col("prev_term").isNull()
+        | (F.col("prev_term") == ";")
         | (
-            (F.col("_prev_term") == "}")
-            & F.col("_opened_as").isin("block", "do")
+            (F.col("prev_term") == "}")
+            & opened_as.isin("block", "do")
             & (follows != "tail")
-            & ~((follows == "while") & (F.col("_opened_as") == "do"))
+            & ~((follows == "while") & (opened_as == "do"))
         )
     )
     declares = F.col("head.shape").isin(*TYPE_SHAPES, "delegate", "namespace") | follows.isin("using", "empty")
@@ -270,18 +279,22 @@ def _top_level_statements(rows: DataFrame) -> DataFrame:
         F.struct("cum0", "start_line", F.coalesce(declares, F.lit(False)).alias("declares")),
     )
     ground = (F.col("level") == 0) & (F.col("term") != "")
-    last = F.coalesce(F.lead("_starts").over(w), F.lit(True)) | (F.lead("term").over(w) == "")
+    last = F.coalesce(F.col("_next_starts"), F.lit(True)) | (F.col("next_term") == "")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
     return (
-        rows.withColumn("_prev_term", F.lag("term").over(w))
-        .withColumn("_opened_as", opened_as)
-        .withColumn("_starts", ground & starts)
-        .withColumn("_first", F.last(first, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn(
-            "statement_loc",
-            F.when(ground & last & ~F.col("_first.declares"), F.col("cum1") - F.col("_first.cum0") + 1),
+        rows.withColumn("_starts", ground & starts)
+        .withColumns(
+            {"_first": F.last(first, ignorenulls=True).over(so_far), "_next_starts": F.lead("_starts").over(w)}
         )
-        .withColumn("statement_line", F.col("_first.start_line"))
-        .drop("_prev_term", "_opened_as", "_starts", "_first")
+        .withColumns(
+            {
+                "statement_loc": F.when(
+                    ground & last & ~F.col("_first.declares"), F.col("cum1") - F.col("_first.cum0") + 1
+                ),
+                "statement_line": F.col("_first.start_line"),
+            }
+        )
+        .drop("prev_term", "next_term", "prev_opened_as", "_starts", "_next_starts", "_first")
     )
 
 
@@ -310,11 +323,15 @@ def _with_context(rows: DataFrame) -> DataFrame:
             | ((F.col("level") == 0) & F.col("opener"))
             | (F.col("term") == "")
         )
-        .withColumn("member", F.last(member, ignorenulls=True).over(here))
-        .withColumn("in_declaration", F.last(outermost, ignorenulls=True).over(here))
-        .withColumn("_statement", F.sum(F.when(is_statement, 1)).over(here))
-        .withColumn("statements_loc", F.sum("statement_loc").over(whole))
-        .withColumn("statements_end", F.max(F.when(is_statement, F.col("end_line"))).over(whole))
+        .withColumns(
+            {
+                "member": F.last(member, ignorenulls=True).over(here),
+                "in_declaration": F.last(outermost, ignorenulls=True).over(here),
+                "_statement": F.sum(F.when(is_statement, 1)).over(here),
+                "statements_loc": F.sum("statement_loc").over(whole),
+                "statements_end": F.max(F.when(is_statement, F.col("end_line"))).over(whole),
+            }
+        )
         .withColumn("role", role)
         .filter(F.col("role").isNotNull())
     )

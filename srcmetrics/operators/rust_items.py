@@ -117,12 +117,16 @@ def rust_rows(files: DataFrame) -> DataFrame:
     )
     return (
         with_block_markers(rows)
-        .withColumn("parent", F.last(parent, ignorenulls=True).over(before))
-        .withColumn("waiting_value", F.last(value_mark, ignorenulls=True).over(before)["h"])
-        .withColumn("waiting_block", F.last(block_mark, ignorenulls=True).over(before)["h"])
-        .withColumn("close_cum", F.when(F.col("opener"), F.lead("cum1").over(w)))
-        .withColumn("close_line", F.when(F.col("opener"), F.lead("end_line").over(w)))
-        .withColumn("closes_macro", F.when(F.col("closer"), F.lag("macro").over(w)).otherwise(F.lit(False)))
+        .withColumns(
+            {
+                "parent": F.last(parent, ignorenulls=True).over(before),
+                "waiting_value": F.last(value_mark, ignorenulls=True).over(before)["h"],
+                "waiting_block": F.last(block_mark, ignorenulls=True).over(before)["h"],
+                "close_cum": F.when(F.col("opener"), F.lead("cum1").over(w)),
+                "close_line": F.when(F.col("opener"), F.lead("end_line").over(w)),
+                "closes_macro": F.when(F.col("closer"), F.lag("macro").over(w)).otherwise(F.lit(False)),
+            }
+        )
         .filter(at_level)
     )
 

@@ -101,16 +101,24 @@ def nested(rows: DataFrame) -> DataFrame:
     closer = F.col("term").isin(*CLOSERS)
     step = F.when(opener, 1).when(closer, -1).otherwise(0)
     return (
-        rows.withColumn("cum1", F.sum("nb").over(here))
-        .withColumn("end_line", F.sum("nl").over(here).cast("int"))
-        .withColumn("depth", F.sum(step).over(here).cast("int"))
-        .withColumn("path", F.first("path", ignorenulls=True).over(here))
-        .withColumn("after_closer", F.coalesce(F.lag("term").over(ordered).isin(*CLOSERS), F.lit(False)))
-        .withColumn("opener", opener)
-        .withColumn("closer", closer)
-        .withColumn("cum0", F.col("cum1") - F.col("nb") + F.col("nb_lead"))
-        .withColumn("start_line", (F.col("end_line") - F.col("nl") + F.col("nl_lead")).cast("int"))
-        .withColumn("level", F.col("depth") - F.when(F.col("opener"), 1).otherwise(0))
+        rows.withColumns(
+            {
+                "cum1": F.sum("nb").over(here),
+                "end_line": F.sum("nl").over(here).cast("int"),
+                "depth": F.sum(step).over(here).cast("int"),
+                "path": F.first("path", ignorenulls=True).over(here),
+                "after_closer": F.coalesce(F.lag("term").over(ordered).isin(*CLOSERS), F.lit(False)),
+            }
+        )
+        .withColumns(
+            {
+                "opener": opener,
+                "closer": closer,
+                "cum0": F.col("cum1") - F.col("nb") + F.col("nb_lead"),
+                "start_line": (F.col("end_line") - F.col("nl") + F.col("nl_lead")).cast("int"),
+                "level": F.col("depth") - F.when(opener, 1).otherwise(0),
+            }
+        )
         .drop("nb", "nl", "nb_lead", "nl_lead")
     )
 
