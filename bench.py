@@ -47,7 +47,6 @@ def main() -> None:
         .appName("srcmetrics-bench")
         .config("spark.driver.memory", os.environ.get("BENCH_MEMORY", "12g"))
         .config("spark.sql.shuffle.partitions", str(cpus * 2))
-        .config("spark.sql.files.openCostInBytes", str(512 * 1024))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

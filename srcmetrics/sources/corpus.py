@@ -14,11 +14,11 @@ from srcmetrics.operators.skew import checkpointed
 
 
 def spread(table: DataFrame) -> DataFrame:
-    """Spreads a table stored in fewer pieces than there are cores, so that its
-    texts are cut up by all of them. A large table has more pieces than cores and
-    is returned as it is, with no shuffle."""
+    """Spreads a table stored in few pieces, so that its texts are cut up by all
+    cores (a piece may also hold no row group at all). A large table has many
+    pieces per core and is returned as it is, with no shuffle."""
     cores = table.sparkSession.sparkContext.defaultParallelism
-    return table.repartition(cores * 2) if table.rdd.getNumPartitions() < cores else table
+    return table.repartition(cores * 2) if table.rdd.getNumPartitions() < cores * 4 else table
 
 
 def from_documents(documents: DataFrame, path) -> DataFrame:
