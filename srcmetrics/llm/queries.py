@@ -8,15 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from srcmetrics.llm.bpe import token_count
+from srcmetrics.llm.langid import identify_languages
 from srcmetrics.llm.mixing import mix_sources, word_count
+from srcmetrics.llm.ngram_join import ngram_components
 from srcmetrics.llm.sharding import shard_documents
+from srcmetrics.llm.store import ship
+from srcmetrics.llm.warc import read_records, write_archives
 
 Query = Callable[[SparkSession, str], DataFrame]
 TOKEN_LIMIT = 1024
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def vocabulary() -> str:
@@ -26,6 +30,10 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(_table(spark, sf_dir, "documents").select("doc_id", "text"), size=3, pct=90)
+
+
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     mixed, _ = mix_sources(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
@@ -36,6 +44,16 @@ def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_table(spark, sf_dir, "documents"), 40)
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return identify_languages(docs).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, index = write_archives(_table(spark, sf_dir, "pages"))
+    return read_records(folder, index, with_payload=False).drop("payload")
+
+
 def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     counted = docs.select(
@@ -48,8 +66,11 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_ngram_join": op1_ngram_join,
         "op3_mix": op3_mix,
         "op5_shards": op5_shards,
+        "op7_language": op7_language,
+        "op9_warc": op9_warc,
         "op10_tokens": op10_tokens,
     }
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from functools import reduce
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,5 +41,19 @@ def bounded(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Sends this package to the Python workers of the session, once, so that they need not
+    have it installed."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        package = Path(__file__).resolve().parents[1]
+        target = f"{tempfile.mkdtemp(prefix='srcmetrics-')}/srcmetrics.zip"
+        with zipfile.ZipFile(target, "w") as out:
+            for file in sorted(package.rglob("*.py")):
+                out.write(file, file.relative_to(package.parent))
+        context.addPyFile(target)
+        _shipped.add(context.applicationId)
+    return spark
