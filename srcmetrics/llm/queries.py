@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from srcmetrics.llm.bpe import token_count
+from srcmetrics.llm.fingerprint import compare_versions
 from srcmetrics.llm.langid import identify_languages
 from srcmetrics.llm.mixing import mix_sources, word_count
 from srcmetrics.llm.ngram_join import ngram_components
@@ -49,6 +50,10 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(docs).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_versions(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, index = write_archives(_table(spark, sf_dir, "pages"))
     return read_records(folder, index, with_payload=False).drop("payload")
@@ -70,6 +75,7 @@ def queries() -> dict[str, Query]:
         "op3_mix": op3_mix,
         "op5_shards": op5_shards,
         "op7_language": op7_language,
+        "op8_fingerprint": op8_fingerprint,
         "op9_warc": op9_warc,
         "op10_tokens": op10_tokens,
     }

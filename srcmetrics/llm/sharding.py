@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ def byte_size(text: Column) -> Column:
     """UTF-8 bytes of a text plus ROW_BYTES; a null text has no bytes of its own."""
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint") + F.lit(ROW_BYTES)
 
-def prefix_sums(rows: DataFrame, order: list[str], size: str) -> DataFrame:
+def prefix_sums(rows: DataFrame, order: Sequence[str | Column], size: str) -> DataFrame:
     """Adds ``before`` (sum of ``size`` of all rows ahead in ``order``), ``position`` (from
     0) and ``total``.
 
@@ -46,7 +48,7 @@ def prefix_sums(rows: DataFrame, order: list[str], size: str) -> DataFrame:
     )
 
 def shards(
-    rows: DataFrame, n_shards: int, order: list[str], size: str = "size"
+    rows: DataFrame, n_shards: int, order: Sequence[str | Column], size: str = "size"
 ) -> DataFrame:
     """Adds ``shard`` (0 to ``n_shards`` - 1, ascending in ``order``) and ``slot`` (from 0
     within the shard, without gaps).
