@@ -9,6 +9,8 @@ cells, until no cell is left (whole) or none can be read (failed)."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +32,11 @@ def paragraph_digests(text: Column) -> Column:
     return F.array_distinct(F.transform(lines, lambda p: F.xxhash64(p)))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, computed once however often the body's lambdas use it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _places(digest: Column, width: int, count: Column) -> Column:
     """A digest with its sign, check and three cells; each width hashes anew."""
     at = [
@@ -61,7 +68,8 @@ def table(digests: Column, width: int) -> Column:
     """The cells of a set of digests."""
     empty = F.array_repeat(F.lit(None).cast(_CELL), 3 * width)
     empty = F.transform(empty, lambda _: F.struct(F.lit(0).alias("n"), F.lit(0).cast("bigint").alias("k"), F.lit(0).cast("bigint").alias("c")))
-    return _taken_out(empty, F.transform(digests, lambda d: _places(d, width, F.lit(-1))))
+    places = F.transform(digests, lambda d: _places(d, width, F.lit(-1)))
+    return _let(places, lambda q: _taken_out(empty, q))
 
 
 def subtracted(a: Column, b: Column) -> Column:
@@ -74,9 +82,12 @@ def peeled(cells: Column, width: int) -> Column:
     def step(state: Column, _: Column) -> Column:
         single = F.filter(state["cells"], lambda c: (F.abs(c["n"]) == 1) & (F.xxhash64(c["k"], F.lit(-width)) == c["c"]))
         found = F.array_distinct(F.transform(single, lambda c: _places(c["k"], width, c["n"])))
-        gone = F.struct(
-            _taken_out(state["cells"], found).alias("cells"),
-            F.concat(state["out"], F.transform(found, lambda q: q["k"])).alias("out"),
+        gone = _let(
+            found,
+            lambda q: F.struct(
+                _taken_out(state["cells"], q).alias("cells"),
+                F.concat(state["out"], F.transform(q, lambda p: p["k"])).alias("out"),
+            ),
         )
         return F.when(F.exists(state["cells"], lambda c: (c["n"] != 0) | (c["k"] != 0)), gone).otherwise(state)
 
