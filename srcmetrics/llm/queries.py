@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from srcmetrics.llm.bpe import token_count
 from srcmetrics.llm.fingerprint import compare_versions
+from srcmetrics.llm.html_text import extract_main_text
 from srcmetrics.llm.langid import identify_languages
 from srcmetrics.llm.mixing import mix_sources, word_count
 from srcmetrics.llm.ngram_join import ngram_components
@@ -45,6 +46,10 @@ def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_table(spark, sf_dir, "documents"), 40)
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(_table(spark, sf_dir, "pages"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return identify_languages(docs).select("doc_id", "held_out", "lang_pred", "score")
@@ -74,6 +79,7 @@ def queries() -> dict[str, Query]:
         "op1_ngram_join": op1_ngram_join,
         "op3_mix": op3_mix,
         "op5_shards": op5_shards,
+        "op6_main_text": op6_main_text,
         "op7_language": op7_language,
         "op8_fingerprint": op8_fingerprint,
         "op9_warc": op9_warc,
