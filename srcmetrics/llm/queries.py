@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from srcmetrics.llm.bpe import token_count
+from srcmetrics.llm.decontaminate import find_items
 from srcmetrics.llm.fingerprint import compare_versions
 from srcmetrics.llm.html_text import extract_main_text
 from srcmetrics.llm.langid import identify_languages
@@ -36,6 +37,10 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(_table(spark, sf_dir, "documents").select("doc_id", "text"), size=3, pct=90)
 
 
+def op2_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     mixed, _ = mix_sources(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
@@ -77,6 +82,7 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_ngram_join": op1_ngram_join,
+        "op2_leaks": op2_leaks,
         "op3_mix": op3_mix,
         "op5_shards": op5_shards,
         "op6_main_text": op6_main_text,

@@ -18,6 +18,8 @@ SLICE_BYTES = 1 << 18
 _random = np.random.default_rng(20240229)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Separators of plain words: all of ASCII but letters and digits.
+PLAIN = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _VALUE = _random.integers(1, 2**63, 256, dtype=np.uint64)[_LOWER]
@@ -62,9 +64,10 @@ def text_slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nda
         at = end
 
 
-def words(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word, and for each row the index of its first word (one entry more)."""
-    inside = np.concatenate(([False], ~_SPACE[data], [False]))
+def words(data: np.ndarray, rows: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each word, and for each row the index of its first word (one entry more).
+    ``space`` tells of each byte whether it parts words."""
+    inside = np.concatenate(([False], ~space[data], [False]))
     begins = np.zeros(len(data) + 1, bool)
     begins[rows] = True
     start = np.flatnonzero(inside[1:-1] & (~inside[:-2] | begins[:-1]))
