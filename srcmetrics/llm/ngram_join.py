@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from srcmetrics.llm.components import components
+from srcmetrics.llm.linking import linked_components
 from srcmetrics.llm.shingles import mix, shingle_sets
 from srcmetrics.llm.store import bounded, stored
 
@@ -261,28 +261,10 @@ def ngram_components(docs: DataFrame, size: int, pct: int) -> DataFrame:
     about = pieces.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "b0", "b1", "b2", "b3")))
     prefix = stored(prefix.join(about, "node"))
 
-    node = F.struct(*NODE)
-    mixed = F.struct(F.xxhash64("node").alias("h"), *NODE)
-    pivots = (
-        prefix.groupBy("gram")
-        .agg(F.min(node).alias("p0"), F.max(node).alias("p1"), F.min(mixed).alias("p2"))
-        .filter("p0.node <> p1.node")
-        .select("gram", F.explode(F.array("p0", "p1", F.struct(*(F.col(f"p2.{c}") for c in NODE)))).alias("p"))
+    keys = prefix.select(F.col("gram").alias("key"), *NODE, F.lit(True).alias("index"))
+    roots = linked_components(
+        keys, NODE[1:], lambda x, y: _may_link(pct, x, y), lambda pairs: _verified(pairs, pieces, pct)
     )
-    near = F.expr("x.node <> p.node AND " + _may_link(pct, "x", "p"))
-    tried = prefix.alias("x").join(pivots.alias("v"), "gram").filter(near)
-    pairs = tried.select(F.least("x.node", "p.node").alias("a"), F.greatest("x.node", "p.node").alias("b"))
-    links = _verified(pairs.distinct(), pieces, pct)
-    roots = stored(components(links))
-
-    labelled = prefix.join(bounded(roots, 24), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    x, y = labelled.alias("x"), labelled.alias("y")
-    apart = F.expr("x.node < y.node AND x.root <> y.root AND " + _may_link(pct, "x", "y"))
-    rest = x.join(y, (F.col("x.gram") == F.col("y.gram")) & apart)
-    more = _verified(rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), pieces, pct)
-    if not more.isEmpty():
-        stars = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-        roots = stored(components(stars.unionByName(more)))
 
     grouped = classes.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     least_id = grouped.groupBy("root").agg(F.min("rep").alias("component_id"))
