@@ -12,6 +12,7 @@ from srcmetrics.llm.decontaminate import find_items
 from srcmetrics.llm.fingerprint import compare_versions
 from srcmetrics.llm.html_text import extract_main_text
 from srcmetrics.llm.langid import identify_languages
+from srcmetrics.llm.lines import dedup_lines
 from srcmetrics.llm.mixing import mix_sources, word_count
 from srcmetrics.llm.ngram_join import ngram_components
 from srcmetrics.llm.sharding import shard_documents
@@ -47,6 +48,10 @@ def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_table(spark, sf_dir, "documents"), 40)
 
@@ -84,6 +89,7 @@ def queries() -> dict[str, Query]:
         "op1_ngram_join": op1_ngram_join,
         "op2_leaks": op2_leaks,
         "op3_mix": op3_mix,
+        "op4_line_dedup": op4_line_dedup,
         "op5_shards": op5_shards,
         "op6_main_text": op6_main_text,
         "op7_language": op7_language,
