@@ -223,36 +223,53 @@ def train(labelled: DataFrame) -> Model:
     return Model(languages, np.ascontiguousarray(scaled), weights[-1], heat)
 
 
+def _scored(texts: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Language and score of each text."""
+    sums = np.zeros((len(texts), len(model.languages)))
+    count, letters_of = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+    for at, _, letters, offsets, own in _pieces(texts):
+        filled = np.flatnonzero(np.diff(offsets))
+        if not len(filled):
+            continue
+        begin = offsets[filled]
+        for order, (h, valid) in enumerate(_ngrams(letters, offsets, own)):
+            found = np.add.reduceat(valid, begin, dtype=np.int64)
+            count[at + filled] += found
+            if not order:
+                letters_of[at + filled] += found
+            part = np.where(valid[:, None], model.weights[h], np.float32(0))
+            sums[at + filled] += np.add.reduceat(part, begin, axis=0, dtype=np.float64)
+    known = (letters_of > 0) & (len(model.languages) > 0)
+    names, score = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
+    if known.any():
+        p = _softmax((sums[known] / count[known, None] + model.bias) / model.temperature)
+        names[known] = np.array(model.languages, object)[p.argmax(axis=1)]
+        score[known] = p.max(axis=1)
+    return names, score
+
+
 def _predictor(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sums = np.zeros((batch.num_rows, len(model.languages)))
-            count = np.zeros(batch.num_rows, np.int64)
-            letters_of = np.zeros(batch.num_rows, np.int64)
-            for at, _, letters, offsets, own in _pieces(batch.column("text")):
-                filled = np.flatnonzero(np.diff(offsets))
-                if not len(filled):
-                    continue
-                begin = offsets[filled]
-                for order, (h, valid) in enumerate(_ngrams(letters, offsets, own)):
-                    found = np.add.reduceat(valid, begin, dtype=np.int64)
-                    count[at + filled] += found
-                    if not order:
-                        letters_of[at + filled] += found
-                    part = np.where(valid[:, None], model.weights[h], np.float32(0))
-                    sums[at + filled] += np.add.reduceat(part, begin, axis=0, dtype=np.float64)
-            known = (letters_of > 0) & (len(model.languages) > 0)
-            names, score = np.full(batch.num_rows, UNKNOWN, object), np.zeros(batch.num_rows)
-            if known.any():
-                p = _softmax((sums[known] / count[known, None] + model.bias) / model.temperature)
-                names[known] = np.array(model.languages, object)[p.argmax(axis=1)]
-                score[known] = p.max(axis=1)
+            names, score = _scored(batch.column("text"), model)
             columns = [batch.column("doc_id"), pa.array(names, pa.string()), pa.array(score)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lang_pred", "score"])
 
     return run
 
 
+def keep_identified(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """The rows of ``docs`` whose text has a language with a score of ``least`` or more, with
+    all their columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, score = _scored(batch.column("text"), model)
+            yield batch.filter(pa.array((names != UNKNOWN) & (score >= least)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, lang_pred, score) for every row of ``docs(doc_id, text)`` from its whole text.
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from srcmetrics.llm.bpe import token_count
 from srcmetrics.llm.decontaminate import find_items
 from srcmetrics.llm.fingerprint import compare_versions
@@ -96,6 +97,7 @@ def queries() -> dict[str, Query]:
         "op8_fingerprint": op8_fingerprint,
         "op9_warc": op9_warc,
         "op10_tokens": op10_tokens,
+        "pipeline": corpus_pipeline.run,
     }
 
 
