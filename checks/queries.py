@@ -125,7 +125,7 @@ def _offending_files(spark: SparkSession, sf: str, items: DataFrame | None = Non
 
 
 def _offender_items(spark: SparkSession, sf: str) -> DataFrame:
-    items = checkpointed(_rust(spark, sf))  # read twice below
+    items = _rust(spark, sf)  # both uses share one exchange
     return offenders.offender_items(items, _offending_files(spark, sf, items), FN_LIMIT).select(*ITEM)
 
 

@@ -15,7 +15,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 from itertools import count
 
-GROUP_DEPTH = 4
+GROUP_DEPTH = 8  # of groups taken as one piece; deeper ones are followed as structure
+# Nesting that a pattern follows; patterns grow in proportion.
+COMMENT_DEPTH = 16
+ATTRIBUTE_DEPTH = 8
+ANGLE_DEPTH = 16
 
 _ids = count()
 
@@ -99,7 +103,20 @@ def _csharp_strings() -> str:
     )
 
 
-_STATEMENT_FREE_BRACES = r"|\{(?:[^{}()\[\];\"'/#]++|\((?:[^{}()\[\];\"'/#])*+\))*+\}"
+def _balanced(open_: str, close: str, inside: str, depth: int) -> str:
+    inner = rf"|{_balanced(open_, close, inside, depth - 1)}" if depth else ""
+    return rf"{open_}(?:{inside}{inner})*+{close}"
+
+
+def _statement_free_braces(strings: str) -> str:
+    """Braces of a value: literals, groups and words, but no statement and no block."""
+    rounds = _balanced(r"\(", r"\)", rf"[^(){{}};\"'/#]++|{strings}", 3)
+    squares = _balanced(r"\[", r"\]", rf"[^\[\]{{}};\"'/#]++|{strings}", 3)
+    return rf"\{{(?:[^{{}}()\[\];\"'/#$@]++|{strings}|{rounds}|{squares})*+\}}"
+
+
+_RUST_QUOTED = r'"(?:[^"\\]++|\\[\s\S])*+"' + r"|'(?:[^'\\\n]|\\[^\n])'"
+_CS_QUOTED = r'@\$?"(?:[^"]++|"")*+"|"(?:[^"\\\n]++|\\.)*+"' + r"|'(?:[^'\\\n]|\\.[0-9a-fA-F]{0,8})'"
 
 # Words that can begin a Rust definition; `#` begins an attribute.
 _RUST_HEAD_WORDS = r"(?:#|(?:pub|fn|struct|enum|trait|impl|const|static|unsafe|async|extern|default|auto|safe)\b)"
@@ -111,12 +128,13 @@ _CS_PLAIN_START = (
 
 RUST = Lexicon(
     run=r"""[^"'/(){}\[\];#]++""",
-    comments=rf"//[^\n]*+|{_block_comment(6)}",
+    comments=rf"//[^\n]*+|{_block_comment(COMMENT_DEPTH)}",
     strings=_rust_strings,
     loose="[#'/]",
-    in_brackets=rf"|;{_STATEMENT_FREE_BRACES}",
-    extra=r"(?<=[<,]\s{0,4})\{[^{}();\"']*+\}(?=\s*[,>])",  # const generic argument
-    plain_ahead=rf"(?!(?:\s++|//[^\n]*+|{_block_comment(6)})*+{_RUST_HEAD_WORDS})",
+    in_brackets=rf"|;|{_statement_free_braces(_RUST_QUOTED)}",
+    # const generic argument
+    extra=rf"(?<=[<,]\s{{0,200}}){_statement_free_braces(_RUST_QUOTED)}(?=\s*[,>])",
+    plain_ahead=rf"(?!(?:\s++|//[^\n]*+|{_block_comment(COMMENT_DEPTH)})*+{_RUST_HEAD_WORDS})",
 )
 
 CSHARP = Lexicon(
@@ -124,7 +142,7 @@ CSHARP = Lexicon(
     comments=r"//[^\n]*+|/\*[\s\S]*?(?:\*/|\z)|#[^\n]*+",  # '#' opens a directive line
     strings=_csharp_strings,
     loose="[$@'/]",
-    in_brackets=rf"|;{_STATEMENT_FREE_BRACES}",
+    in_brackets=rf"|;|{_statement_free_braces(_CS_QUOTED)}",
     plain_ahead=rf"(?=(?:\s++|//[^\n]*+)*+{_CS_PLAIN_START})",
 )
 
@@ -135,14 +153,20 @@ LEXICONS = {"rust": RUST, "csharp": CSHARP}
 RUST_COMMENT = RUST.comments
 _RS_OUTER_DOC = r"///(?!/)[^\n]*+|/\*\*(?![*/])(?:[^*]++|\*(?!/))*+\*/"
 _RS_PLAIN = rf"(?!///(?!/)|/\*\*(?![*/]))(?:{RUST_COMMENT})"
-_RS_ATTRIBUTE_BODY = (
-    r"\[(?:[^\[\]\"/]++|\"(?:[^\"\\]++|\\[\s\S])*+\"|/(?!/)|//[^\n]*+"
-    r"|\[(?:[^\[\]]++|\[[^\[\]]*+\])*+\])*+\]"
-)
+
+
+def _attribute(strings, comments: str, loose: str, depth: int = ATTRIBUTE_DEPTH) -> str:
+    """A square group with literals and comments in it, and further square groups."""
+    inner = rf"|{_attribute(strings, comments, loose, depth - 1)}" if depth else ""
+    return rf"\[(?:[^\[\]\"'/#$@]++|{strings()}|{comments}{inner}|{loose})*+\]"
+
+
+def _rs_attribute() -> str:  # group names must differ, so each use is made anew
+    return _attribute(_rust_strings, r"//[^\n]*+|/\*(?:[^*]++|\*(?!/))*+\*/", "[#'/$@]")
 # Whitespace, plain comments, the shebang and inner attributes: not part of an item.
-RUST_LEAD = rf"^(?:\s++|{_RS_PLAIN}|#!\s*+{_RS_ATTRIBUTE_BODY}|#![^\[\n]*+)*+"
+RUST_LEAD = rf"^(?:\s++|{_RS_PLAIN}|#!\s*+{_rs_attribute()}|#![^\[\n]*+)*+"
 # ... and then doc comments and outer attributes, which are.
-RUST_PREFIX = rf"{RUST_LEAD}(?:\s++|{RUST_COMMENT}|#\s*+{_RS_ATTRIBUTE_BODY})*+"
+RUST_PREFIX = rf"{RUST_LEAD}(?:\s++|{RUST_COMMENT}|#\s*+{_rs_attribute()})*+"
 RUST_TEST_ATTRIBUTE = r"#\s*\[\s*(?:r#)?test\s*[\]\(=]"
 
 _RS_GAP = rf"(?:\s|{RUST_COMMENT})"
@@ -159,7 +183,7 @@ def _angles(depth: int) -> str:
     return rf"<(?:->|=>|[^<>]{inner})*+>"
 
 
-RUST_GENERICS = _angles(6)
+RUST_GENERICS = _angles(ANGLE_DEPTH)
 RUST_IDENT = r"(?:r#)?\w+"
 RUST_HEAD = (
     rf"{RUST_PREFIX}{_RS_QUALIFIERS}"
@@ -172,14 +196,17 @@ RUST_MACRO_OPEN = r"\w![\s]*[({\[]\z|\bmacro_rules\s*!\s*\w+\s*[({\[]\z"
 # --- C# heads -------------------------------------------------------------------
 
 CS_COMMENT = CSHARP.comments
-_CS_GROUP1 = r"\[(?:[^\[\]\"]++|\"(?:[^\"\\]++|\\.)*+\"|\[(?:[^\[\]]++|\[[^\[\]]*+\])*+\])*+\]"
-CS_LEAD = rf"^(?:\s++|{CS_COMMENT}|(?=\[\s*(?:assembly|module)\s*:){_CS_GROUP1})*+"
-CS_PREFIX = rf"{CS_LEAD}(?:\s++|{CS_COMMENT}|{_CS_GROUP1})*+"
+def _cs_attribute() -> str:
+    return _attribute(_csharp_strings, r"//[^\n]*+|/\*(?:[^*]++|\*(?!/))*+\*/", "[#'/$@]")
+
+
+CS_LEAD = rf"^(?:\s++|{CS_COMMENT}|(?=\[\s*(?:assembly|module)\s*:){_cs_attribute()})*+"
+CS_PREFIX = rf"{CS_LEAD}(?:\s++|{CS_COMMENT}|{_cs_attribute()})*+"
 
 # Text that begins, after directives, with a namespace or a type: C# allows no
 # statements at the top of such a file.
 CS_TYPES_FIRST = (
-    rf"^(?:\s++|{CS_COMMENT}|{_CS_GROUP1}|(?:global\s+)?using\s[^;({{]*+;|extern\s+alias\s[^;]*+;)*+"
+    rf"^(?:\s++|{CS_COMMENT}|{_cs_attribute()}|(?:global\s+)?using\s[^;({{]*+;|extern\s+alias\s[^;]*+;)*+"
     r"(?:(?:public|internal|static|sealed|abstract|partial|readonly|unsafe|ref|file)\s++)*+"
     r"(?:namespace|class|struct|interface|enum|record|delegate)\b"
 )
@@ -193,15 +220,10 @@ CS_MODIFIERS = rf"^(?:(?:{_CS_MODIFIER_WORDS})\b\s*+)*+"
 CS_NAME = r"@?\w+"
 
 
-def _balanced(open_: str, close: str, inside: str, depth: int) -> str:
-    inner = rf"|{_balanced(open_, close, inside, depth - 1)}" if depth else ""
-    return rf"{open_}(?:{inside}{inner})*+{close}"
-
-
 # Round groups, type arguments, and array or nullable marks, to be taken out so
 # that what is left of a signature is words, `()` and the sign that ends it.
-CS_PARENS = _balanced(r"\(", r"\)", "[^()]", 5)
-CS_TYPE_ARGUMENTS = _balanced("<", ">", r"[\w\s,.?\[\]():*@]", 5)
+CS_PARENS = _balanced(r"\(", r"\)", "[^()]", ANGLE_DEPTH)
+CS_TYPE_ARGUMENTS = _balanced("<", ">", r"[\w\s,.?\[\]():*@]", ANGLE_DEPTH)
 CS_TYPE_MARKS = r"\s*\[[^\[\]]*+\]|[?*]"
 CS_INDEXER = r"^[^={;(]*?\bthis\s*\["
 

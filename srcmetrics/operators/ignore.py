@@ -15,8 +15,10 @@ RULE_FILES = (".gitignore", ".ignore")
 
 def _glob_regex(glob: Column) -> Column:
     """Regex for one glob; placeholders keep ``*`` and ``**`` apart while escaping."""
-    out = F.regexp_replace(glob, r"([.+^$|(){}])", r"\\$1")
-    out = F.regexp_replace(out, r"\[!", "[^")
+    out = F.regexp_replace(glob, r"(?<!\\)\\(\p{Alnum})", "$1")
+    out = F.regexp_replace(out, r"(?<!\\)([.+^$|(){}&])", r"\\$1")
+    out = F.regexp_replace(out, r"(?<!\\)\[(?:!|\\\^)", "[^")
+    out = F.regexp_replace(out, r"(?<!\\)\[(\^?)\]", r"[$1\\]")
     out = F.regexp_replace(out, r"(?:^|(?<=/))\*\*/", "\u0001")  # any directories
     out = F.regexp_replace(out, r"/\*\*$", "/\u0002")  # everything inside
     out = F.regexp_replace(out, r"(?<!\\)\*+", "\u0003")
@@ -26,12 +28,27 @@ def _glob_regex(glob: Column) -> Column:
     return F.replace(out, F.lit("\u0003"), F.lit("[^/]*"))
 
 
+def _malformed(glob: Column) -> Column:
+    """Globs that no path can match: a class that is not closed, holds another one or has a
+    range out of order, or a lone backslash at the end."""
+    classes = F.regexp_extract_all(glob, F.lit(r"\[[!^]?\]?[^\[\]]*\]"), F.lit(0))
+    left = F.regexp_replace(glob, r"\\.|\[[!^]?\]?[^\[\]]*\]", "")
+
+    def disordered(body: Column) -> Column:
+        ranges = F.regexp_extract_all(F.regexp_replace(body, r"^\[[!^]?|\]$", ""), F.lit(r"[\s\S]-[\s\S]"), F.lit(0))
+        return F.exists(ranges, lambda r: F.substring(r, 1, 1) > F.substring(r, 3, 1))
+
+    escaped = F.exists(classes, lambda c: F.contains(c, F.lit("\\")))
+    return F.contains(left, F.lit("[")) | F.endswith(left, F.lit("\\")) | F.exists(classes, disordered) | escaped
+
+
 def ignore_rules(files: DataFrame, require_git: bool = False, gitignore: bool = True) -> DataFrame:
     """One row per rule: ``root, dir, source, ordinal, negated, dir_only, regex``.
 
     ``regex`` is matched against the path relative to ``dir``. With ``gitignore``
     off only ``.ignore`` files count; ``require_git`` keeps ``.gitignore`` rules
-    of roots that hold a ``.git`` directory only.
+    of roots that hold a ``.git`` directory only. Lines whose glob is malformed
+    are no rules.
     """
     source = base_name(F.col("path"))
     rows = files.filter(source.isin(*(RULE_FILES if gitignore else RULE_FILES[1:])))
@@ -54,7 +71,7 @@ def ignore_rules(files: DataFrame, require_git: bool = False, gitignore: bool =
     anchored = F.contains(glob, F.lit("/"))
     body = _glob_regex(F.regexp_replace(glob, r"^/+", ""))
     regex = F.concat(F.when(anchored, "^").otherwise("^(?:.*/)?"), body, F.lit(r"\z"))
-    return rule.filter(glob != "").select(
+    return rule.filter((glob != "") & ~_malformed(glob)).select(
         "root", "dir", "source", "ordinal", negated.alias("negated"), F.endswith(bare, F.lit("/")).alias("dir_only"), regex.alias("regex")
     )
 
@@ -114,4 +131,4 @@ def apply_ignore_rules(files: DataFrame, rules: DataFrame) -> DataFrame:
     """Files that no rule rules out; the last match in the nearest rule file wins,
     ``.ignore`` before ``.gitignore``, and nothing returns from below an ignored
     directory."""
-    return sized_join(files, ignored_files(files, rules), FILE, ["file_id"], "left_anti")
+    return sized_join(files, ignored_files(files.select(*FILE, "path"), rules), FILE, FILE, "left_anti")

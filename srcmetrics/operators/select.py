@@ -8,11 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from srcmetrics.functions import paths as p
-from srcmetrics.operators.skew import sized_join
 from srcmetrics.options import ScanOptions
 
-MANY_PREFIXES = 50
-
 
 def with_language(files: DataFrame) -> DataFrame:
     return files.withColumn("language", p.language_of(F.col("path")))
@@ -25,30 +22,23 @@ def generated_filter(files: DataFrame) -> DataFrame:
 
 
 def exclude_prefixes(files: DataFrame, prefixes: Sequence[str]) -> DataFrame:
-    """Drops files under any prefix. Long lists become an anti join on ancestors."""
-    prefixes = [x.strip() for x in prefixes if x.strip()]
-    if len(prefixes) <= MANY_PREFIXES:
-        return files.filter(~p.under_prefix(F.col("path"), prefixes))
+    """Drops files under any prefix, component by component; a null path is under none."""
     clean = sorted(
         {
             "/".join(c for c in x.split("/") if c not in ("", "."))
-            for x in prefixes
+            for x in map(str.strip, prefixes)
             if not x.startswith(("/", "./")) and x != "."
         }
         - {""}
     )
-    listed = files.sparkSession.createDataFrame([(x,) for x in clean], "prefix string")
+    if not clean:
+        return files
     parts = p.components(F.col("path"))
     ancestors = F.transform(
         F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/")
     )
-    covered = (
-        files.select("root", "file_id", F.explode(F.when(F.size(parts) > 0, ancestors)).alias("prefix"))
-        .join(F.broadcast(listed), "prefix", "left_semi")  # as long as the caller's own list
-        .select("root", "file_id")
-        .distinct()
-    )
-    return sized_join(files, covered, ["root", "file_id"], ["file_id"], "left_anti")
+    covered = (F.size(parts) > 0) & F.exists(ancestors, lambda a: a.isin(clean))
+    return files.filter(~F.coalesce(covered, F.lit(False)))
 
 
 def exclude_regex(files: DataFrame, patterns: Sequence[str]) -> DataFrame:

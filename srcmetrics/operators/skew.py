@@ -19,7 +19,7 @@ def _ensure_checkpoint_dir(spark: SparkSession) -> None:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         context.setCheckpointDir(shared)
-    elif context.master.startswith("local"):
+    elif context.master == "local" or context.master.startswith("local["):
         context.setCheckpointDir(tempfile.mkdtemp(prefix="srcmetrics-"))
     else:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
@@ -41,14 +41,22 @@ def salted_join(
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
+def broadcast_sized(small: DataFrame) -> bool:
+    """Whether a checkpointed side, measured, is within the bound for a broadcast."""
+    size = small.agg(F.sum(F.length(F.to_json(F.struct("*"))) + 32)).first()[0] or 0
+    return size <= BROADCAST_BYTES
+
+
 def sized_join(
     large: DataFrame, small: DataFrame, keys: Sequence[str], spread_by: Sequence[str], how: str = "inner"
 ) -> DataFrame:
-    """Broadcasts ``small`` if its measured size is within bounds; salts otherwise."""
+    """Broadcasts ``small`` if its measured size is within bounds. Beyond them the keys of
+    ``large`` are spread, unless ``spread_by`` is part of the key: then no key is hot."""
     small = checkpointed(small)
-    size = small.agg(F.sum(F.length(F.to_json(F.struct("*"))) + 32)).first()[0] or 0
-    if size <= BROADCAST_BYTES:
+    if broadcast_sized(small):
         return large.join(F.broadcast(small), list(keys), how)
+    if set(spread_by) <= set(keys):
+        return large.join(small, list(keys), how)
     return salted_join(large, small, keys, spread_by, how)
 
 

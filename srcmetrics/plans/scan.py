@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from srcmetrics.functions.paths import root_label
 from srcmetrics.operators.csharp_items import csharp_items
 from srcmetrics.operators.detect import detect_language
 from srcmetrics.operators.ignore import apply_ignore_rules, ignore_rules
@@ -15,19 +17,21 @@ from srcmetrics.operators.rank import top_functions
 from srcmetrics.operators.report import json_report, summary_text
 from srcmetrics.operators.rust_items import rust_items
 from srcmetrics.operators.select import select_files, with_language
-from srcmetrics.operators.skew import checkpointed, sized_join
-from srcmetrics.operators.structure import scan_status
+from srcmetrics.operators.skew import broadcast_sized, checkpointed, sized_join
+from srcmetrics.operators.structure import FILE, scan_status
 from srcmetrics.operators.summary import file_summary, totals
 from srcmetrics.operators.tree import tree_report
 from srcmetrics.options import ScanOptions
 
 
-def source_rows(files: DataFrame) -> DataFrame:
+def source_rows(files: DataFrame, language: str | None = None) -> DataFrame:
     """Items, and one ``file`` row with the total of each file, in one pass over
-    the text. Each language reads its own files; keep the table partitioned by
-    ``language`` and each byte is read once."""
-    rust = rust_items(files.filter(F.col("language") == "rust"), with_files=True)
-    return rust.unionByName(csharp_items(files.filter(F.col("language") == "csharp"), with_files=True))
+    the text of a language, or of both. Keep the table partitioned by ``language``
+    and each byte is read once."""
+    scans = {"rust": rust_items, "csharp": csharp_items}
+    wanted = [language] if language else list(scans)
+    rows = [scans[x](files.filter(F.col("language") == x), with_files=True) for x in wanted]
+    return reduce(DataFrame.unionByName, rows)
 
 
 def source_items(files: DataFrame) -> DataFrame:
@@ -67,30 +71,61 @@ class Scan:
         return tree_report(texts, known, filtered=self.options.offenders is not None)
 
 
-def _root_details(chosen: DataFrame, given: DataFrame | None) -> DataFrame:
-    if given is not None:
-        return given.join(chosen, "root", "left").withColumn("status", F.coalesce("status", F.lit("ambiguous")))
-    return chosen.withColumns(
-        {"label": F.regexp_extract("root", r"([^/]*)/*\z", 1), "kind": F.lit("directory"), "uri": F.col("root")}
-    )
+def _root_details(chosen: DataFrame, given: DataFrame | None, requested: str | None) -> DataFrame:
+    """Every root that is given or has files. A root without files has the language asked
+    for; without one it is ambiguous."""
+    found = {"label": root_label(F.col("root")), "kind": F.lit("directory"), "uri": F.col("root")}
+    if given is None:
+        return chosen.withColumns(found)
+    both = given.join(chosen, "root", "full_outer")
+    both = both.withColumns({k: F.coalesce(k, v) for k, v in found.items()})
+    if requested is not None:
+        both = both.withColumn("language", F.coalesce("language", F.lit(requested)))
+    known = F.when(F.col("language").isNotNull(), "ok").otherwise("ambiguous")
+    return both.withColumn("status", F.coalesce("status", known))
+
+
+def _chosen_files(paths: DataFrame, rules: DataFrame, options: ScanOptions) -> tuple[DataFrame, DataFrame]:
+    """(root, file_id) of the files to scan and the language of each root, from paths alone.
+
+    Own ignore rules hold before the language is told, as the files they rule out are no
+    part of the root."""
+    own = apply_ignore_rules(paths, rules.filter(F.col("source") == ".ignore"))
+    chosen = checkpointed(detect_language(own, options.language, options.mode))
+    kept = select_files(with_language(paths), options)
+    if options.language is None:
+        known = chosen.filter(F.col("status") == "ok").select("root", "language")
+        kept = sized_join(kept, known, ["root", "language"], ["file_id"])
+    return apply_ignore_rules(kept, rules).select(*FILE), chosen
 
 
 def scan(files: DataFrame, options: ScanOptions | None = None, roots: DataFrame | None = None) -> Scan:
     """Scans every root of ``source_files`` in its own language.
 
-    ``roots`` may add ``root, label, kind, uri``, also for roots without files."""
+    ``roots`` may add ``root, label, kind, uri``, also for roots without files.
+
+    Which files are scanned is told by paths. The text meets that choice where it is read
+    only if the choice can be broadcast; else every file that its path and options admit is
+    cut, and the choice meets the few short rows that come of it. Text is in no shuffle."""
     options = (options or ScanOptions()).check_patterns(files.sparkSession)
-    rules = ignore_rules(files, gitignore=options.ignore_rules)
-    chosen = checkpointed(detect_language(files, options.language, options.mode))
-    kept = select_files(with_language(files), options)
-    if options.language is None:
-        known = chosen.filter(F.col("status") == "ok").select("root", "language")
-        kept = sized_join(kept, known, ["root", "language"], ["file_id"])
-    kept = apply_ignore_rules(kept, rules)
+    rules = checkpointed(ignore_rules(files, gitignore=options.ignore_rules))
+    keys, chosen = _chosen_files(files.select(*FILE, "path"), rules, options)
+    keys = checkpointed(keys)
+    early = broadcast_sized(keys)
+
+    def admitted(table: DataFrame) -> DataFrame:
+        return table.join(F.broadcast(keys) if early else keys, FILE, "left_semi")
+
+    texts = select_files(with_language(files), options)
+    texts = admitted(texts) if early else texts
     if options.mode == "failfast":
-        status = source_status(kept, "failfast")
-        status.agg(F.count("status")).collect()
-    rows = checkpointed(source_rows(kept))  # small next to the text; read several times
+        status = source_status(texts)
+        status = status if early else admitted(status)
+        text = F.concat(F.lit("unable to parse source file "), F.col("path"))
+        failed = F.when(F.col("status") != "ok", F.raise_error(text).cast("string"))
+        status.select(failed.alias("failed")).agg(F.count("failed")).collect()
+    rows = source_rows(texts, options.language)
+    rows = checkpointed(rows if early else admitted(rows))  # small next to the text; read several times
     sizes = rows.filter(F.col("category") == "file").select(
         "root", "file_id", "path", "language", F.col("loc").alias("total_loc")
     )
@@ -101,4 +136,4 @@ def scan(files: DataFrame, options: ScanOptions | None = None, roots: DataFrame
         sizes = offending_files(sizes, items, limits.max_loc_per_file, limits.max_loc_per_fn)
         items = offender_items(items, sizes, limits.max_loc_per_fn)
         top = offending_functions(top, limits.max_loc_per_fn)
-    return Scan(options, _root_details(chosen, roots), sizes, items, top)
+    return Scan(options, _root_details(chosen, roots, options.language), sizes, items, top)

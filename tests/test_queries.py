@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-import __spark_entry__ as contract
+from checks import oracle, queries
 from checks.compare import differences, duck
 
 SF = "/root/testdata/sf0.001"
@@ -17,12 +17,12 @@ def con():
 
 
 def test_each_query_has_sql():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(queries.queries()) == set(oracle.oracle_sql())
 
 
-@pytest.mark.parametrize("name", list(contract.queries()))
+@pytest.mark.parametrize("name", list(queries.queries()))
 def test_query(spark, con, name):
-    got = contract.queries()[name](spark, SF).toPandas()
-    want = con.execute(contract.oracle_sql()[name]).df()
+    got = queries.queries()[name](spark, SF).toPandas()
+    want = con.execute(oracle.oracle_sql()[name]).df()
     assert len(got) > 0
     assert differences(got, want) == []
