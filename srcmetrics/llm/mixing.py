@@ -135,12 +135,13 @@ def mix_sources(
     pool = sources.agg(F.sum("target")).first()[0] or 0.0
     block = max(1, math.ceil(pool / slots))
 
-    spread = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30))
+    named = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    spread = F.conv(F.substring(F.md5(F.encode(named, "UTF-8")), 1, 8), 16, 10).cast("bigint")
     known = sources.select(F.col("source").alias("_source"), "rank", "source_rows", "source_size", "target")
     placed = (
         docs.join(bounded(known, 96), F.expr("source <=> _source"))
         .withColumn("_hash", spread)
-        .withColumn("_chunk", F.expr(f"_hash * ceil(source_rows / {CHUNK_DOCS}) div {1 << 30}L"))
+        .withColumn("_chunk", F.expr(f"_hash * ceil(source_rows / {CHUNK_DOCS}) div {1 << 32}L"))
         .drop("_source", "source_rows")
     )
     empty = placed.filter("size = 0").drop("_hash", "_chunk", "rank").withColumn("taken", F.lit(0).cast("bigint"))

@@ -16,6 +16,7 @@ from srcmetrics.llm.langid import identify_languages
 from srcmetrics.llm.lines import dedup_lines
 from srcmetrics.llm.mixing import mix_sources, word_count
 from srcmetrics.llm.ngram_join import ngram_components
+from srcmetrics.llm.oracle import oracle_sql as oracle_sql
 from srcmetrics.llm.sharding import shard_documents
 from srcmetrics.llm.store import ship
 from srcmetrics.llm.warc import read_records, write_archives
@@ -99,7 +100,3 @@ def queries() -> dict[str, Query]:
         "op10_tokens": op10_tokens,
         "pipeline": corpus_pipeline.run,
     }
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
