@@ -12,11 +12,14 @@ import os
 import sys
 import time
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from checks import corpora  # noqa: E402
 from checks.queries import queries  # noqa: E402
+from srcmetrics.options import ScanOptions  # noqa: E402
+from srcmetrics.plans.scan import scan  # noqa: E402
 
 HEADLINE = [
     "file_loc",
@@ -35,9 +38,15 @@ HEADLINE = [
     "json_files",
     "tree_report",
     "ordered_files",
+    "scan",
 ]
 
 
+def _scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The one job a user runs: selection, definitions and totals of the Rust corpus."""
+    return scan(corpora.rust_files(spark, sf_dir), ScanOptions(language="rust")).items
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", os.cpu_count() or 8))
@@ -53,7 +62,7 @@ def main() -> None:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    registered = queries()
+    registered = queries() | {"scan": _scan}
     spark.read.parquet(f"{sf_dir}/documents.parquet").count()  # start the executors
     took: dict[str, float] = {}
     for name in names:

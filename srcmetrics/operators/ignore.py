@@ -31,8 +31,8 @@ def _glob_regex(glob: Column) -> Column:
 def _malformed(glob: Column) -> Column:
     """Globs that no path can match: a class that is not closed, holds another one or has a
     range out of order, or a lone backslash at the end."""
-    classes = F.regexp_extract_all(glob, F.lit(r"\[[!^]?\]?[^\[\]]*\]"), F.lit(0))
-    left = F.regexp_replace(glob, r"\\.|\[[!^]?\]?[^\[\]]*\]", "")
+    classes = F.regexp_extract_all(glob, F.lit(r"\[[!^]?+\]?+[^\[\]]*\]"), F.lit(0))
+    left = F.regexp_replace(glob, r"\\.|\[[!^]?+\]?+[^\[\]]*\]", "")
 
     def disordered(body: Column) -> Column:
         ranges = F.regexp_extract_all(F.regexp_replace(body, r"^\[[!^]?|\]$", ""), F.lit(r"[\s\S]-[\s\S]"), F.lit(0))
