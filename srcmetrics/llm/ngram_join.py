@@ -37,7 +37,7 @@ from srcmetrics.llm.store import bounded, stored
 #: N-grams and documents of a block, and n-grams of a fragment, about.
 BLOCK_NGRAMS, BLOCK_DOCS, FRAGMENT_NGRAMS = 1 << 21, 60_000, 1 << 19
 #: Fragments (a power of two, as bits) in which overlaps of pairs are counted.
-PAIR_FRAGMENT_BITS = 3
+PAIR_FRAGMENT_BITS = 2
 #: Stands for "several documents of the block" in place of a document's number.
 _SEVERAL = 0xFFFF
 NODE = ["node", "n", "b0", "b1", "b2", "b3"]
