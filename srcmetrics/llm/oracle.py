@@ -87,6 +87,28 @@ SELECT doc_id, size, source_size, target, 0, s.source
 FROM sizes s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source WHERE size = 0
 """
 
+OP5 = """
+WITH crc_table AS (
+    SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0],
+        lambda c, x: CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY n) AS t
+    FROM (SELECT unnest(range(256))::BIGINT AS n)),
+sized AS (
+    SELECT doc_id, (coalesce(strlen(text), 0) + 16)::BIGINT AS size,
+        CASE WHEN text IS NOT NULL THEN xor(4294967295, list_reduce(list_prepend(4294967295,
+            list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: ('0x' || h)::BIGINT)),
+            lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8))) END AS text_crc32
+    FROM documents, crc_table),
+summed AS (
+    SELECT *, sum(size) OVER () AS total, sum(size) OVER w - size AS before, row_number() OVER w AS place
+    FROM sized
+    WINDOW w AS (ORDER BY doc_id NULLS FIRST, text_crc32 NULLS FIRST, size
+        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+placed AS (SELECT *, least(39, (2 * before + size) * 40 // (2 * total))::INT AS shard FROM summed)
+SELECT doc_id, size, text_crc32::BIGINT AS text_crc32, 'bytes' AS law, shard,
+    row_number() OVER (PARTITION BY shard ORDER BY place) - 1 AS slot, NULL::INT AS grown_shard
+FROM placed
+"""
+
 OP6 = r"""
 WITH body AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(</article>|\z)', 1) AS h FROM pages),
 parts AS (
@@ -116,6 +138,7 @@ def oracle_sql() -> dict[str, str]:
         "op1_ngram_join": OP1,
         "op2_leaks": OP2,
         "op3_mix": OP3,
+        "op5_shards": OP5,
         "op6_main_text": OP6,
         "op9_warc": OP9,
     }
