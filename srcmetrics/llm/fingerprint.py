@@ -21,6 +21,8 @@ from srcmetrics.llm.store import stored
 WIDTH = 8
 #: Widths of the larger tables that are tried in turn, on parts of about PART digests.
 LARGER, PART = (32, 128, 512), 32
+#: Failed comparisons that one task repeats with larger tables.
+TASK_ROWS = 4000
 #: Rounds of peeling; a table that needs more counts as failed.
 ROUNDS = 24
 _CELL = "struct<n:int,k:bigint,c:bigint>"
@@ -106,11 +108,12 @@ def fingerprint(digests: Column) -> Column:
     return F.array_join(F.transform(table(digests, WIDTH), cell), " ")
 
 
-def larger_differences(rows: DataFrame, key: list[str]) -> DataFrame:
+def larger_differences(rows: DataFrame, key: list[str], tasks: int) -> DataFrame:
     """(key, differing): how many digests of ``rows(key, a, b)`` are in one of the two only,
     by larger tables, for rows whose first table has failed.
 
-    The digests are dealt by their hash to parts of about PART, so that no table grows with
+    The work is in the tables, not in bytes moved, so the number of ``tasks`` is given. The
+    digests are dealt by their hash to parts of about PART, so that no table grows with
     the document; a part whose table fails is tried with the next width, and one that fails
     with all (less than one in a million) is compared digest by digest."""
     parts = F.greatest(F.lit(1), F.ceil((F.size("a") + F.size("b")) / PART))
@@ -121,6 +124,7 @@ def larger_differences(rows: DataFrame, key: list[str]) -> DataFrame:
     dealt = (
         rows.select(*key, parts.alias("_parts"), F.explode(sides).alias("s"))
         .select(*key, F.pmod(F.xxhash64("s.d", F.lit(1)), F.col("_parts")).alias("_part"), "s.d", "s.left")
+        .repartition(tasks, *key, "_part")
         .groupBy(*key, "_part")
         .agg(
             F.collect_list(F.when(F.col("left"), F.col("d"))).alias("a"),
@@ -142,7 +146,7 @@ def _half(n: Column) -> Column:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """(k1, k2, occ, doc_id, n_chars, text, head, next): each row of ``docs(doc_id, text)``
+    """(k1, k2, occ, doc_id, n_chars, next_doc_id, text, head, next): each row of ``docs(doc_id, text)``
     with the first half as many code points of the next document's text in descending doc_id
     (null last, then by hash; after the last the first), and that document's digests.
 
@@ -163,13 +167,16 @@ def with_next(docs: DataFrame) -> DataFrame:
     )
     links = ordered.join(target, "position").select("k1", "k2", "copies", "t1", "t2", _half(F.col("tn")).alias("need"))
     same = Window.partitionBy("k1", "k2").orderBy("k1")
-    placed = keyed.join(links, ["k1", "k2"]).withColumn("occ", F.row_number().over(same))
-    pieces = placed.filter("occ = 1").select(
+    # both uses of the join read the same columns, so that they share the texts' exchange
+    moved = keyed.join(links, ["k1", "k2"])
+    placed = moved.withColumn("occ", F.row_number().over(same))
+    pieces = moved.select(
         F.col("t1").alias("k1"),
         F.col("t2").alias("k2"),
+        F.col("doc_id").alias("next_doc_id"),
         F.expr("substring(text, 1, need)").alias("head"),
         paragraph_digests(F.col("text")).alias("next"),
-    )
+    ).dropDuplicates(["k1", "k2"])
     repeated = F.col("occ") < F.col("copies")
     n = F.char_length("text")
     return placed.join(pieces, ["k1", "k2"]).select(
@@ -179,6 +186,7 @@ def with_next(docs: DataFrame) -> DataFrame:
         "doc_id",
         "text",
         n.alias("n_chars"),
+        F.when(repeated, F.col("doc_id")).otherwise(F.col("next_doc_id")).alias("next_doc_id"),
         F.when(repeated, F.substring("text", F.lit(1), _half(n))).otherwise(F.col("head")).alias("head"),
         F.when(repeated, paragraph_digests(F.col("text"))).otherwise(F.col("next")).alias("next"),
     )
@@ -191,7 +199,7 @@ def _likeness(differing: Column, a: Column, b: Column) -> Column:
 
 def compare_versions(docs: DataFrame) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
-    near_next) for every row of ``docs(doc_id, text)``.
+    near_next, next_doc_id) for every row of ``docs(doc_id, text)``.
 
     The edited text has the last floor(n_chars / 2) code points replaced by the first as many
     (or all) of the next document. Likeness is 1 less the share of differing digests in all
@@ -201,7 +209,7 @@ def compare_versions(docs: DataFrame) -> DataFrame:
     text, n, head = F.col("text"), F.col("n_chars"), F.col("head")
     edited = F.concat(F.substring(text, F.lit(1), n - _half(n)), head)
     versions = with_next(docs).select(
-        "k1", "k2", "occ", "doc_id", "n_chars",
+        "k1", "k2", "occ", "doc_id", "n_chars", "next_doc_id",
         F.sha2(edited, 256).alias("edited_sha256"),
         paragraph_digests(text).alias("a"),
         paragraph_digests(edited).alias("e"),
@@ -210,12 +218,13 @@ def compare_versions(docs: DataFrame) -> DataFrame:
     own = versions.withColumns({f"_{c}": table(F.col(c), WIDTH) for c in "aex"})
     tried = {f"d_{c}": F.size(peeled(subtracted(F.col("_a"), F.col(f"_{c}")), WIDTH)) for c in "ex"}
     key = ["k1", "k2", "occ"]
-    base = stored(own.select(*key, "doc_id", "n_chars", "edited_sha256", "a", "e", "x", *(F.when(v >= 0, v).alias(k) for k, v in tried.items())))
+    base = stored(own.select(*key, "doc_id", "n_chars", "next_doc_id", "edited_sha256", "a", "e", "x", *(F.when(v >= 0, v).alias(k) for k, v in tried.items())))
     failed = base.filter("d_e IS NULL OR d_x IS NULL").select(
         *key, "a", F.explode(F.array(*(F.struct(F.lit(c).alias("to"), F.col(c).alias("b"), F.col(f"d_{c}").alias("d")) for c in "ex"))).alias("v")
     )
     failed = failed.filter("v.d IS NULL").select(*key, "v.to", "a", "v.b")
-    larger = larger_differences(failed, [*key, "to"]).groupBy(*key).agg(
+    tasks = max(1, -(-failed.count() // TASK_ROWS))
+    larger = larger_differences(failed, [*key, "to"], tasks).groupBy(*key).agg(
         *(F.max(F.when(F.col("to") == c, F.col("differing"))).alias(f"l_{c}") for c in "ex")
     )
     a, e, x = F.col("a"), F.col("e"), F.col("x")
@@ -227,4 +236,5 @@ def compare_versions(docs: DataFrame) -> DataFrame:
         fingerprint(e).alias("edited_fingerprint"),
         _likeness(F.coalesce("d_e", "l_e"), a, e).alias("near_edited"),
         _likeness(F.coalesce("d_x", "l_x"), a, x).alias("near_next"),
+        "next_doc_id",
     )
