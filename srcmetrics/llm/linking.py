@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from srcmetrics.llm.components import components
 from srcmetrics.llm.store import bounded, stored
 
+#: Rows of a key that all its rows are held against in a round, and rounds.
+PIVOTS, ROUNDS = 8, 2
+
 
 def linked_components(
     keys: DataFrame,
@@ -23,29 +26,45 @@ def linked_components(
     key at which one of them has ``index``. ``may_link(x, y)`` is an SQL condition on the
     attributes that every link meets; ``verified`` keeps the links of pairs (a, b).
 
-    First the rows of a key are held against three pivots, its least and greatest node and
-    one by hash, and the verified links joined to components. Then rows of a key whose nodes
-    are still in different components are held against each other. So every link is found
-    or lies within one component, and a group of alike rows costs a few pairs each."""
-    node = F.struct("node", *attributes)
-    mixed = F.struct(F.xxhash64("node").alias("h"), "node", *attributes)
-    pivots = (
-        keys.groupBy("key")
-        .agg(F.min(node).alias("p0"), F.max(node).alias("p1"), F.min(mixed).alias("p2"), F.max("index").alias("some"))
-        .filter("p0.node <> p1.node AND some")
-        .select("key", F.explode(F.array("p0", "p1", F.struct(*(F.col(f"p2.{c}") for c in ["node", *attributes])))).alias("p"))
-    )
-    near = F.expr("x.node <> p.node AND " + may_link("x", "p"))
-    tried = keys.alias("x").join(pivots, "key").filter(near)
-    links = verified(tried.select(F.least("x.node", "p.node").alias("a"), F.greatest("x.node", "p.node").alias("b")).distinct())
-    roots = stored(components(links))
-
-    rooted = keys.join(bounded(roots, 24), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    In each of ROUNDS rounds the rows of a key are held against PIVOTS of them, chosen by
+    hash, that are in other components as yet, and the verified links are joined to
+    components. Then rows of a key whose nodes are still in different components are held
+    against each other. So every link is found or lies within one component, and a group of
+    alike rows costs a few pairs each."""
+    ends = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.max("index").alias("some"))
+    shared = stored(ends.filter("low <> high AND some").select("key"))
+    keys = stored(keys.join(bounded(shared, 16), "key", "left_semi"))
+    fields = ["node", *attributes, "root"]
+    roots = None
+    for turn in range(ROUNDS):
+        rooted = _rooted(keys, roots)
+        hashes = [F.xxhash64("node", F.lit(turn * PIVOTS + k)).alias("h") for k in range(PIVOTS)]
+        least = [F.min(F.struct(h, *fields)).alias(f"p{k}") for k, h in enumerate(hashes)]
+        plain = [F.struct(*(F.col(f"p{k}.{c}").alias(c) for c in fields)) for k in range(PIVOTS)]
+        pivots = rooted.groupBy("key").agg(*least).select("key", F.explode(F.array_distinct(F.array(*plain))).alias("p"))
+        near = F.expr("x.root <> p.root AND " + may_link("x", "p"))
+        tried = rooted.alias("x").join(pivots, "key").filter(near)
+        pairs = tried.select(F.least("x.node", "p.node").alias("a"), F.greatest("x.node", "p.node").alias("b"))
+        roots = _joined(roots, verified(pairs.distinct()))
+
+    rooted = _rooted(keys, roots)
     x, y = rooted.filter("index").alias("x"), rooted.alias("y")
     apart = F.expr("x.node <> y.node AND x.root <> y.root AND (NOT y.index OR x.node < y.node) AND " + may_link("x", "y"))
     rest = x.join(y, (F.col("x.key") == F.col("y.key")) & apart)
-    more = verified(rest.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
-    if more.isEmpty():
+    pairs = rest.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+    return _joined(roots, verified(pairs.distinct()))
+
+
+def _rooted(keys: DataFrame, roots: DataFrame | None) -> DataFrame:
+    if roots is None:
+        return keys.withColumn("root", F.col("node"))
+    return keys.join(bounded(roots, 24), "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def _joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components of the links and of the components so far."""
+    if roots is None:
+        return stored(components(links))
+    if links.isEmpty():
         return roots
-    stars = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-    return stored(components(stars.unionByName(more)))
+    return stored(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links)))

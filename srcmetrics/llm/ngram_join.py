@@ -22,7 +22,7 @@ components is missed.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,11 +35,12 @@ from srcmetrics.llm.shingles import mix, shingle_sets
 from srcmetrics.llm.store import bounded, stored
 
 #: N-grams and documents of a block, and n-grams of a fragment, about.
-BLOCK_NGRAMS, BLOCK_DOCS, FRAGMENT_NGRAMS = 1 << 21, 60_000, 1 << 19
+BLOCK_NGRAMS, BLOCK_DOCS, FRAGMENT_NGRAMS = 1 << 20, 60_000, 1 << 19
 #: Fragments (a power of two, as bits) in which overlaps of pairs are counted.
-PAIR_FRAGMENT_BITS = 2
+PAIR_FRAGMENT_BITS = 1
 #: Stands for "several documents of the block" in place of a document's number.
 _SEVERAL = 0xFFFF
+SetsOf = Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]
 NODE = ["node", "n", "b0", "b1", "b2", "b3"]
 _PARTS = "frag bigint, block bigint, ngrams binary, docs binary"
 _COUNTED = "doc_id bigint, sid bigint, n int, shared bigint"
@@ -82,29 +83,25 @@ def _cut(bits: int, block: int, docs: np.ndarray, hashes: list, owners: list) ->
             yield _binary((frag, block, narrow.tobytes(), owner[a:b].tobytes()))
 
 
-def _blocks(size: int, bits: int):
+def _blocks(sets_of: SetsOf, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 24
         docs: list = []
         hashes: list = []
         owners: list = []
         n_docs = n_grams = 0
-        for batch in batches:
-            ids = batch.column("doc_id")
-            valid = ids.is_valid().to_numpy(zero_copy_only=False)
-            ids = ids.fill_null(0).to_numpy()
-            for at, end, h, first in shingle_sets(batch.column("text"), size):
-                if n_docs and (n_docs + end - at > BLOCK_DOCS or n_grams + len(h) > BLOCK_NGRAMS):
-                    yield from _cut(bits, block, np.concatenate(docs), hashes, owners)
-                    docs, hashes, owners, n_docs, n_grams = [], [], [], 0, 0
-                    block += 1
-                own = np.zeros(end - at, _DOC)
-                own["id"], own["valid"] = ids[at:end], valid[at:end]
-                own["sid"], own["n"] = _set_ids(h, first)
-                docs.append(own)
-                hashes.append(h)
-                owners.append(np.repeat(np.arange(n_docs, n_docs + end - at), np.diff(first)))
-                n_docs, n_grams = n_docs + end - at, n_grams + len(h)
+        for ids, valid, h, first in (part for batch in batches for part in sets_of(batch)):
+            if n_docs and (n_docs + len(ids) > BLOCK_DOCS or n_grams + len(h) > BLOCK_NGRAMS):
+                yield from _cut(bits, block, np.concatenate(docs), hashes, owners)
+                docs, hashes, owners, n_docs, n_grams = [], [], [], 0, 0
+                block += 1
+            own = np.zeros(len(ids), _DOC)
+            own["id"], own["valid"] = ids, valid
+            own["sid"], own["n"] = _set_ids(h, first)
+            docs.append(own)
+            hashes.append(h)
+            owners.append(np.repeat(np.arange(n_docs, n_docs + len(ids)), np.diff(first)))
+            n_docs, n_grams = n_docs + len(ids), n_grams + len(h)
         if n_docs:
             yield from _cut(bits, block, np.concatenate(docs), hashes, owners)
 
@@ -161,17 +158,30 @@ def _summed(table: pa.Table) -> pa.Table:
     )
 
 
-def shared_ngrams(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, sid, n, shared) of ``docs(doc_id, text)``: identity and size of each
-    document's set, and how many of its n-grams are also in another document's set (at
-    least; a clash of 48-bit hashes may add one)."""
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = max(0, int(total / 6 / FRAGMENT_NGRAMS).bit_length())
-    parts = docs.select("doc_id", "text").mapInArrow(_blocks(size, bits), _PARTS)
+def shared_members(rows: DataFrame, sets_of: SetsOf, members: int) -> DataFrame:
+    """(doc_id, sid, n, shared): identity and size of each row's set, and how many of its
+    members are also in another row's set (at least; a clash of 48-bit hashes may add one).
+    ``sets_of`` gives (ids, their validity, members' hashes, first index of each id) of a
+    batch; ``members`` is about their number in all."""
+    bits = max(0, (members // FRAGMENT_NGRAMS).bit_length())
+    parts = rows.mapInArrow(_blocks(sets_of, bits), _PARTS)
     parts = parts.groupBy("frag").applyInArrow(_in_fragment(bits), _PARTS)
     return parts.groupBy("block").applyInArrow(_summed, _COUNTED)
 
 
+def shared_ngrams(docs: DataFrame, size: int) -> DataFrame:
+    """``shared_members`` of the n-gram sets of ``docs(doc_id, text)``."""
+
+    def sets_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        ids = batch.column("doc_id")
+        valid, ids = ids.is_valid().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy()
+        for at, end, h, first in shingle_sets(batch.column("text"), size):
+            yield ids[at:end], valid[at:end], h, first
+
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return shared_members(docs.select("doc_id", "text"), sets_of, total // 6)
+
+
 def _fragments(size: int):
     shift = np.uint64(64 - PAIR_FRAGMENT_BITS)
 
@@ -216,11 +226,13 @@ def _verified(pairs: DataFrame, pieces: DataFrame, pct: int) -> DataFrame:
 
 
 def _may_link(pct: int, x: str, y: str) -> str:
-    """Exact bounds from sizes and parity bitmaps: sets that differ in d n-grams have
-    bitmaps that differ in d bits at most."""
+    """Exact bounds. Sets that differ in d n-grams have bitmaps that differ in d bits at most;
+    at the first n-gram that two sets share in the global order, all others they share are
+    among the ``rest`` after it."""
     bits = " + ".join(f"bit_count({x}.b{k} ^ {y}.b{k})" for k in range(4))
     return (
         f"100 * least({x}.n, {y}.n) >= {pct} * greatest({x}.n, {y}.n)"
+        f" AND {100 + pct} * (1 + least({x}.rest, {y}.rest)) >= {pct} * ({x}.n + {y}.n)"
         f" AND {100 + pct} * ({bits}) <= {100 - pct} * ({x}.n + {y}.n)"
     )
 
@@ -256,14 +268,14 @@ def ngram_components(docs: DataFrame, size: int, pct: int) -> DataFrame:
         .withColumn("kept", F.count("*").over(of_node))
         .withColumn("place", F.row_number().over(of_node.orderBy("df", "gram")))
         .filter(f"place <= kept - {least} + 1")
-        .select("gram", "node")
+        .select("gram", "node", (F.col("kept") - F.col("place")).alias("rest"))
     )
     about = pieces.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "b0", "b1", "b2", "b3")))
     prefix = stored(prefix.join(about, "node"))
 
-    keys = prefix.select(F.col("gram").alias("key"), *NODE, F.lit(True).alias("index"))
+    keys = prefix.select(F.col("gram").alias("key"), *NODE, "rest", F.lit(True).alias("index"))
     roots = linked_components(
-        keys, NODE[1:], lambda x, y: _may_link(pct, x, y), lambda pairs: _verified(pairs, pieces, pct)
+        keys, [*NODE[1:], "rest"], lambda x, y: _may_link(pct, x, y), lambda pairs: _verified(pairs, pieces, pct)
     )
 
     grouped = classes.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
