@@ -199,3 +199,33 @@ def test_line_join_edges(edges, nothing):
     assert got[(10, 2, 10, 2, True)] == 1  # short lines are copies only if equal
     assert not any(r[0] in (3, 4) for r in got)
     assert ln.dedup_lines(nothing).count() == 0
+
+
+def test_line_threshold_grows_with_the_line(llm):
+    assert [int(ln.threshold(n)) for n in (24, 77, 78, 216, 1068)] == [2, 2, 3, 16, 102]
+    rng = random.Random(12)
+    lines = []
+    for n in (78, 90, 121, 122, 150, 216, 380, 700, 1500):  # both sides of the segments' end and of the band
+        for _ in range(4):
+            x = "".join(rng.choice("abcdefgh ") for _ in range(n - 2)) + "."
+            most, at = int(ln.threshold(n - 1)), rng.randrange(n // 4)
+            lines += [x, x[:at] + "Z" * most + x[at + most :], x[: n // 2] + "Q" * (most - 1) + x[n // 2 :], edited(rng, x, 2), x[:at] + "Y" * (2 * most + 4) + x[at + 2 * most + 4 :]]
+    rng.shuffle(lines)
+    rows = [((0, k), x) for k, x in enumerate(lines, 1)]
+    near = lambda a, b: distance(a[1], b[1]) <= ln.threshold(min(len(a[1]), len(b[1]))) if abs(len(a[1]) - len(b[1])) < 160 else False
+    by = collections.defaultdict(list)
+    for r in rows:  # lines of other groups have nothing in common: only each group by brute force
+        by[min(range(9), key=lambda k: abs(len(r[1]) - 1.07 * (78, 90, 121, 122, 150, 216, 380, 700, 1500)[k]))].append(r)
+    got = {r.line_no: r.first_line_no for r in ln.dedup_lines(llm.createDataFrame([(0, "\n".join(lines))], ID_TEXT)).collect()}
+    for part in ([x for k in range(5) for x in by[k]], by[5], by[6]):
+        assert [got[k] for (_, k), _ in part] == [first for _, first in groups(part, near)]
+    assert len(set(got.values())) < len(lines) / 2
+
+
+def test_any_number_of_edits():
+    rng = random.Random(13)
+    a = ["".join(rng.choice("abé") for _ in range(rng.randrange(90))) for _ in range(300)]
+    b = [edited(rng, x, rng.randrange(30)) for x in a]
+    assert [ln.edit_distance(x, y) for x, y in zip(a, b)] == [distance(x, y) for x, y in zip(a, b)]
+    want = [distance(x, y) <= ln.threshold(min(len(x), len(y))) for x, y in zip(a, b)]
+    assert ln.near(a, b).tolist() == want
