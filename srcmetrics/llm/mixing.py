@@ -14,6 +14,9 @@ from srcmetrics.llm.store import bounded, stored
 GOLDEN = 0.6180339887498949
 #: Slots of the schedule; a block has the mix's tokens divided by this, at least one token.
 SLOTS = 1 << 21
+#: Slots that each source has at least; one with a smaller target has smaller blocks, and at
+#: less than a token a slot takes several slots for a token.
+SOURCE_SLOTS = 1 << 10
 #: Rows of a source, and slots, that one task puts in order; more are cut by hash or number.
 CHUNK_DOCS, CHUNK_SLOTS = 1 << 11, 1 << 14
 #: Cells of the unit interval by which slots find their source.
@@ -80,18 +83,28 @@ def source_targets(
     return totals.withColumn("target", target).drop("weight", "cap")
 
 
+def source_blocks(sources: DataFrame, block: int) -> DataFrame:
+    """Adds ``block``, the tokens of the source's blocks, ``every``, the slots that it is dealt
+    for each of them, and ``share``, what it has of the schedule: its target, or more as its
+    blocks are smaller than ``block``."""
+    own = F.greatest(F.lit(1), F.least(F.lit(block), F.floor(F.col("target") / SOURCE_SLOTS))).cast("bigint")
+    every = F.when(F.col("target") > 0, F.greatest(F.lit(1), F.ceil(SOURCE_SLOTS / F.col("target"))))
+    sized = sources.withColumn("block", own).withColumn("every", F.coalesce(every, F.lit(1)).cast("bigint"))
+    return sized.withColumn("share", F.col("target") * (F.lit(float(block)) / F.col("block")) * F.col("every"))
+
+
 def schedule(sources: DataFrame, slots: int) -> DataFrame:
     """(slot, rank, turn): the source that each of ``slots`` slots takes from, and the slot's
     number among that source's, from 0.
 
     Slot i has the point i * golden ratio modulo 1; its source is the one in whose part of
-    the cumulative targets the point falls, found by an equi-join on cells of the interval."""
+    the cumulative shares the point falls, found by an equi-join on cells of the interval."""
     upto = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     everything = Window.partitionBy()
     parts = (
         sources.filter("target > 0")
-        .withColumn("_pool", F.sum("target").over(everything))
-        .withColumn("_to", F.sum("target").over(upto) / F.col("_pool"))
+        .withColumn("_pool", F.sum("share").over(everything))
+        .withColumn("_to", F.sum("share").over(upto) / F.col("_pool"))
         .withColumn("_to", F.when(F.col("rank") == F.max("rank").over(everything), 1.0).otherwise(F.col("_to")))
         .withColumn("_from", F.coalesce(F.lag("_to").over(Window.orderBy("rank")), F.lit(0.0)))
         .withColumn("_cell", F.explode(F.sequence(F.floor(F.col("_from") * CELLS), F.floor(F.col("_to") * CELLS))))
@@ -123,9 +136,12 @@ def mix_sources(
     """(documents, blocks): what a mix of ``docs(doc_id, source, size)`` takes.
 
     Each source's documents are shuffled by a seeded hash into one stream of tokens, cut into
-    equal blocks (the last is shorter). The golden-ratio schedule deals slots to sources by
-    their targets; a source's turn t stands for its block t modulo its number of blocks, so
-    later turns repeat the stream from its start; turns beyond ``most`` passes are left out.
+    equal blocks (the last is shorter): the pool's tokens by ``slots``, or fewer in a source
+    whose target would have less than SOURCE_SLOTS of them. The golden-ratio schedule deals
+    slots to sources by their targets in blocks; a source's turn t stands for its block t modulo
+    its number of blocks, so later turns repeat the stream from its start; turns beyond ``most``
+    passes are left out. So each source is within a few blocks, or a few in a thousand, of its
+    target, at every size of the corpus.
     ``documents``: doc_id, source, size, source_size, target and taken, the tokens of the
     document in the blocks dealt, repeats counted. ``blocks``: slot, rank of the source,
     block and pass. Equal inputs give equal mixes on any cluster. Documents without words
@@ -134,28 +150,32 @@ def mix_sources(
     sources = stored(source_targets(docs, weights, share, most))
     pool = sources.agg(F.sum("target")).first()[0] or 0.0
     block = max(1, math.ceil(pool / slots))
+    sources = stored(source_blocks(sources, block))
+    shares = sources.agg(F.sum("share")).first()[0] or 0.0
 
     named = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     spread = F.conv(F.substring(F.md5(F.encode(named, "UTF-8")), 1, 8), 16, 10).cast("bigint")
-    known = sources.select(F.col("source").alias("_source"), "rank", "source_rows", "source_size", "target")
+    known = sources.select(F.col("source").alias("_source"), "rank", "source_rows", "source_size", "target", F.col("block").alias("_block"))
     placed = (
         docs.join(bounded(known, 96), F.expr("source <=> _source"))
         .withColumn("_hash", spread)
         .withColumn("_chunk", F.expr(f"_hash * ceil(source_rows / {CHUNK_DOCS}) div {1 << 32}L"))
         .drop("_source", "source_rows")
     )
-    empty = placed.filter("size = 0").drop("_hash", "_chunk", "rank").withColumn("taken", F.lit(0).cast("bigint"))
+    empty = placed.filter("size = 0").drop("_hash", "_chunk", "rank", "_block").withColumn("taken", F.lit(0).cast("bigint"))
     stream = _ahead(placed.filter("size > 0"), ["rank"], "_chunk", ["_hash", "doc_id", "size"], F.col("size"))
     pieces = stream.withColumn(
-        "block", F.explode(F.sequence(F.expr(f"start div {block}L"), F.expr(f"(start + size - 1) div {block}L")))
+        "block", F.explode(F.sequence(F.expr("start div _block"), F.expr("(start + size - 1) div _block")))
     ).withColumn(
-        "_words", F.expr(f"least((block + 1) * {block}L, start + size) - greatest(block * {block}L, start)")
+        "_words", F.expr("least((block + 1) * _block, start + size) - greatest(block * _block, start)")
     )
 
-    lengths = sources.select("rank", F.expr(f"(source_size + {block - 1}L) div {block}L").alias("_blocks"))
+    lengths = sources.select("rank", "every", F.expr("(source_size + block - 1) div block").alias("_blocks"))
     dealt = (
-        schedule(sources, math.ceil(pool / block))
-        .join(bounded(lengths, 16), "rank")
+        schedule(sources, math.ceil(shares / block))
+        .join(bounded(lengths, 24), "rank")
+        .filter("turn % every = 0")
+        .withColumn("turn", F.expr("turn div every"))
         .filter(F.col("turn") < most * F.col("_blocks"))
         .select("slot", "rank", F.expr("turn % _blocks").alias("block"), F.expr("turn div _blocks").alias("pass"))
     )

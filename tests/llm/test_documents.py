@@ -73,6 +73,23 @@ def test_mix(llm, edges, nothing):
     assert mix_sources(nothing.select("doc_id", "source", F.lit(0).cast("bigint").alias("size")))[0].count() == 0
 
 
+def test_mix_reaches_tiny_sources_beside_a_hot_one(llm):
+    rows = [(i, "hot", 5000) for i in range(2000)]
+    tiny = {"a": [1], "b": [2, 1], "c": [40] * 3, "d": [30] * 40, "e": [100] * 60, None: [9]}
+    rows += [(10_000 + 100 * k + i, s, n) for k, (s, sizes) in enumerate(tiny.items()) for i, n in enumerate(sizes)]
+    table = llm.createDataFrame(rows, "doc_id bigint, source string, size bigint")
+    mixed, _ = mix_sources(table, slots=1 << 10)  # a block has 14,655 tokens, a tiny source 1 to 6,000
+    taken, target = collections.Counter(), {}
+    for r in mixed.collect():
+        assert 0 <= r.taken <= 2 * r["size"]
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    assert len(taken) == 7 and all(target[s] == 2 * sum(n) for s, n in tiny.items())
+    for s in tiny:
+        assert taken[s] > 0 and abs(taken[s] - target[s]) <= max(1, 0.01 * target[s])
+    assert abs(taken["hot"] - target["hot"]) <= 0.01 * target["hot"]
+
+
 def test_language_held_out_accuracy(llm):
     words = {
         "en": "the and of to in that with was for on are this from have which".split(),
