@@ -126,14 +126,14 @@ def _template(text: str, i: Column, **parts: Column) -> Column:
 RUST_BLOCKS = [
     "fn f@(a: [u8; 4]) {\n<calls>\nfn inner@() { one() }\n}\n",
     "// plain note\n/// doc { line\n#[test]\nfn t@() {\n<gapped>\n}\n",
-    "#[derive(Debug)]\npub struct S@<T> {\n<fields>\n}\n",
+    "#[cfg(any(a, all(b, not(any(c, all(d, not([[e]])))))))]\npub struct S@<T> {\n<fields>\n}\n",
     "enum E@ {\n<variants>\n}\n",
     "pub trait T@ {\nfn need(&self);\nconst K: u8;\nfn dflt(&self) {\n<calls>\n}\n}\n",
-    "impl<'a> fmt::Display for W@<'a> {\nconst C: u8 = 1;\nfn show(&self) {\n<gapped>\n}\n}\n",
+    "impl<'a, D: <nest>> fmt::Display for W@<'a> {\nconst C: u8 = 1;\nfn show(&self) {\n<gapped>\n}\n}\n",
     "impl W@ {\nfn a(&self) {\n<calls>\n}\n\n#[inline]\nfn b() {}\n}\n",
     "const C@: [&str; 2] = [\n<strings>\n];\npub static G@: u8 = 1;\n",
     "macro_rules! m@ {\n() => { fn hidden() {} };\n}\nfoo! {\nstruct Hidden;\n}\nmod m@ {\n"
-    "pub(crate) async unsafe fn g@() {\n<calls>\nlet s = \"}{\\\"{\"; // }\n/* { /* } */ */\nlet c = '{';\n}\n}\n",
+    "pub(crate) async unsafe fn g@() {\n<calls>\nlet s = \"}{\\\"{\"; // }\n<comment>\nlet c = '{';\n}\n}\n",
     "extern \"C\" {\nfn ffi(x: u8);\n}\nfn raw@() {\nlet r = r#\"\n<raw>\n\"#;\n}\n",
 ]
 
@@ -168,6 +168,8 @@ def rust_files(spark: SparkSession, sf_dir: str) -> DataFrame:
             "variants": _listed(line, "W", "(u8),"),
             "strings": _listed(line, '"', '};{",'),
             "raw": _listed(line, "", ' } " {'),
+            "nest": F.lit("A<" * 18 + "u8" + ">" * 18),
+            "comment": F.lit("/* { " * 18 + "/* } */" + " */" * 18),
         }
 
     head = "#![allow(dead_code)]\n//! about { this\n\n"
@@ -175,7 +177,8 @@ def rust_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CSHARP_BLOCKS = [
-    "// note {\n[Serializable]\npublic sealed class C@<T> : Base where T : new()\n{\n"
+    "// note {\n[Serializable]\n#if DEBUG\npublic sealed class C@<T> : Base where T : new()\n{\n"
+    "#else\npublic sealed class C@<T> : Other where T : new()\n{\n#endif\n"
     "public int Run(int a = 1, string s = \"}{\")\n{\n<calls>\nint Local@(int x)\n{\nreturn x;\n}\n}\n}\n",
     "public interface I@\n{\nint Need(int x);\nint Dflt(int v)\n{\n<calls>\n}\nstring P { get; }\n}\n",
     "enum E@\n{\n<variants>\n}\n",
@@ -191,7 +194,7 @@ CSHARP_BLOCKS = [
     "get { return k; }\n}\npublic int Auto { get; set; } = 1;\npublic int Sw => x switch\n{\n{ A: 1 } => 2,\n};\n}\n",
     "namespace N@\n{\n/* { */\n#region a \" {\nstruct S@\n{\nvoid M@()\n{\nvar s = $\"{a} }}{{\"; // }\n"
     "var v = <at>\"c:\\\"\" {\";\nvar r = \"\"\" { \" \"\"\";\n<gapped>\n}\n}\n#endregion\n}\n",
-    "class L@\n{\nvoid IFoo.Ex@() => Go(x =>\n{\n<calls>\n});\nasync Task<List<int>> Gen@<U>(U u) where U : class\n{\n"
+    "class L@\n{\nvoid IFoo.Ex@() => Go(x =>\n{\n<calls>\n});\nasync Task<List<int>> Gen@<U>(<nest> u) where U : class\n{\n"
     "if (u == null) { return 1; } else { foo(); }\nforeach (var q in u)\n{\nw();\n}\nreturn 1;\n}\n}\n",
 ]
 
@@ -207,12 +210,41 @@ def csharp_files(spark: SparkSession, sf_dir: str) -> DataFrame:
             "params": _listed(line, "int w_", "", ",\n"),
             "entries": _listed(line, '["', '{"] = 1,'),
             "at": F.lit("@"),
+            "nest": F.lit("A<" * 18 + "int" + ">" * 18),
         }
 
     head = "using System;\n[assembly: Foo(\"{\")]\nnamespace Demo.App;\n\n"
     return _generated(spark, sf_dir, head, "\n", CSHARP_BLOCKS, parts, ".cs")
 
 
+# Text put at the end of files, by doc_id, and the status that each gives them.
+ENDINGS = {
+    "rust": [
+        ("", "ok"),
+        ("}", "unbalanced"),
+        ("fn z() { ( } )", "unbalanced"),
+        ("/* { ", "unterminated"),
+        ('fn z() { let s = "', "unterminated"),
+        ("/*" * 18 + " { " + "*/" * 18 + "\nfn z() {}", "ok"),
+        ("/*" * 18 + " { " + "*/" * 17 + "\nfn z() {}", "unterminated"),
+    ],
+    "csharp": [
+        ("", "ok"),
+        ("}", "unbalanced"),
+        ("class Z { void M() { ( } ) }", "unbalanced"),
+        ("/* { ", "unterminated"),
+        ('class Z { string s = @"', "unterminated"),
+        ("#if A\nclass Z {\n#else\nclass Z : B {\n#endif\n}\n", "ok"),
+        ("class Z { int[] x = [1, 2); }", "unbalanced"),
+    ],
+}
+
+
+def ended_files(files: DataFrame, language: str) -> DataFrame:
+    endings = [text for text, _ in ENDINGS[language]]
+    return files.withColumn("content", F.concat("content", _pick(F.col("file_id") % len(endings), endings)))
+
+
 STATEMENT_BLOCKS = [
     "foreach (var x in a)\n{\n<calls>\n}\n",
     "if (a)\n{\n<calls>\n}\nelse\n{\nb();\n}\n",

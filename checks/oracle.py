@@ -6,7 +6,7 @@ that follows from the number of words in one line of a document.
 
 from __future__ import annotations
 
-from checks.corpora import EXTENSIONS, FIRST_PARTS
+from checks.corpora import ENDINGS, EXTENSIONS, FIRST_PARTS
 
 NON_BLANK = (
     r"[^\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
@@ -56,8 +56,18 @@ det AS (SELECT root, CASE WHEN has_cargo_toml AND NOT has_dotnet_marker THEN 'ru
 # --- generated corpora ----------------------------------------------------------
 
 
+def _path_of(suffix: str) -> str:
+    return f"concat(CASE doc_id % 3 WHEN 0 THEN 'src' WHEN 1 THEN 'src/core' ELSE 'src.old' END, '/d', CAST(doc_id AS VARCHAR), '{suffix}')"
+
+
+def _statuses(language: str) -> str:
+    status = _case(f"doc_id % {len(ENDINGS[language])}", [status for _, status in ENDINGS[language]])
+    path = _path_of({"rust": ".rs", "csharp": ".cs"}[language])
+    return f"SELECT source AS root, doc_id AS file_id, {path} AS path, {status} AS status FROM documents"
+
+
 def _lines_of(suffix: str) -> str:
-    path = f"concat(CASE doc_id % 3 WHEN 0 THEN 'src' WHEN 1 THEN 'src/core' ELSE 'src.old' END, '/d', CAST(doc_id AS VARCHAR), '{suffix}')"
+    path = _path_of(suffix)
     return f"""x AS (SELECT root, file_id, path, i, CAST(i AS VARCHAR) AS s, i % 10 AS k,
   len(regexp_extract_all(l, '[A-Za-z]+')) AS n FROM (
   SELECT source AS root, doc_id AS file_id, {path} AS path, unnest(string_split(text, chr(10))) AS l,
@@ -86,8 +96,8 @@ _RUST = [
     (9, 0, "file_scope_function", "'raw'||s", None, None, "'raw'||s", "n+4"),
 ]
 _CSHARP = [
-    (0, 0, "struct", "'C'||s", None, None, "'C'||s", "n+11"),
-    (0, 1, "impl_block", "'C'||s", None, None, "'C'||s", "n+11"),
+    (0, 0, "struct", "'C'||s", None, None, "'C'||s", "n+16"),
+    (0, 1, "impl_block", "'C'||s", None, None, "'C'||s", "n+16"),
     (0, 2, "impl_method", "'Run'", "'C'||s", None, "'Run'", "n+7"),
     (0, 3, "file_scope_function", "'local Local'||s", None, None, "'local Local'||s", "4"),
     (1, 0, "trait", "'I'||s", None, None, "'I'||s", "n+8"),
@@ -367,8 +377,7 @@ def oracle_sql() -> dict[str, str]:
         "csharp_local_functions": items_of(CSHARP_ITEMS, "category = 'file_scope_function'"),
         "csharp_top_level": f"""WITH {_lines_of('.cs')} SELECT root, file_id, path, 'top-level statements' AS name,
             CAST(2 + sum(CASE i % 3 WHEN 1 THEN n + 7 ELSE n + 3 END) AS BIGINT) AS loc FROM x GROUP BY root, file_id, path""",
-        "scan_status": f"""WITH {_lines_of('.rs')} SELECT DISTINCT x.root, x.file_id, path,
-            CASE WHEN lang = 'fr' THEN 'unbalanced' ELSE 'ok' END AS status FROM x JOIN documents ON doc_id = file_id""",
+        "scan_status": " UNION ALL ".join(_statuses(language) for language in ENDINGS),
         "top_functions": f"{RUST_ITEMS}, {RUST_TOP} SELECT root, file_id, path, rank, display_name, loc FROM tp",
         "function_pool": items_of(RUST_ITEMS, functions),
         "offending_functions": items_of(RUST_ITEMS, f"{functions} AND loc > {FN_LIMIT}"),

@@ -109,10 +109,8 @@ def _csharp_top_level(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _scan_status(spark: SparkSession, sf: str) -> DataFrame:
-    lang = c.documents(spark, sf).select(F.col("doc_id").alias("file_id"), "lang")
-    files = c.rust_files(spark, sf).join(lang, "file_id")
-    files = files.withColumn("content", F.concat("content", F.when(F.col("lang") == "fr", "}").otherwise("")))
-    return structure.scan_status(files, "rust")
+    rust = structure.scan_status(c.ended_files(c.rust_files(spark, sf), "rust"), "rust")
+    return rust.unionByName(structure.scan_status(c.ended_files(c.csharp_files(spark, sf), "csharp"), "csharp"))
 
 
 def _top(spark: SparkSession, sf: str) -> DataFrame:

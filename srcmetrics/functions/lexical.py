@@ -15,11 +15,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 from itertools import count
 
-GROUP_DEPTH = 8  # of groups taken as one piece; deeper ones are followed as structure
-# Nesting that a pattern follows; patterns grow in proportion.
-COMMENT_DEPTH = 16
+GROUP_DEPTH = 4  # of groups taken as one piece; deeper ones are followed as structure
+# Levels that one pattern follows; `nesting.peeled` applies it until none are left.
+PEEL_LEVELS = 5
 ATTRIBUTE_DEPTH = 8
-ANGLE_DEPTH = 16
 
 _ids = count()
 
@@ -36,10 +35,8 @@ def _quote_fenced() -> str:
     return rf'\$*+(?<{name}>"{{3,}}+)[\s\S]*?(?:\k<{name}>(?!")|\z)'
 
 
-def _block_comment(nesting: int) -> str:
-    inner = rf"|{_block_comment(nesting - 1)}" if nesting else ""
-    skip = r"/(?!\*)" if nesting else "/"
-    return rf"/\*(?:[^*/]++|\*(?!/){inner}|{skip})*+(?:\*/|\z)"
+# Block comments hold no others: `nesting.flat_comments` sees to that where a language nests them.
+_BLOCK_COMMENT = r"/\*(?:[^*]++|\*(?!/))*+(?:\*/|\z)"
 
 
 @dataclass(frozen=True)
@@ -54,9 +51,9 @@ class Lexicon:
 
     def piece(self, depth: int) -> str:
         parts = [self.run, self.strings(), self.comments]
-        if depth:
-            inner = self.piece(depth - 1)
-            parts.append(rf"[(\[](?:{inner}{self.in_brackets})*+[)\]]")
+        if depth:  # a group closes with its own sign, else it is followed as structure
+            for open_, close in ((r"\(", r"\)"), (r"\[", r"\]")):
+                parts.append(rf"{open_}(?:{self.piece(depth - 1)}{self.in_brackets})*+{close}")
         if self.extra and depth == GROUP_DEPTH:
             parts.append(self.extra)
         parts.append(self.loose)
@@ -128,18 +125,18 @@ _CS_PLAIN_START = (
 
 RUST = Lexicon(
     run=r"""[^"'/(){}\[\];#]++""",
-    comments=rf"//[^\n]*+|{_block_comment(COMMENT_DEPTH)}",
+    comments=rf"//[^\n]*+|{_BLOCK_COMMENT}",
     strings=_rust_strings,
     loose="[#'/]",
     in_brackets=rf"|;|{_statement_free_braces(_RUST_QUOTED)}",
     # const generic argument
     extra=rf"(?<=[<,]\s{{0,200}}){_statement_free_braces(_RUST_QUOTED)}(?=\s*[,>])",
-    plain_ahead=rf"(?!(?:\s++|//[^\n]*+|{_block_comment(COMMENT_DEPTH)})*+{_RUST_HEAD_WORDS})",
+    plain_ahead=rf"(?!(?:\s++|//[^\n]*+|{_BLOCK_COMMENT})*+{_RUST_HEAD_WORDS})",
 )
 
 CSHARP = Lexicon(
     run=r"""[^"'/(){}\[\];#$@]++""",
-    comments=r"//[^\n]*+|/\*[\s\S]*?(?:\*/|\z)|#[^\n]*+",  # '#' opens a directive line
+    comments=rf"//[^\n]*+|{_BLOCK_COMMENT}|#[^\n]*+",  # '#' opens a directive line
     strings=_csharp_strings,
     loose="[$@'/]",
     in_brackets=rf"|;|{_statement_free_braces(_CS_QUOTED)}",
@@ -167,6 +164,7 @@ def _rs_attribute() -> str:  # group names must differ, so each use is made anew
 RUST_LEAD = rf"^(?:\s++|{_RS_PLAIN}|#!\s*+{_rs_attribute()}|#![^\[\n]*+)*+"
 # ... and then doc comments and outer attributes, which are.
 RUST_PREFIX = rf"{RUST_LEAD}(?:\s++|{RUST_COMMENT}|#\s*+{_rs_attribute()})*+"
+RUST_ATTRIBUTE_OPEN = rf"{RUST_PREFIX}#\s*+\["
 RUST_TEST_ATTRIBUTE = r"#\s*\[\s*(?:r#)?test\s*[\]\(=]"
 
 _RS_GAP = rf"(?:\s|{RUST_COMMENT})"
@@ -175,15 +173,6 @@ _RS_QUALIFIERS = (
     rf"|const(?={_RS_GAP}+(?:unsafe|async|extern|fn)\b)"
     rf"|extern(?:\s*(?:r#*)?\"[^\"]*\"#*)?(?={_RS_GAP}+fn\b)){_RS_GAP}++)*+"
 )
-
-
-def _angles(depth: int) -> str:
-    """A balanced ``<...>`` list; the ``>`` of an arrow closes nothing."""
-    inner = rf"|{_angles(depth - 1)}" if depth else ""
-    return rf"<(?:->|=>|[^<>]{inner})*+>"
-
-
-RUST_GENERICS = _angles(ANGLE_DEPTH)
 RUST_IDENT = r"(?:r#)?\w+"
 RUST_HEAD = (
     rf"{RUST_PREFIX}{_RS_QUALIFIERS}"
@@ -222,8 +211,8 @@ CS_NAME = r"@?\w+"
 
 # Round groups, type arguments, and array or nullable marks, to be taken out so
 # that what is left of a signature is words, `()` and the sign that ends it.
-CS_PARENS = _balanced(r"\(", r"\)", "[^()]", ANGLE_DEPTH)
-CS_TYPE_ARGUMENTS = _balanced("<", ">", r"[\w\s,.?\[\]():*@]", ANGLE_DEPTH)
+CS_PARENS = _balanced(r"\(", r"\)", "[^()]++", PEEL_LEVELS - 1)
+CS_TYPE_ARGUMENTS = _balanced("<", ">", r"[\w\s,.?\[\]():*@]++", PEEL_LEVELS - 1)
 CS_TYPE_MARKS = r"\s*\[[^\[\]]*+\]|[?*]"
 CS_INDEXER = r"^[^={;(]*?\bthis\s*\["
 

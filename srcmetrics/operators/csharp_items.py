@@ -11,15 +11,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from srcmetrics.functions import lexical as lx
+from srcmetrics.functions.nesting import peeled
 from srcmetrics.operators.items import item_projection
 from srcmetrics.operators.structure import (
     FILE,
     OPENERS,
+    after_attribute,
     chunks,
     file_window,
     level_window,
     measured,
     nested,
+    status_of,
+    unpaired,
     with_block_markers,
     without_plain_statements,
 )
@@ -56,12 +60,17 @@ def _signatures(cut: DataFrame) -> DataFrame:
     bare = F.regexp_replace(chunk, lx.CS_PREFIX, "")
     commented = F.contains("_bare", F.lit("/")) | F.contains("_bare", F.lit("#"))
     clean = F.when(commented, F.regexp_replace("_bare", lx.CS_COMMENT, " ")).otherwise(F.col("_bare"))
-    flat = F.regexp_replace(F.regexp_replace("_body", lx.CS_PARENS, "()"), lx.CS_TYPE_ARGUMENTS, "")
+    # a group that is followed as structure stands as `()`, too
+    closed = F.when(F.col("term") == "(", F.concat("_body", F.lit(")"))).otherwise(F.col("_body"))
+    called = peeled(F.col("_closed"), lx.CS_PARENS, "()", "(", lx.PEEL_LEVELS)
+    flat = peeled(F.col("_called"), lx.CS_TYPE_ARGUMENTS, "", "<", lx.PEEL_LEVELS)
     return (
         cut.withColumn("_bare", F.when(F.col("closer"), F.lit("")).otherwise(bare))
         .withColumn("head", F.trim(clean))
-        .withColumn("plain", ~may_head | (F.col("head") == "") | _matches(F.col("head"), lx.CS_PLAIN))
+        .withColumn("plain", ~may_head | (F.col("head") == "") | F.startswith("head", F.lit(":")) | _matches(F.col("head"), lx.CS_PLAIN))
         .withColumn("_body", F.when(~F.col("plain"), F.regexp_replace("head", lx.CS_MODIFIERS, "")))
+        .withColumn("_closed", closed)
+        .withColumn("_called", called)
         .withColumn("flat", F.regexp_replace(flat, lx.CS_TYPE_MARKS, ""))
         .withColumn("sign", _first(F.col("flat"), lx.CS_SIGN))
         .withColumn("words", F.trim(F.regexp_extract("flat", r"^[^={;]*+", 0)))
@@ -150,6 +159,7 @@ def _statement_marks(rows: DataFrame) -> DataFrame:
 
 HEAD_FIELDS = [
     "shape", "name", "field_kind", "local_name", "accessor", "to_semicolon", "arrow", "begins_as", "opens_as",
+    "in_attribute",
 ]
 
 
@@ -158,10 +168,12 @@ def csharp_rows(files: DataFrame) -> DataFrame:
     cut = chunks(files, "csharp").withColumns(
         {"closer": F.col("term").isin("}", ")", "]"), "opener": F.col("term").isin(*OPENERS)}
     )
-    marked = _statement_marks(_shapes(_signatures(cut)))
-    anything = F.coalesce("shape", "local_name", "accessor", "begins_as", "opens_as").isNotNull()
-    rows = measured(marked, lx.CS_LEAD, F.when(anything, F.struct(*HEAD_FIELDS)))
-    rows = without_plain_statements(nested(rows))
+    in_attribute = F.when(F.col("opener") & F.startswith("_bare", F.lit("[")), "attribute")
+    marked = _statement_marks(_shapes(_signatures(cut))).withColumn("in_attribute", in_attribute)
+    anything = F.coalesce("shape", "local_name", "accessor", "begins_as", "opens_as", "in_attribute").isNotNull()
+    rows = measured(marked, lx.CS_LEAD, F.when(anything, F.struct(*HEAD_FIELDS)), "csharp")
+    rows = with_block_markers(without_plain_statements(nested(rows)))
+    rows = after_attribute(rows, F.col("head.in_attribute").isNotNull(), F.lit(False))
     w = level_window()
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     at_level = ~F.col("marker")
@@ -183,12 +195,17 @@ def csharp_rows(files: DataFrame) -> DataFrame:
         "start_line",
     )
     declares = F.coalesce(head["shape"], head["local_name"], head["accessor"]).isNotNull()
-    waits = F.col("opener") & declares & (to_semicolon | arrow | (F.col("term") != "{"))
+    # A value or expression body runs to its `;`, other heads to that or to their block.
+    waits = F.col("opener") & declares & (to_semicolon | arrow)
+    waits_for_block = F.col("opener") & declares & ~(to_semicolon | arrow) & (F.col("term") != "{")
     nothing = F.struct(F.lit(None).cast(
         "struct<shape:string,name:string,field_kind:string,local_name:string,accessor:string,"
         "pos:int,cum0:bigint,start_line:int>"
     ).alias("h"))
     mark = F.when(at_level & waits, F.struct(own.alias("h"))).when(at_level & (F.col("term") == ";"), nothing)
+    block_mark = F.when(at_level & waits_for_block, F.struct(own.alias("h"))).when(
+        at_level & F.col("term").isin(";", "{"), nothing
+    )
     own_parent = F.when(F.col("marker"), F.struct(block.alias("kind"), head["name"].alias("name")))
     opened_as = F.when(
         F.col("opener"),
@@ -197,8 +214,7 @@ def csharp_rows(files: DataFrame) -> DataFrame:
         ),
     )
     rows = (
-        with_block_markers(rows)
-        .withColumns(
+        rows.withColumns(
             {
                 "h0": F.when(declares, own),
                 "block": block,
@@ -209,9 +225,11 @@ def csharp_rows(files: DataFrame) -> DataFrame:
             {
                 "parent": F.last(own_parent, ignorenulls=True).over(before),
                 "waiting": F.last(mark, ignorenulls=True).over(before)["h"],
+                "waiting_block": F.last(block_mark, ignorenulls=True).over(before)["h"],
                 "close_cum": F.when(F.col("opener"), F.lead("cum1").over(w)),
                 "close_line": F.when(F.col("opener"), F.lead("end_line").over(w)),
                 "prev_term": F.lag("term").over(w),
+                "unpaired": unpaired(F.lag("term").over(w), F.col("term")),
                 "next_term": F.lead("term").over(w),
                 "prev_opened_as": F.last(opened_as, ignorenulls=True).over(before),
             }
@@ -228,7 +246,7 @@ def _declared(rows: DataFrame) -> DataFrame:
     """Finished definitions: the head ``h``, what it is (``role``), and its end."""
     ends = F.col("term") == ";"
     by_block = F.col("by_block")
-    head = F.when(by_block, F.col("h0")).when(ends, F.coalesce("waiting", "h0"))
+    head = F.when(by_block, F.coalesce("h0", "waiting_block")).when(ends, F.coalesce("waiting", "waiting_block", "h0"))
     rows = rows.withColumn("h", head)
     h, parent = F.col("h"), F.col("parent_kind")
     holds_types = parent.isin("file", "namespace", *TYPE_BLOCKS)
@@ -322,9 +340,11 @@ def _with_context(rows: DataFrame) -> DataFrame:
             | is_statement
             | ((F.col("level") == 0) & F.col("opener"))
             | (F.col("term") == "")
+            | F.col("unpaired")
         )
         .withColumns(
             {
+                "unpaired": F.max("unpaired").over(here),
                 "member": F.last(member, ignorenulls=True).over(here),
                 "in_declaration": F.last(outermost, ignorenulls=True).over(here),
                 "_statement": F.sum(F.when(is_statement, 1)).over(here),
@@ -338,7 +358,8 @@ def _with_context(rows: DataFrame) -> DataFrame:
 
 
 def csharp_items(files: DataFrame, with_files: bool = False) -> DataFrame:
-    """Items of C# files; ``with_files`` adds one ``file`` row per file."""
+    """Items of C# files; ``with_files`` adds one ``file`` row per file, and its status
+    (``structure.status_of``)."""
     found = _with_context(_declared(csharp_rows(files))).filter(
         (F.col("role") != "with_accessors") & ((F.col("role") != "local") | F.col("in_declaration"))
     )
@@ -375,6 +396,7 @@ def csharp_items(files: DataFrame, with_files: bool = False) -> DataFrame:
         .withColumn("category", F.explode(categories))
     )
     is_method = F.col("category").isin("impl_method", "trait_method")
+    status = status_of(F.col("unclosed"), F.col("unpaired"), F.col("depth"))
     return out.select(
         *item_projection(
             "csharp",
@@ -386,5 +408,6 @@ def csharp_items(files: DataFrame, with_files: bool = False) -> DataFrame:
             display_name=F.col("item_name"),
             start_line=F.when(summed, F.col("statement_line")).when(role == "file", F.lit(1)).otherwise(h["start_line"]),
             end_line=F.when(summed, F.col("statements_end")).when(role == "file", F.col("end_line")).otherwise(F.col("last_line")),
-        )
+        ),
+        *([F.when(role == "file", status).alias("status")] if with_files else []),
     )

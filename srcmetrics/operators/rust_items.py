@@ -6,15 +6,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from srcmetrics.functions import lexical as lx
+from srcmetrics.functions.nesting import after_angles
 from srcmetrics.operators.items import item_projection, text_or_null
 from srcmetrics.operators.structure import (
     FILE,
     OPENERS,
+    after_attribute,
     chunks,
     file_window,
     level_window,
     measured,
     nested,
+    status_of,
+    unpaired,
     with_block_markers,
     without_plain_statements,
 )
@@ -54,14 +58,15 @@ def _measured_heads(rows: DataFrame) -> DataFrame:
     chunk, kind = F.col("chunk"), F.col("kind")
     bare = F.regexp_replace(chunk, lx.RUST_COMMENT, " ")
     # `impl<..> [!]Trait for Target where .. {`; the `for` of `for<'a>` is not the divider.
-    header = F.regexp_replace(bare, rf"^[\s\S]*?\bimpl\b\s*(?:{lx.RUST_GENERICS})?", "")
-    header = F.regexp_replace(header, r"\bwhere\b[\s\S]*$|\{\z", "")
+    header = F.when(kind == "impl", F.regexp_replace(bare, r"^[\s\S]*?\bimpl\b\s*", ""))
+    named = F.regexp_replace(after_angles(F.col("_header")), r"\bwhere\b[\s\S]*$|\{\z", "")
     opener = F.col("term").isin(*OPENERS)
-    rows = rows.withColumn("_impl", F.when(kind == "impl", header)).withColumn(
+    rows = rows.withColumn("_header", header).withColumn("_impl", named).withColumn(
         "block",
-        F.when(opener & F.rlike(chunk, F.lit(lx.RUST_MACRO_OPEN)), "macro").when(
-            opener & F.rlike(chunk, F.lit(lx.RUST_EXTERN_BLOCK)), "extern"
-        ),
+        F.when(opener & F.rlike(chunk, F.lit(lx.RUST_MACRO_OPEN)), "macro")
+        .when(opener & F.rlike(chunk, F.lit(lx.RUST_EXTERN_BLOCK)), "extern")
+        # an attribute that is followed as structure, as it nests deep
+        .when(F.col("term").isin("(", "[") & F.contains(chunk, F.lit("#")) & F.rlike(chunk, F.lit(lx.RUST_ATTRIBUTE_OPEN)), "attribute"),
     )
     header = F.col("_impl")
     divided = F.regexp_extract(header, r"^([\s\S]*?)\s+for\b(?!\s*<)([\s\S]*)$", 2)
@@ -74,7 +79,7 @@ def _measured_heads(rows: DataFrame) -> DataFrame:
         .when(kind.isNotNull(), F.regexp_extract("_head", rf"({lx.RUST_IDENT})\z", 1))
         .alias("name"),
         F.when(kind == "impl", text_or_null(spaced_tokens(trait_path))).alias("trait_path"),
-        F.when(kind == "fn", F.rlike(prefix, F.lit(lx.RUST_TEST_ATTRIBUTE))).alias("is_test"),
+        F.when((kind == "fn") | (F.col("block") == "attribute"), F.rlike(prefix, F.lit(lx.RUST_TEST_ATTRIBUTE))).alias("is_test"),
     )
     return measured(rows, lx.RUST_LEAD, F.when(kind.isNotNull() | F.col("block").isNotNull(), head))
 
@@ -92,12 +97,13 @@ def rust_rows(files: DataFrame) -> DataFrame:
         "cum0",
         "start_line",
     )
-    rows = rows.withColumn("own", F.when(kind.isin(*BLOCK_KINDS, *VALUE_KINDS), own)).withColumn(
-        "macro", F.coalesce(kind == "macro", F.lit(False))
-    )
     w = level_window()
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     at_level = ~F.col("marker")
+    rows = with_block_markers(rows).withColumn("macro", F.coalesce(kind == "macro", F.lit(False)))
+    rows = after_attribute(rows, kind == "attribute", F.col("head.is_test"))
+    own = own.withField("is_test", own["is_test"] | F.coalesce("attribute.marked", F.lit(False)))
+    rows = rows.withColumn("own", F.when(kind.isin(*BLOCK_KINDS, *VALUE_KINDS), own))
     ends = F.col("term") == ";"
     begins = F.col("term") == "{"
     # A head not finished by its own chunk waits for its terminator on its level.
@@ -116,14 +122,14 @@ def rust_rows(files: DataFrame) -> DataFrame:
         F.struct(own_block.alias("kind"), F.col("head.name").alias("name"), F.col("head.trait_path").alias("trait_path")),
     )
     return (
-        with_block_markers(rows)
-        .withColumns(
+        rows.withColumns(
             {
                 "parent": F.last(parent, ignorenulls=True).over(before),
                 "waiting_value": F.last(value_mark, ignorenulls=True).over(before)["h"],
                 "waiting_block": F.last(block_mark, ignorenulls=True).over(before)["h"],
                 "close_cum": F.when(F.col("opener"), F.lead("cum1").over(w)),
                 "close_line": F.when(F.col("opener"), F.lead("end_line").over(w)),
+                "unpaired": unpaired(F.lag("term").over(w), F.col("term")),
                 "closes_macro": F.when(F.col("closer"), F.lag("macro").over(w)).otherwise(F.lit(False)),
             }
         )
@@ -147,7 +153,8 @@ def block_parent(files: DataFrame) -> DataFrame:
 
 
 def rust_items(files: DataFrame, with_files: bool = False) -> DataFrame:
-    """Items of Rust files; ``with_files`` adds one ``file`` row per file."""
+    """Items of Rust files; ``with_files`` adds one ``file`` row per file, and its status
+    (``structure.status_of``)."""
     rows = rust_rows(files)
     own = F.col("own")
     ends = F.col("term") == ";"
@@ -165,8 +172,8 @@ def rust_items(files: DataFrame, with_files: bool = False) -> DataFrame:
     is_file = (F.col("term") == "") if with_files else F.lit(False)
     found = (
         rows.withColumn("h", head)
-        .filter(F.col("h").isNotNull() | F.col("macro") | F.col("closes_macro") | is_file)
-        .withColumn("macro_depth", F.coalesce(in_macro, F.lit(0)))
+        .filter(F.col("h").isNotNull() | F.col("macro") | F.col("closes_macro") | F.col("unpaired") | is_file)
+        .withColumns({"macro_depth": F.coalesce(in_macro, F.lit(0)), "unpaired": F.max("unpaired").over(so_far)})
         .filter((F.col("h").isNotNull() & (F.col("macro_depth") == 0)) | is_file)
     )
     kind, parent = F.col("h.kind"), F.coalesce(F.col("parent.kind"), F.lit("file"))
@@ -198,6 +205,7 @@ def rust_items(files: DataFrame, with_files: bool = False) -> DataFrame:
         .when(F.col("category") == "trait_method", F.concat(F.lit("trait "), F.col("parent.name"), F.lit("::"), name))
         .otherwise(name)
     )
+    status = status_of(F.col("unclosed"), F.coalesce("unpaired", F.lit(False)), F.col("depth"))
     last_cum = F.when(has_body, F.col("close_cum")).otherwise(F.col("cum1"))
     last_line = F.when(has_body, F.col("close_line")).otherwise(F.col("end_line"))
     return (
@@ -215,6 +223,7 @@ def rust_items(files: DataFrame, with_files: bool = False) -> DataFrame:
                 display_name=display,
                 start_line=F.coalesce("h.start_line", F.lit(1)),
                 end_line=last_line,
-            )
+            ),
+            *([F.when(is_file, status).alias("status")] if with_files else []),
         )
     )

@@ -9,22 +9,28 @@ A file is one input row already, so no window group is larger than one file.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from srcmetrics.functions import lexical
+from srcmetrics.functions import lexical, nesting
 from srcmetrics.functions.text import line_breaks, visible_line_starts
 
 FILE = ["root", "file_id"]
 OPENERS = ("{", "(", "[")
 CLOSERS = ("}", ")", "]")
 TERMS = OPENERS + CLOSERS + (";",)
+#: Ends a chunk of a later branch of a condition that does what the first branch does; it is
+#: counted in lines and has no part in the structure.
+PARALLEL = "#"
 
 
 def mask_source(files: DataFrame, language: str, fill: str = " ") -> DataFrame:
     """Adds ``masked``: comments and literals blanked, line breaks kept."""
     lexicon = lexical.LEXICONS[language]
-    pieces = F.regexp_extract_all("content", F.lit(lexicon.token), F.lit(0))
+    text = nesting.flat_comments(F.col("content")) if language == "rust" else F.col("content")
+    pieces = F.regexp_extract_all(text, F.lit(lexicon.token), F.lit(0))
     first = {
         "rust": r"""^(?:"|//|/\*|'(?:\\|[^\\]'))|^#*+"(?=[\s\S])""",
         "csharp": r"""^(?:"|//|/\*|#|'(?:\\|[^\\]')|[@$]++")""",
@@ -45,6 +51,8 @@ def chunks(files: DataFrame, language: str, whole_statements: bool = False) -> D
     that it costs no row of its own in the shuffle."""
     content = F.col("content")
     unmarked = F.when(F.startswith(content, F.lit("\ufeff")), F.substring(content, 2, 2**31 - 1)).otherwise(content)
+    if language == "rust":
+        unmarked = nesting.flat_comments(unmarked)
     text = F.concat(F.lit("\n"), unmarked, F.lit("\n"))
     lexicon = lexical.LEXICONS[language]
     single = F.regexp_extract_all(text, F.lit(lexicon.chunk), F.lit(0))
@@ -55,20 +63,41 @@ def chunks(files: DataFrame, language: str, whole_statements: bool = False) -> D
         pieces = F.when(F.rlike(text, F.lit(lexical.CS_TYPES_FIRST)), merged).otherwise(single)
     else:
         pieces = merged
-    cut = files.select(*FILE, "path", F.posexplode(pieces).alias("pos", "chunk"))
     last = F.right("chunk", F.lit(1))
+    if language == "csharp":
+        branches = F.contains(content, F.lit("#el"))
+        cut = files.select(*FILE, "path", pieces.alias("pieces"), branches.alias("branches"))
+        cut = cut.withColumn("alone", F.when(F.col("branches"), nesting.parallel_branches(F.col("pieces"))))
+        cut = cut.select(*FILE, "path", "alone", F.posexplode("pieces").alias("pos", "chunk"))
+        last = F.when(F.array_contains("alone", F.col("pos")), PARALLEL).otherwise(last)
+    else:
+        cut = files.select(*FILE, "path", F.posexplode(pieces).alias("pos", "chunk"))
     return cut.select(
         *FILE,
         F.when(F.col("pos") == 0, F.col("path")).alias("path"),  # once per file: keeps rows narrow
         "pos",
         "chunk",
-        F.when(last.isin(*TERMS), last).otherwise(F.lit("")).alias("term"),
+        F.when(last.isin(*TERMS, PARALLEL), last).otherwise(F.lit("")).alias("term"),
     )
 
 
-def measured(chunk_rows: DataFrame, lead_pattern: str, head: Column) -> DataFrame:
+def unpaired(opener: Column, closer: Column) -> Column:
+    """Whether ``closer`` is a closing sign that ``opener``, the sign ahead on its level, does
+    not go with."""
+    pairs = [(opener == o) & (closer == c) for o, c in zip(OPENERS, CLOSERS, strict=True)]
+    return closer.isin(*CLOSERS) & ~F.coalesce(reduce(Column.__or__, pairs), F.lit(False))
+
+
+def status_of(unclosed_text: Column, unpaired_signs: Column, depth: Column) -> Column:
+    """``unterminated`` if a file ends inside a literal or comment, ``unbalanced`` if brackets
+    do not pair by kind or some are left open, else ``ok``."""
+    return F.when(unclosed_text, "unterminated").when(unpaired_signs | (depth != 0), "unbalanced").otherwise("ok")
+
+
+def measured(chunk_rows: DataFrame, lead_pattern: str, head: Column, language: str = "rust") -> DataFrame:
     """Replaces the text by counts: visible lines and line breaks begun in the
-    chunk, and the same up to the first character after its lead. ``head`` is one
+    chunk, and the same up to the first character after its lead. The last chunk of
+    a file tells whether the text ends inside a literal or comment. ``head`` is one
     nullable struct, so that the many rows without a head stay short."""
     chunk, nl = F.col("chunk"), F.col("nl")
     # The usual chunk is one line: a break, an indent, a statement.
@@ -87,6 +116,7 @@ def measured(chunk_rows: DataFrame, lead_pattern: str, head: Column) -> DataFram
             "nl",
             F.when(one_line, 1).otherwise(visible_line_starts(F.col("_to_start"))).alias("nb_lead"),
             F.when(one_line, 1).otherwise(line_breaks(F.col("_to_start"))).alias("nl_lead"),
+            F.when(F.col("term") == "", nesting.unterminated(chunk, language)).alias("unclosed"),
             head.alias("head"),
         )
     )
@@ -126,7 +156,7 @@ def nested(rows: DataFrame) -> DataFrame:
 def without_plain_statements(rows: DataFrame) -> DataFrame:
     """Drops what no window needs any more once lines are counted: statements that
     are no head and cannot end one (only a ``;`` right after a closer can)."""
-    return rows.filter(
+    return rows.filter(F.col("term") != PARALLEL).filter(
         F.col("opener")
         | F.col("closer")
         | F.col("head").isNotNull()
@@ -147,13 +177,28 @@ def level_window() -> Window:
     return Window.partitionBy(*FILE, "lvl").orderBy("pos")
 
 
+def after_attribute(rows: DataFrame, opens: Column, marked: Column) -> DataFrame:
+    """Rows of ``with_block_markers`` whose ``cum0`` and ``start_line`` are those of the
+    attribute ahead, if that was followed as structure. ``opens`` tells the rows that begin such
+    an attribute, ``marked`` is kept with it as ``attribute.marked``."""
+    w = level_window()
+    at_level = ~F.col("marker")
+    place = F.struct("cum0", "start_line", marked.alias("marked"))
+    none = F.lit(None).cast("struct<cum0:bigint,start_line:int,marked:boolean>")
+    mark = F.when(at_level & opens, F.struct(place.alias("a"))).when(at_level & ~F.col("closer"), F.struct(none.alias("a")))
+    ahead = F.last(mark, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))["a"]
+    return rows.withColumn("attribute", F.when(at_level & ~F.col("closer"), ahead)).withColumns(
+        {c: F.coalesce(F.col("attribute")[c], F.col(c)) for c in ("cum0", "start_line")}
+    )
+
+
 def file_window() -> Window:
     return Window.partitionBy(*FILE).orderBy("pos")
 
 
 def _events(files: DataFrame, language: str) -> DataFrame:
     rows = measured(chunks(files, language, whole_statements=True), r"^", F.lit(None).cast("string"))
-    return nested(rows).filter(F.col("term") != "")
+    return nested(rows).filter(~F.col("term").isin("", PARALLEL))
 
 
 def bracket_depth(files: DataFrame, language: str) -> DataFrame:
@@ -180,23 +225,29 @@ def bracket_pairs(events: DataFrame) -> DataFrame:
 
 
 def scan_status(files: DataFrame, language: str, mode: str = "permissive") -> DataFrame:
-    """``ok`` or ``unbalanced`` per file; ``failfast`` raises on the first bad one."""
+    """``ok``, ``unbalanced`` or ``unterminated`` per file, see ``status_of``; ``failfast``
+    raises on the first bad one."""
     step = F.when(F.col("term").isin(*OPENERS), 1).when(F.col("term").isin(*CLOSERS), -1).otherwise(0)
     running = F.sum(step).over(file_window().rowsBetween(Window.unboundedPreceding, 0))
+    on_level = Window.partitionBy(*FILE, "level").orderBy("pos")
+    unclosed = F.when(F.col("term") == "", nesting.unterminated(F.col("chunk"), language))
     per_file = (
         chunks(files, language)
-        .select(*FILE, "path", "pos", "term", step.alias("step"))
+        .select(*FILE, "path", "pos", "term", step.alias("step"), unclosed.alias("unclosed"))
+        .filter(~F.col("term").isin(";", PARALLEL) | (F.col("pos") == 0))
         .withColumn("depth", running)
+        .withColumn("level", F.col("depth") - F.greatest("step", F.lit(0)))
+        .withColumn("ahead", F.lag("term").over(on_level))
         .groupBy(*FILE)
         .agg(
             F.max("path").alias("path"),
-            F.min("depth").alias("lowest"),
+            F.max(unpaired(F.col("ahead"), F.col("term"))).alias("unpaired"),
+            F.max("unclosed").alias("unclosed"),
             F.sum("step").alias("final"),
         )
     )
-    bad = (F.col("lowest") < 0) | (F.col("final") != 0)
-    status = F.when(bad, F.lit("unbalanced")).otherwise(F.lit("ok"))
+    status = status_of(F.col("unclosed"), F.col("unpaired"), F.col("final"))
     if mode == "failfast":
         text = F.concat(F.lit("unable to parse source file "), F.col("path"))
-        status = F.when(bad, F.raise_error(text).cast("string")).otherwise(F.lit("ok"))
+        status = F.when(status != "ok", F.raise_error(text).cast("string")).otherwise(F.lit("ok"))
     return per_file.select(*FILE, "path", status.alias("status"))

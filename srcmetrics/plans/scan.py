@@ -25,8 +25,8 @@ from srcmetrics.options import ScanOptions
 
 
 def source_rows(files: DataFrame, language: str | None = None) -> DataFrame:
-    """Items, and one ``file`` row with the total of each file, in one pass over
-    the text of a language, or of both. Keep the table partitioned by ``language``
+    """Items, and one ``file`` row with the total and status of each file, in one pass
+    over the text of a language, or of both. Keep the table partitioned by ``language``
     and each byte is read once."""
     scans = {"rust": rust_items, "csharp": csharp_items}
     wanted = [language] if language else list(scans)
@@ -35,7 +35,7 @@ def source_rows(files: DataFrame, language: str | None = None) -> DataFrame:
 
 
 def source_items(files: DataFrame) -> DataFrame:
-    return source_rows(files).filter(F.col("category") != "file")
+    return source_rows(files).filter(F.col("category") != "file").drop("status")
 
 
 def source_status(files: DataFrame, mode: str = "permissive") -> DataFrame:
@@ -45,11 +45,13 @@ def source_status(files: DataFrame, mode: str = "permissive") -> DataFrame:
 
 @dataclass(frozen=True)
 class Scan:
-    """Result tables of one scan. ``items`` and ``file_loc`` come from one
-    checkpointed pass over the text; the rest is lazy."""
+    """Result tables of one scan. ``items``, ``file_loc`` and ``status`` come from one
+    checkpointed pass over the text; the rest is lazy. ``status`` has every file that was
+    scanned: of those that are not ``ok``, definitions may be missing."""
 
     options: ScanOptions
     roots: DataFrame  # root, label, kind, uri, language, status
+    status: DataFrame  # root, file_id, path, status
     file_loc: DataFrame
     items: DataFrame
     top: DataFrame
@@ -118,22 +120,20 @@ def scan(files: DataFrame, options: ScanOptions | None = None, roots: DataFrame
 
     texts = select_files(with_language(files), options)
     texts = admitted(texts) if early else texts
+    rows = source_rows(texts, options.language)
+    rows = checkpointed(rows if early else admitted(rows))  # small next to the text; read several times
+    scanned = rows.filter(F.col("category") == "file")
     if options.mode == "failfast":
-        status = source_status(texts)
-        status = status if early else admitted(status)
         text = F.concat(F.lit("unable to parse source file "), F.col("path"))
         failed = F.when(F.col("status") != "ok", F.raise_error(text).cast("string"))
-        status.select(failed.alias("failed")).agg(F.count("failed")).collect()
-    rows = source_rows(texts, options.language)
-    rows = checkpointed(rows if early else admitted(rows))  # small next to the text; read several times
-    sizes = rows.filter(F.col("category") == "file").select(
-        "root", "file_id", "path", "language", F.col("loc").alias("total_loc")
-    )
-    items = rows.filter(F.col("category") != "file")
+        scanned.select(failed.alias("failed")).agg(F.count("failed")).collect()
+    status = scanned.select("root", "file_id", "path", "status")
+    sizes = scanned.select("root", "file_id", "path", "language", F.col("loc").alias("total_loc"))
+    items = rows.filter(F.col("category") != "file").drop("status")
     top = top_functions(items, options.top)
     if options.offenders is not None:
         limits = options.offenders
         sizes = offending_files(sizes, items, limits.max_loc_per_file, limits.max_loc_per_fn)
         items = offender_items(items, sizes, limits.max_loc_per_fn)
         top = offending_functions(top, limits.max_loc_per_fn)
-    return Scan(options, _root_details(chosen, roots, options.language), sizes, items, top)
+    return Scan(options, _root_details(chosen, roots, options.language), status, sizes, items, top)
