@@ -73,23 +73,27 @@ def _candidates(stream: np.ndarray, items: Items) -> Iterator[tuple[int, int, in
             low = np.minimum(low[0::2], low[1::2])
 
 
+def _matches(texts: pa.Array, items: Items) -> Iterator[tuple[int, int, int]]:
+    """(row, item, shared shingles) of the items found in each text, by row and item."""
+    for at, _, data, rows in text_slices(texts):
+        stream, owner = shingles(*words(data, rows, PLAIN), SHINGLE)
+        if not len(stream):
+            continue
+        pairs: set[tuple[int, int]] = set()
+        for item, begin, end in _candidates(stream, items):
+            pairs.update((int(row), item) for row in np.unique(owner[begin:end]))
+        for row, item in sorted(pairs):
+            a, b = np.searchsorted(owner, (row, row + 1))
+            shared = int(np.isin(items.sets[item], stream[a:b]).sum())
+            if shared >= CONTAINMENT * len(items.sets[item]):
+                yield at + row, item, shared
+
+
 def _search(items: Items):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id")
-            found: list[tuple[int | None, int, int]] = []
-            for at, _, data, rows in text_slices(batch.column("text")):
-                stream, owner = shingles(*words(data, rows, PLAIN), SHINGLE)
-                if not len(stream):
-                    continue
-                pairs: set[tuple[int, int]] = set()
-                for item, begin, end in _candidates(stream, items):
-                    pairs.update((int(row), item) for row in np.unique(owner[begin:end]))
-                for row, item in sorted(pairs):
-                    a, b = np.searchsorted(owner, (row, row + 1))
-                    shared = int(np.isin(items.sets[item], stream[a:b]).sum())
-                    if shared >= CONTAINMENT * len(items.sets[item]):
-                        found.append((ids[at + row].as_py(), item, shared))
+            found = [(ids[row].as_py(), item, shared) for row, item, shared in _matches(batch.column("text"), items)]
             if found:
                 kinds = (pa.int64(), pa.int32(), pa.int32())
                 columns = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), kinds, strict=True)]
@@ -98,6 +102,27 @@ def _search(items: Items):
     return run
 
 
+def _without(items: Items):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            clean = np.ones(batch.num_rows, bool)
+            clean[[row for row, *_ in _matches(batch.column("text"), items)]] = False
+            yield batch.filter(pa.array(clean))
+
+    return run
+
+
+def _item_blocks(items: DataFrame) -> Iterator[tuple[list, Items]]:
+    """Rows and index of blocks of about BLOCK_BYTES of items."""
+    items = items.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
+    size = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
+    passes = max(1, math.ceil(size / BLOCK_BYTES))
+    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(passes))
+    for k in range(passes):
+        rows = items.filter(part == k).collect()
+        yield rows, Items([r.text for r in rows])
+
+
 def find_items(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_shingles, n_shared): the items of ``items(item_id, text)`` of which
     at least CONTAINMENT of the distinct shingles are in a text of ``docs(doc_id, text)``.
@@ -108,21 +133,18 @@ def find_items(docs: DataFrame, items: DataFrame) -> DataFrame:
     either side are found each. The items are few or are searched for in blocks of
     BLOCK_BYTES, each a pass over the documents; the documents stay where they are read."""
     spark = docs.sparkSession
-    items = items.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
-    size = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
-    passes = max(1, math.ceil(size / BLOCK_BYTES))
-    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(passes))
-    frames = []
-    for k in range(passes):
-        rows = items.filter(part == k).collect()
-        block = Items([r.text for r in rows])
+    frames: list[DataFrame] = []
+    for rows, block in _item_blocks(items):
         known = spark.createDataFrame(
             [(i, r.item_id, len(s)) for i, (r, s) in enumerate(zip(rows, block.sets, strict=True))],
             "item int, item_id bigint, n_shingles int",
         )
         found = docs.select("doc_id", "text").mapInArrow(_search(block), _FOUND)
         found = found.join(F.broadcast(known), "item").select("doc_id", "item_id", "n_shingles", "n_shared")
-        frames.append(stored(found) if passes > 1 else found)
+        if frames:
+            frames = [stored(f) for f in frames]
+            found = stored(found)
+        frames.append(found)
     out = frames[0]
     for frame in frames[1:]:
         out = out.unionByName(frame)
@@ -130,7 +152,9 @@ def find_items(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs`` in which no item is found; rows without an id stay, as nothing
-    names them. Only the ids of found documents meet the texts."""
-    found = stored(find_items(docs, items).select("doc_id").filter("doc_id IS NOT NULL").distinct())
-    return docs.join(bounded(found, 16), "doc_id", "left_anti")
+    """The rows of ``docs`` in whose text no item is found, with all their columns; also rows
+    without an id, and each of several texts of one id, are told by their own text. Documents
+    are left out where they are read: no text and no id is shuffled."""
+    for _, block in _item_blocks(items):
+        docs = docs.mapInArrow(_without(block), docs.schema)
+    return docs
