@@ -18,7 +18,7 @@ MEMORY_WORDS = 400_000
 LONG_TEXT = 1_000_000
 
 
-def _byte_symbols() -> dict[int, str]:
+def byte_symbols() -> dict[int, str]:
     """The printable character that stands for each byte in byte-level vocabularies: the
     byte's own where that is visible, else the next one from 256 on."""
     visible = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
@@ -36,7 +36,7 @@ class WordCounts(dict):
 
     def __init__(self, merges: list[tuple[str, str]]):
         super().__init__()
-        symbol = _byte_symbols()
+        symbol = byte_symbols()
         names: dict[str, int] = {}
         self._byte = [names.setdefault(symbol[b], len(names)) for b in range(256)]
         self._merge: dict[tuple[int, int], tuple[int, int]] = {}

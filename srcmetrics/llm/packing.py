@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -21,14 +22,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
+from srcmetrics.llm.bpe import byte_symbols
 from srcmetrics.llm.sharding import prefix_sums
 from srcmetrics.llm.store import bounded, stored
 
 WINDOW, END_ID = 2048, 1
 #: Rounds of the least squares, columns looked at in each, and the relative gain that ends it.
 ROUNDS, LOOKED_AT, LEAST_GAIN = 300, 4096, 1e-5
-#: Words kept with their ids in a Python worker; the memory is emptied when it is full.
-MEMORY_WORDS = 400_000
+#: Words, and parts of late and of before, kept with their ids in a Python worker; of words, those
+#: of so many symbols at most.
+MEMORY_WORDS, LONGEST_KEPT = 300_000, 64
 #: Bytes of ids after which pieces are handed on.
 BATCH_BYTES = 8 << 20
 _RANK_BITS = 44
@@ -38,8 +41,9 @@ class TokenIds:
     """Ids of whole texts as the tokenizers library gives them, without added tokens.
 
     A byte-level vocabulary merges within words only, and a space between two characters that
-    are no white space always begins a word. Such texts are cut there and each part is
-    encoded by the library once; others are encoded whole."""
+    are no white space always begins a word. Such texts are cut at these spaces; the parts that
+    are not in memory are cut into words and merged by the library's own steps. Texts with
+    special strings, and other kinds of vocabularies, are encoded whole."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -57,30 +61,64 @@ class TokenIds:
         )
         self._added = [t["content"] for t in spec["added_tokens"]]
         self.dtype = "<u2" if self._tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self._first: dict[str, bytes] = {}
-        self._later: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        encoded = self._tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.array(e.ids, self.dtype).tobytes() for e in encoded]
+        self._cut, self._merge = self._tokenizer.pre_tokenizer, self._tokenizer.model
+        self._letters = byte_symbols()
+        self._space = self._letters[ord(" ")]
+        self._code = "H" if self.dtype == "<u2" else "I"
+        self._words: dict[str, bytes] = {}
+        #: Parts after a space, those of late and those of before.
+        self._parts: dict[str, bytes] = {}
+        self._old_parts: dict[str, bytes] = {}
+
+    def _word(self, symbols: str) -> bytes:
+        ids = self._words.get(symbols)
+        if ids is None:
+            if len(self._words) >= MEMORY_WORDS:
+                self._words.clear()
+            ids = self._merged(symbols)
+            if len(symbols) <= LONGEST_KEPT:
+                self._words[symbols] = ids
+        return ids
+
+    def _merged(self, symbols: str) -> bytes:
+        return array(self._code, [t.id for t in self._merge.tokenize(symbols)]).tobytes()
+
+    def _spaced(self, letters: str) -> bytes:
+        """A word of letters after a space."""
+        ids = self._parts.get(letters)
+        if ids is None:
+            ids = self._old_parts.get(letters)
+            if ids is None:
+                text = letters if letters.isascii() else letters.encode().decode("latin-1").translate(self._letters)
+                ids = self._merged(self._space + text)
+            self._parts[letters] = ids
+        return ids
+
+    def _part(self, part: str) -> bytes:
+        """A part that begins with a space, which is not in it."""
+        if part.isalpha():
+            return self._spaced(part)
+        if part[-1:] in (".", ",") and part[:-1].isalpha():
+            return self._spaced(part[:-1]) + self._word(part[-1])
+        return self._plain(f" {part}")
+
+    def _plain(self, text: str) -> bytes:
+        return b"".join([self._word(w) for w, _ in self._cut.pre_tokenize_str(text)]) if text else b""
 
     def __call__(self, text: str) -> bytes:
         """The ids of a text, one after another in ``dtype``."""
         if not self._by_words or any(a in text for a in self._added):
-            return self._encode([text])[0]
+            return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
         # a space between white space is not cut at: there the run of white space is one word
         parts = re.split(r"(?<=\S) (?=\S)", text) if re.search(r"\s (?:\s|\Z)", text) else text.split(" ")
-        first, later = parts[0], parts[1:]
-        if len(self._first) + len(self._later) > MEMORY_WORDS:
-            self._first.clear()
-            self._later.clear()
-        if first not in self._first:
-            self._first[first] = self._encode([first])[0]
-        memory = self._later
-        missing = [p for p in dict.fromkeys(later) if p not in memory]
-        if missing:
-            memory.update(zip(missing, self._encode([f" {p}" for p in missing]), strict=True))
-        return self._first[first] + b"".join([memory[p] for p in later])
+        memory = self._parts
+        for part in set(parts[1:]).difference(memory):
+            ids = self._old_parts.get(part)
+            memory[part] = self._part(part) if ids is None else ids
+        out = self._plain(parts[0]) + b"".join([memory[p] for p in parts[1:]])
+        if len(memory) > MEMORY_WORDS:
+            self._old_parts, self._parts = memory, {}
+        return out
 
 
 @lru_cache(2)

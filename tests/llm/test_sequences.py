@@ -66,6 +66,14 @@ def test_ids_are_the_librarys(tokenizer):
         assert np.frombuffer(ids_of(text), ids_of.dtype).tolist() == want, repr(text)
 
 
+def test_letters_are_the_librarys(tokenizer):
+    """What Python takes for letters are one word to the library."""
+    for point in range(0x80, 0x110000):
+        if 0xD800 <= point < 0xE000 or not chr(point).isalpha():
+            continue
+        assert len(tokenizer.pre_tokenizer.pre_tokenize_str(f" a{chr(point)}")) == 1, hex(point)
+
+
 def test_packing(edges, nothing, llm, tokenizer):
     rng = random.Random(8)
     texts = {i: " ".join(rng.choices(["one", "two", "three!", "4", "é"], k=int(rng.expovariate(1 / 40)))) for i in range(800)}
