@@ -22,16 +22,23 @@ BLOCK_TAGS = frozenset(
 )
 SKIPPED_TAGS = ("script", "style", "noscript", "template", "svg", "textarea", "iframe")
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements, and words of a class, id or role, that hold no article text.
+#: Elements, and words of a class, id or role, that hold no article text. The words stand alone or
+#: are the first or last part of a token (``site-footer``), unless another part denies them.
 ASIDE_TAGS = frozenset("aside button dialog fieldset footer form head header label menu nav option select".split())
 ASIDE_WORDS = frozenset(
     "ad ads advert advertisement alert banner breadcrumb breadcrumbs comment comments complementary consent"
     " contentinfo cookie cookies disclaimer footer gdpr header masthead menu menubar modal nav navbar"
-    " navigation newsletter notice popup promo promoted related reply replies search share sharing sidebar"
-    " social sponsor sponsored subscribe toolbar widget".split()
+    " navigation newsletter notice popup promo promoted reply replies sidebar"
+    " sponsor sponsored subscribe toolbar widget".split()
 )
+DENYING_WORDS = frozenset("has have no non not without with hide hidden is layout".split())
+#: Words that tell as much only outside an article; within one the block itself decides.
+DOUBTFUL_WORDS = frozenset("related search share sharing social".split())
+COMMENT_WORDS = frozenset("comment comments reply replies".split())
 MAIN_TAGS, MAIN_WORDS = frozenset({"article", "main"}), frozenset({"article", "main", "post", "entry"})
 MAIN, NEUTRAL, ASIDE = 0, 1, 2
+#: Inline elements that are looked at for such words; all else within a block is text.
+INLINE_TAGS = frozenset("a abbr b em i ins mark q small span strong sub sup u".split())
 
 #: The labelled blocks that the tree is trained on: words and link density of the block, the
 #: one before and the one after, the zone, and whether the block is main text.
@@ -80,6 +87,8 @@ LABELLED = (
     (10, 0.0, 2, 1.0, 70, 0.0, NEUTRAL, 1),
     (5, 0.0, 30, 0.1, 33, 0.0, NEUTRAL, 1),
     (3, 0.0, 48, 0.0, 90, 0.0, NEUTRAL, 1),
+    (45, 0.0, 38, 0.0, 0, 0.0, NEUTRAL, 1),
+    (31, 0.0, 30, 0.0, 0, 0.0, NEUTRAL, 1),
     (6, 0.0, 1, 1.0, 3, 0.0, NEUTRAL, 0),
     (8, 0.1, 70, 0.0, 0, 0.0, NEUTRAL, 0),
     (9, 0.0, 2, 1.0, 5, 0.0, NEUTRAL, 0),
@@ -162,33 +171,109 @@ _MARKUP = re.compile(
     re.S | re.I,
 )
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_NAME_WORD = re.compile(r"[a-z]+")
+_NAME_PART = re.compile(r"[a-z]+")
+#: How an element changes the zone: by itself, unless an article within it wins; only outside an
+#: article; as main text.
+_HARD, _SOFT, _DOUBT, _MAIN = range(4)
 
 
-def _kind(tag: str, rest: str) -> int:
+def _names(rest: str) -> list[list[str]]:
+    """The parts of each token of an element's class, id and role."""
+    found = (m[1] or m[2] or m[3] or "" for m in _NAMED.finditer(rest)) if rest else ()
+    return [parts for names in found for token in names.lower().split() if (parts := _NAME_PART.findall(token))]
+
+
+def _told(tokens: list[list[str]], words: frozenset[str]) -> bool:
+    return any((t[0] in words or t[-1] in words) and DENYING_WORDS.isdisjoint(t) for t in tokens)
+
+
+def _kind(tag: str, rest: str) -> int | None:
     """What an element says of the blocks within it."""
-    words: set[str] = set()
-    if rest:
-        for found in _NAMED.finditer(rest):
-            words.update(_NAME_WORD.findall((found[1] or found[2] or found[3] or "").lower()))
-    if tag in ASIDE_TAGS or (words & ASIDE_WORDS and tag not in ("html", "body")):
-        return ASIDE
-    return MAIN if tag in MAIN_TAGS or words & MAIN_WORDS else NEUTRAL
+    tokens = _names(rest)
+    if tag in MAIN_TAGS:
+        return _HARD if _told(tokens, COMMENT_WORDS) else _MAIN
+    if tag in ASIDE_TAGS:
+        return _SOFT if tag in ("form", "fieldset") else _HARD
+    if tag in ("html", "body"):
+        return None
+    if _told(tokens, ASIDE_WORDS):
+        return _HARD if _told(tokens, COMMENT_WORDS) else _SOFT
+    if _told(tokens, DOUBTFUL_WORDS):
+        return _DOUBT
+    return _MAIN if any(not MAIN_WORDS.isdisjoint(t) for t in tokens) else None
+
+
+class _Open:
+    """The open block elements. Places of each tag and kind are kept, so that a mark costs no
+    more in a deep page than in a flat one."""
+
+    def __init__(self):
+        self._stack: list[tuple[str, int | None]] = []
+        self._of_tag: dict[str, list[int]] = {}
+        self._of_kind: list[list[int]] = [[], [], [], []]
+        self._articles: list[int] = []
+
+    def __len__(self) -> int:
+        return len(self._stack)
+
+    @property
+    def last(self) -> str:
+        return self._stack[-1][0] if self._stack else ""
+
+    def push(self, tag: str, kind: int | None) -> None:
+        at = len(self._stack)
+        self._stack.append((tag, kind))
+        self._of_tag.setdefault(tag, []).append(at)
+        if kind is not None:
+            self._of_kind[kind].append(at)
+        if kind == _MAIN and tag in MAIN_TAGS:
+            self._articles.append(at)
+
+    def pop(self) -> None:
+        tag, kind = self._stack.pop()
+        self._of_tag[tag].pop()
+        if kind is not None:
+            self._of_kind[kind].pop()
+        if kind == _MAIN and tag in MAIN_TAGS:
+            self._articles.pop()
+
+    def end(self, tag: str) -> None:
+        """Closes the innermost element of that name, if there is one, and what is in it."""
+        if self._of_tag.get(tag):
+            for _ in range(len(self._stack) - self._of_tag[tag][-1]):
+                self.pop()
+
+    def zone(self) -> int:
+        hard, soft, doubt, main = self._of_kind
+        article = self._articles[-1] if self._articles else -1
+        if hard:
+            # an article's own header belongs to it
+            own = len(hard) == 1 and self._stack[hard[0]][0] == "header" and main and hard[0] > main[0]
+            return MAIN if own and not (soft and soft[-1] > article) else ASIDE
+        if soft and soft[-1] > article:
+            return ASIDE
+        if doubt and doubt[-1] > article:
+            return NEUTRAL if main else ASIDE
+        return MAIN if main else NEUTRAL
 
 
 def blocks(page: str) -> tuple[list[str], np.ndarray]:
     """The flat text blocks of a page in order, and their features.
 
     Begin and end tags of block elements part the text. Within a block character references
-    are decoded and white space is one space; scripts, styles and comments are left out. A
-    page may be cut off or leave elements open: an end tag closes the innermost element of
-    its name, if there is one, and what is open within it."""
+    are decoded and white space is one space; scripts, styles, comments and inline adverts and
+    the like are left out. A page may be cut off or leave elements open: an end tag closes the
+    innermost element of its name, if there is one, and what is open within it; a link ends
+    with the block element around it."""
     texts: list[str] = []
     words: list[int] = []
     links: list[float] = []
     zones: list[int] = []
-    stack: list[tuple[str, int]] = []
-    zone, in_link, linked, parts = NEUTRAL, 0, 0, []
+    opened = _Open()
+    zone, linked, parts = NEUTRAL, 0, []
+    link_depth: int | None = None
+    # an inline element that is left out: its name, how often that is open in it, its depth
+    hidden, hidden_open, hidden_depth = "", 0, 0
 
     def close() -> None:
         nonlocal linked
@@ -204,22 +289,11 @@ def blocks(page: str) -> tuple[list[str], np.ndarray]:
 
     def take(text: str) -> None:
         nonlocal linked
-        if text:
+        if text and not hidden:
             parts.append(text)
-            if in_link:
+            if link_depth is not None:
                 linked += len(text.split())
 
-    def around(kinds: list[tuple[str, int]]) -> int:
-        inside = {k for _, k in kinds}
-        if ASIDE in inside:
-            # an article's own header belongs to it
-            named = [t for t, k in kinds if k == ASIDE]
-            main = next((i for i, (_, k) in enumerate(kinds) if k == MAIN), len(kinds))
-            if named == ["header"] and [t for t, _ in kinds[main:]].count("header") == 1:
-                return MAIN
-            return ASIDE
-        return MAIN if MAIN in inside else NEUTRAL
-
     at = 0
     for mark in _MARKUP.finditer(page):
         take(page[at : mark.start()])
@@ -227,25 +301,33 @@ def blocks(page: str) -> tuple[list[str], np.ndarray]:
         tag = (mark["tag"] or "").lower()
         if not tag:
             continue
+        ends, rest = bool(mark["end"]), mark["rest"] or ""
+        if tag == hidden:
+            hidden_open += -1 if ends else 1
+            if not hidden_open:
+                hidden = ""
+                parts.append(" ")
+        elif tag in INLINE_TAGS and not hidden and not ends and _told(_names(rest), ASIDE_WORDS):
+            hidden, hidden_open, hidden_depth = tag, 1, len(opened)
         if tag == "a":
-            in_link = 0 if mark["end"] else 1
+            link_depth = None if ends else len(opened)
         elif tag == "br":
             parts.append(" ")
-        elif tag in BLOCK_TAGS or tag in ("span", "b", "i") and not mark["end"] and _kind(tag, mark["rest"]) == ASIDE:
-            close()
-            in_link = 0 if tag in BLOCK_TAGS else in_link
         if tag in VOID_TAGS or tag not in BLOCK_TAGS:
             continue
-        if not mark["end"]:
-            if tag in ("p", "li") and stack and stack[-1][0] == tag:
-                stack.pop()
-            if not (mark["rest"] or "").endswith("/"):
-                stack.append((tag, _kind(tag, mark["rest"] or "")))
+        close()
+        if not ends:
+            if tag in ("p", "li") and opened.last == tag:
+                opened.pop()
+            if not rest.endswith("/"):
+                opened.push(tag, _kind(tag, rest))
         else:
-            open_tags = [t for t, _ in stack]
-            if tag in open_tags:
-                del stack[len(stack) - 1 - open_tags[::-1].index(tag) :]
-        zone = around(stack)
+            opened.end(tag)
+        if link_depth is not None and len(opened) < link_depth:
+            link_depth = None
+        if hidden and len(opened) < hidden_depth:
+            hidden = ""
+        zone = opened.zone()
     take(page[at:])
     close()
     w, d = np.array(words, float), np.array(links, float)
@@ -256,11 +338,16 @@ def blocks(page: str) -> tuple[list[str], np.ndarray]:
 
 
 def main_text(page: str | None, tree: Node) -> str:
-    """The blocks of a page that the tree takes for main text, joined by an empty line."""
+    """The blocks of a page that the tree takes for main text, joined by an empty line. A page of
+    short blocks alone, of which it takes none, has those that are no links and lie in nothing
+    that tells otherwise."""
     texts, features = blocks(page or "")
     if not texts:
         return ""
-    return "\n\n".join(t for t, main in zip(texts, classify(tree, features), strict=True) if main)
+    main = classify(tree, features)
+    if not main.any():
+        main = (features[:, 6] == NEUTRAL) & (features[:, 1] < 0.5)
+    return "\n\n".join(t for t, chosen in zip(texts, main, strict=True) if chosen)
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:

@@ -189,6 +189,51 @@ def test_main_text(llm):
     assert html_text.extract_main_text(pages.limit(0)).count() == 0
 
 
+WORDY = " ".join(f"word{k}" for k in range(30))
+PAGES = {
+    "class of an article": (f"<nav><a>x</a></nav><article class='post has-sidebar'><p>{WORDY}</p></article>", WORDY),
+    "denied": (f"<div class='content no-ads'><p>{WORDY}</p></div>", WORDY),
+    "id of main": (f"<main id='search-results-guide'><p>{WORDY}</p></main>", WORDY),
+    "form around": (f"<form id=page><div class=menu><a>a</a></div><article><p>{WORDY}</p></article><label>x</label></form>", WORDY),
+    "wrapper around": (f"<div class='sidebar-page widget'><article><p>{WORDY}</p></article></div>", WORDY),
+    "section of an article": (f"<article><p>{WORDY}</p><section class='related-work'><p>{WORDY} too</p></section></article>", f"{WORDY}\n\n{WORDY} too"),
+    "links after it": (f"<article><p>{WORDY}</p><div class='related'><a href=x>One</a></div><div class=related><a>Two</a></div></article>", WORDY),
+    "inline advert": (f"<article><p>{WORDY} <span class='ad'>Buy <b>now</b> <span>cheap</span></span>and so on.</p></article>", f"{WORDY} and so on."),
+    "links around blocks": ("<div>" + "".join(f"<a href=/{k}><h3>Some title {k}</h3><p>A teaser of a text {k}</p></a>" for k in range(6)) + "</div>", ""),
+    "only a little": ("<h1>A heading</h1><p>One short line.</p>", "A heading\n\nOne short line."),
+    "comments": (f"<article><p>{WORDY}</p></article><section id=comments><article class='comment'><p>{WORDY} indeed</p></article></section>", WORDY),
+    "comment list": (f"<article><p>{WORDY}</p><ol class='comment-list'><li>{WORDY} indeed</li></ol></article>", WORDY),
+    "own header": (f"<article><header><h1>Title here</h1></header><p>{WORDY}</p><footer>End</footer></article>", f"Title here\n\n{WORDY}"),
+    "open link": (f"<article><p><a href=x>see</p><p>{WORDY}</p></article>", WORDY),
+    "open advert": (f"<article><p>Text <span class=ad>buy</p><p>{WORDY}</p></article>", f"Text\n\n{WORDY}"),
+}
+
+
+@pytest.mark.parametrize("name", PAGES)
+def test_pages(name):
+    page, want = PAGES[name]
+    assert html_text.main_text(f"<html><body>{page}</body></html>", html_text.train_tree()) == want
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    def took(depth):
+        start = time.process_time()
+        html_text.blocks("<div>" * depth + "x" + "</div>" * depth)
+        return time.process_time() - start
+
+    took(1000)
+    assert took(40_000) < 20 * took(8000)
+
+
+def test_extra_columns_of_pages(llm):
+    rows = [(1, "u", f"<article>{WORDY}</article>", "x", 5), (1, "u", None, None, None), (None, None, "", "y", 1)]
+    pages = llm.createDataFrame(rows, "page_id bigint, url string, html string, text string, n_chars int")
+    got = [(r.page_id, r.url, r.text, r.n_chars) for r in html_text.extract_main_text(pages).collect()]
+    assert sorted(got, key=repr) == sorted([(1, "u", WORDY, len(WORDY)), (1, "u", "", 0), (None, None, "", 0)], key=repr)
+
+
 def test_archives_round_trip(llm):
     big = "é" * 600
     rows = [
