@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BROADCAST_BYTES = 32 * 1024 * 1024
-SALTS = 16
+#: Keys that the sketch of frequent keys names at most, and keys that it keeps track of.
+HEAVY_KEYS, TRACKED = 256, 16384
 
 
 def _ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -31,13 +32,30 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def salted_join(
+def heavy_keys(rows: DataFrame, keys: Sequence[str], tasks: int | None = None) -> dict[int, int]:
+    """The hashes of keys that hold more rows than a task should have, and over how many tasks
+    each is to be spread. A sketch of frequent items counts the keys where the rows are; it
+    misses none with more than a few in TRACKED of all rows."""
+    tasks = tasks or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sketch = F.expr(f"approx_top_k(_h, {HEAVY_KEYS}, {TRACKED})").alias("top")
+    found = rows.select(F.xxhash64(*keys).alias("_h")).agg(sketch, F.count("*").alias("n")).first()
+    share = max(1, found["n"] // tasks)
+    return {r["item"]: -(-r["count"] // share) for r in found["top"] or [] if r["count"] > share}
+
+
+def skewed_join(
     large: DataFrame, small: DataFrame, keys: Sequence[str], spread_by: Sequence[str], how: str = "inner"
 ) -> DataFrame:
-    """Equi-join that spreads every key of ``large`` over ``SALTS`` tasks and
-    repeats ``small`` for each of them. ``small`` holds a key at most once."""
-    left = large.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)).cast("int"))
-    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    """Equi-join that spreads the heavy keys of ``large``, and only these, over as many tasks
+    as their rows need; only their rows of ``small`` are repeated. ``small`` holds a key at
+    most once."""
+    heavy = heavy_keys(large, keys)
+    if not heavy:
+        return large.join(small, list(keys), how)
+    pairs = [F.lit(v) for pair in heavy.items() for v in pair]
+    salts = F.coalesce(F.try_element_at(F.create_map(*pairs), F.xxhash64(*keys)), F.lit(1))
+    left = large.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), salts).cast("int"))
+    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
@@ -50,14 +68,14 @@ def broadcast_sized(small: DataFrame) -> bool:
 def sized_join(
     large: DataFrame, small: DataFrame, keys: Sequence[str], spread_by: Sequence[str], how: str = "inner"
 ) -> DataFrame:
-    """Broadcasts ``small`` if its measured size is within bounds. Beyond them the keys of
-    ``large`` are spread, unless ``spread_by`` is part of the key: then no key is hot."""
+    """Broadcasts ``small`` if its measured size is within bounds. Beyond them the heavy keys
+    of ``large`` are spread, unless ``spread_by`` is part of the key: then no key is hot."""
     small = checkpointed(small)
     if broadcast_sized(small):
         return large.join(F.broadcast(small), list(keys), how)
     if set(spread_by) <= set(keys):
         return large.join(small, list(keys), how)
-    return salted_join(large, small, keys, spread_by, how)
+    return skewed_join(large, small, keys, spread_by, how)
 
 
 def global_position(

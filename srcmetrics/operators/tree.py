@@ -1,9 +1,9 @@
 """Tree reports: ``(root, line_no, text)``, one row per printed line.
 
 Every step is keyed so that neither a root nor a directory that holds a third of
-all files becomes one task: last children are found by a partial ``max`` and
-matched on the whole node key, indents are worked out once per directory and
-joined back salted, and line numbers come from a range partitioning.
+all files becomes one task: last children are found by a partial ``max``, indents
+are worked out once per directory, both come back to the nodes in one join whose
+heavy keys are spread, and line numbers come from a range partitioning.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from srcmetrics.functions.paths import components
-from srcmetrics.operators.skew import global_position, salted_join
+from srcmetrics.operators.skew import checkpointed, global_position, sized_join
 from srcmetrics.operators.structure import FILE
 
 # The drawing strings and messages of the report.
@@ -54,11 +54,13 @@ def _nodes(texts: DataFrame) -> DataFrame:
         key(F.col("parts"), depth - 1, F.element_at("parts", -1), F.col("file_id")).alias("key"),
         "text",
     )
-    chain = F.transform(F.sequence(F.lit(1), depth - 1), lambda n: _head(F.col("parts"), n))
+    # the ancestors of the directories that hold files, each directory once
+    holding = files.filter(depth > 1).select("root", _joined(_head(F.col("parts"), depth - 1)).alias("dir")).distinct()
+    above = F.transform(F.sequence(F.lit(1), F.size(F.split("dir", "/"))), lambda n: F.call_function("substring_index", F.col("dir"), F.lit("/"), n))
     dirs = (
-        files.filter(depth > 1)
-        .select("root", F.explode(chain).alias("parts"))
+        holding.select("root", F.explode(above).alias("dir"))
         .distinct()
+        .select("root", F.split("dir", "/").alias("parts"))
         .select(
             "root",
             _joined(_head(F.col("parts"), F.size("parts") - 1)).alias("parent"),
@@ -75,16 +77,15 @@ def _nodes(texts: DataFrame) -> DataFrame:
 def _indents(dirs: DataFrame) -> DataFrame:
     """``root, parent, indent``: what is drawn before the children of a directory."""
     own = F.concat_ws("/", F.when(F.col("parent") != "", F.col("parent")), F.col("name"))
-    listed = dirs.select("root", own.alias("dir"), "is_last")
-    parts = F.split("dir", "/")
+    listed = checkpointed(dirs.select("root", own.alias("dir"), "is_last"))
     ancestors = F.transform(
-        F.sequence(F.lit(1), F.size(parts)),
-        lambda n: F.struct(n.alias("n"), _joined(F.slice(parts, F.lit(1), n)).alias("anc")),
+        F.sequence(F.lit(1), F.size(F.split("dir", "/"))),
+        lambda n: F.struct(n.alias("n"), F.call_function("substring_index", F.col("dir"), F.lit("/"), n).alias("anc")),
     )
     steps = listed.select("root", "dir", F.explode(ancestors).alias("a")).select("root", "dir", "a.n", "a.anc")
     flags = listed.select("root", F.col("dir").alias("anc"), "is_last")
     return (
-        salted_join(steps, flags, ["root", "anc"], ["dir"])
+        sized_join(steps, flags, ["root", "anc"], ["dir"])
         .groupBy("root", "dir")
         .agg(F.sort_array(F.collect_list(F.struct("n", "is_last"))).alias("chain"))
         .select(
@@ -102,17 +103,14 @@ def tree_report(
 ) -> DataFrame:
     """Tree of each directory root. ``texts`` is ``summary_text``; ``roots`` gives
     ``root, label, language`` and adds the message of roots without files."""
-    nodes = _nodes(texts)
+    nodes = checkpointed(_nodes(texts))  # short rows, read three times
     # Which child of a directory comes last: partial aggregation, no window on it.
-    last = (
-        nodes.groupBy("root", "parent")
-        .agg(F.max(F.struct("is_file", "name", "file_id")).alias("m"))
-        .select("root", "parent", "m.*", F.lit(True).alias("_last"))
-    )
-    child = ["root", "parent", "is_file", "name", "file_id"]
-    marked = nodes.join(last, child, "left").withColumn("is_last", F.coalesce("_last", F.lit(False))).drop("_last")
-    indents = _indents(marked.filter(F.col("is_file") == 0))
-    drawn = salted_join(marked, indents, ["root", "parent"], ["name", "file_id"], "left")
+    child = F.struct("is_file", "name", "file_id")
+    last = checkpointed(nodes.groupBy("root", "parent").agg(F.max(child).alias("last")))
+    dirs = sized_join(nodes.filter(F.col("is_file") == 0), last, ["root", "parent"], ["name"])
+    indents = _indents(dirs.withColumn("is_last", child == F.col("last")))
+    about = last.join(indents, ["root", "parent"], "left")
+    drawn = sized_join(nodes, about, ["root", "parent"], ["name", "file_id"]).withColumn("is_last", child == F.col("last"))
     placed = global_position(
         drawn.select("root", "key", "name", "is_file", "is_last", "text", F.coalesce("indent", F.lit("")).alias("indent")),
         ["root"],

@@ -110,7 +110,7 @@ def scan(files: DataFrame, options: ScanOptions | None = None, roots: DataFrame
     only if the choice can be broadcast; else every file that its path and options admit is
     cut, and the choice meets the few short rows that come of it. Text is in no shuffle."""
     options = (options or ScanOptions()).check_patterns(files.sparkSession)
-    rules = checkpointed(ignore_rules(files, gitignore=options.ignore_rules))
+    rules = checkpointed(ignore_rules(files, require_git=True, gitignore=options.ignore_rules))
     keys, chosen = _chosen_files(files.select(*FILE, "path"), rules, options)
     keys = checkpointed(keys)
     early = broadcast_sized(keys)

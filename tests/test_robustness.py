@@ -120,3 +120,61 @@ def test_text_meets_no_shuffled_join(files, monkeypatch, broadcast_bytes):
             if "Exchange hashpartitioning" in line or "SortMergeJoin" in line:
                 below = next((x for x in lines[i + 1 :] if "Project" in x), "")
                 assert "content#" not in below or "AS content" in below
+
+
+GLOBS = {
+    "foo[[]bar.rs": (["foo[bar.rs", "d/foo[bar.rs"], ["foobar.rs", "foo[[]bar.rs"]),
+    "[[:alpha:]]x.rs": (["ax.rs", "d/Zx.rs"], ["1x.rs", ":x.rs", "x.rs"]),
+    "[![:digit:]_]y.rs": (["ay.rs"], ["1y.rs", "_y.rs"]),
+    "[\\\\a]z.rs": (["\\z.rs", "az.rs"], ["bz.rs"]),
+    "[a&&b]q.rs": (["aq.rs", "bq.rs", "&q.rs"], ["cq.rs"]),
+    "[]-]w.rs": (["]w.rs", "-w.rs"], ["aw.rs"]),
+    "[^a-c]v.rs": (["dv.rs"], ["bv.rs"]),
+    "open[ab": ([], ["opena", "open[ab"]),
+    "[z-a]u.rs": ([], ["mu.rs"]),
+    "p(1)+{2}.rs": (["p(1)+{2}.rs"], ["p11{2}.rs"]),
+    "a\\*b.rs": (["a*b.rs"], ["axb.rs"]),
+    "**/k/**": (["k/a", "d/k/b/c"], ["k", "dk/a"]),
+    "m/**/n.rs": (["m/n.rs", "m/a/b/n.rs"], ["mn.rs"]),
+}
+
+
+def test_globs(spark):
+    rows = [(f"r{i}", -1, ".ignore", f"{glob}\n") for i, glob in enumerate(GLOBS)]
+    rows += [(f"r{i}", k, path, "") for i, (hit, miss) in enumerate(GLOBS.values()) for k, path in enumerate(hit + miss)]
+    table = spark.createDataFrame(rows, "root string, file_id bigint, path string, content string")
+    rules = ignore.ignore_rules(table)
+    kept = {(r.root, r.path) for r in ignore.apply_ignore_rules(table, rules).filter("file_id >= 0").collect()}
+    assert kept == {(f"r{i}", path) for i, (_, miss) in enumerate(GLOBS.values()) for path in miss}
+
+
+def test_rules_of_repositories(files):
+    base = [(".gitignore", "!b.rs\n*.x\n"), (".ignore", "!c.rs\n"), (".git/info/exclude", "a.rs\nb.rs\nc.rs\n")]
+    table = files(*base, *[(p, "") for p in ("a.rs", "b.rs", "c.rs", "d.x", "src/a.rs")])
+    rules = ignore.ignore_rules(table, require_git=True)
+    kept = {r.path for r in ignore.apply_ignore_rules(table, rules).collect()}
+    assert {"b.rs", "c.rs"} <= kept and not kept & {"a.rs", "d.x", "src/a.rs"}
+    plain = files((".gitignore", "a.rs\n"), ("a.rs", "fn a() {}"), ("b.rs", "fn b() {}"))
+    options = ScanOptions(language="rust", ignore_rules=True)
+    assert {r.path for r in scan(plain, options).file_loc.collect()} == {"a.rs", "b.rs"}  # no repository
+    inside = files((".gitignore", "a.rs\n"), ("a.rs", "fn a() {}"), ("b.rs", "fn b() {}"), (".git/HEAD", "x"))
+    assert {r.path for r in scan(inside, options).file_loc.collect()} == {"b.rs"}
+
+
+def test_only_heavy_keys_are_spread(spark, monkeypatch):
+    rows = spark.range(1_000_000).selectExpr("IF(id % 3 = 0, 'hot', concat('k', id % 50000)) AS k", "id AS v")
+    small = spark.range(50_000).selectExpr("concat('k', id) AS k", "id AS w").unionByName(spark.sql("SELECT 'hot' AS k, -1L AS w"))
+    heavy = skew.heavy_keys(rows, ["k"], 100)
+    hot = spark.sql("SELECT xxhash64('hot') AS h").first().h
+    assert set(heavy) == {hot} and 30 <= heavy[hot] <= 40
+    spark.conf.set("spark.sql.shuffle.partitions", "100")
+    try:
+        joined = skew.skewed_join(rows, small, ["k"], ["v"])
+        plan = joined._jdf.queryExecution().toString()
+        assert "_salt" in plan
+        assert joined.count() == 1_000_000 and joined.filter("k = 'hot' AND w <> -1").isEmpty()
+        even = rows.filter("k <> 'hot'")
+        assert skew.heavy_keys(even, ["k"], 100) == {}
+        assert "_salt" not in skew.skewed_join(even, small, ["k"], ["v"])._jdf.queryExecution().toString()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
