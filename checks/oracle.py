@@ -383,7 +383,12 @@ def oracle_sql() -> dict[str, str]:
         "function_pool": items_of(RUST_ITEMS, functions),
         "offending_functions": items_of(RUST_ITEMS, f"{functions} AND loc > {FN_LIMIT}"),
         "offending_files": f"{offending} SELECT root, file_id, path, total_loc FROM kept",
-        "offender_items": f"{offending} SELECT {ITEM} FROM it WHERE file_id IN (SELECT file_id FROM kept) AND (NOT is_function OR loc > {FN_LIMIT})",
+        # one row per file tells both limits; items meet it by their file
+        "offender_items": f"""{RUST_ITEMS}, {RUST_LOC},
+            worst AS (SELECT root, file_id, max(CASE WHEN is_function THEN loc ELSE 0 END) AS longest FROM it GROUP BY root, file_id),
+            kept AS (SELECT fl.root, fl.file_id FROM fl LEFT JOIN worst USING (root, file_id)
+              WHERE total_loc > {FILE_LIMIT} OR longest > {FN_LIMIT})
+            SELECT {ITEM} FROM it JOIN kept USING (root, file_id) WHERE NOT is_function OR loc > {FN_LIMIT}""",
         "totals": f"""{offending} SELECT r.root, CAST(count(kept.file_id) AS BIGINT) AS files, CAST(coalesce(sum(total_loc), 0) AS BIGINT) AS total_loc
             FROM (SELECT DISTINCT source AS root FROM documents UNION SELECT 'empty/' || n_name FROM nation) r LEFT JOIN kept ON kept.root = r.root GROUP BY r.root""",
         "file_summary": FILE_SUMMARY,

@@ -123,8 +123,11 @@ def _offending_files(spark: SparkSession, sf: str, items: DataFrame | None = Non
 
 
 def _offender_items(spark: SparkSession, sf: str) -> DataFrame:
-    items = _rust(spark, sf)  # both uses share one exchange
-    return offenders.offender_items(items, _offending_files(spark, sf, items), FN_LIMIT).select(*ITEM)
+    rows = checkpointed(rust_items(c.rust_files(spark, sf), with_files=True))  # one pass over the text
+    items = rows.filter("category <> 'file'")
+    sizes = rows.filter("category = 'file'").select(*KEY, F.col("loc").alias("total_loc"))
+    kept = offenders.offending_files(sizes, items, FILE_LIMIT, FN_LIMIT)
+    return offenders.offender_items(items, kept, FN_LIMIT).select(*ITEM)
 
 
 def _totals(spark: SparkSession, sf: str) -> DataFrame:
