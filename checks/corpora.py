@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from srcmetrics.sources.corpus import from_documents, from_pages, spread
+from srcmetrics.operators.skew import shared_folder
+from srcmetrics.sources.corpus import from_documents, from_pages, read_corpus, spread, write_tree
 
 FIRST_PARTS = ["src", "src/core", "src2/io", "tests", "obj/Debug", "lib/Bin"]
 EXTENSIONS = [".rs", ".cs", ".RS", ".Designer.cs", ".g.cs", ".generated.cs", ".txt", ".cs", ".rs", ".razor", ".md"]
@@ -82,6 +83,16 @@ def ruled_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_files(spark, sf_dir).unionByName(per_root.select("root", "r.*"))
 
 
+def read_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents written as a tree of files, hidden ones among them, and read back."""
+    doc = F.col("doc_id")
+    place = _pick(doc % 4, ["a", ".hidden/_b", "c/d/.e", "_f"])
+    path = F.concat(place, F.lit("/"), _pick(doc % 3, ["u", ".u", "_u"]), doc.cast("string"), F.lit(".txt"))
+    folder = shared_folder(spark)
+    write_tree(from_documents(documents(spark, sf_dir), path), folder)
+    return read_corpus(spark, [folder])
+
+
 def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return from_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 

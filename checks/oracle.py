@@ -320,6 +320,12 @@ def oracle_sql() -> dict[str, str]:
     word_text = "array_to_string(regexp_extract_all(l, '[A-Za-z]+'), ' ')"
     return {
         "decode_text": "SELECT doc_id, concat(substr(text, 1, 5), chr(65533), substr(text, 6)) AS content FROM documents",
+        "read_corpus": f"""SELECT concat({_case('doc_id % 4', ['a', '.hidden/_b', 'c/d/.e', '_f'])}, '/', {_case('doc_id % 3', ['u', '.u', '_u'])},
+            CAST(doc_id AS VARCHAR), '.txt') AS path, text AS content FROM documents""",
+        "page_corpus": """WITH p AS (SELECT split_part(url, '/', 3) AS root, page_id AS file_id,
+              array_to_string(string_split(split_part(split_part(url, '?', 1), '#', 1), '/')[4:], '/') AS path FROM pages)
+            SELECT root, file_id, path, CAST(row_number() OVER (PARTITION BY root ORDER BY string_split(path, '/'), file_id) AS BIGINT) AS position
+            FROM p WHERE NOT regexp_matches(path, '[02468]$')""",
         "file_root": f"{c1} SELECT root, file_id, base AS path, base AS label, 'file' AS root_kind FROM c1",
         "root_label": "SELECT page_id, regexp_extract(url, '([^/]+)/*$', 1) AS label FROM pages",
         "normalise_path": f"{c1} SELECT root, file_id, path FROM c1",

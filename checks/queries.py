@@ -108,6 +108,12 @@ def _csharp_top_level(spark: SparkSession, sf: str) -> DataFrame:
     return found.filter(F.col("name") == TOP_LEVEL).select(*KEY, "name", "loc")
 
 
+def _page_corpus(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages as files of their hosts: their paths selected and put in order."""
+    files = select.exclude_regex(c.page_files(spark, sf).select(*KEY), ["[02468]$"])
+    return rank.ordered_files(files).select(*KEY, "position")
+
+
 def _scan_status(spark: SparkSession, sf: str) -> DataFrame:
     rust = structure.scan_status(c.ended_files(c.rust_files(spark, sf), "rust"), "rust")
     return rust.unionByName(structure.scan_status(c.ended_files(c.csharp_files(spark, sf), "csharp"), "csharp"))
@@ -182,6 +188,8 @@ def queries() -> dict[str, Query]:
     listed = [*ITEM, "position"]
     return {
         "decode_text": _decode_text,
+        "read_corpus": lambda spark, sf: c.read_files(spark, sf).select("path", "content"),
+        "page_corpus": _page_corpus,
         "file_root": _on_documents(as_file_root, *KEY, "label", "root_kind"),
         "root_label": _root_label,
         "normalise_path": _normalise_path,

@@ -123,3 +123,11 @@ def summary_text(file_loc: DataFrame, top: DataFrame) -> DataFrame:
     return file_loc.join(best, FILE, "left").select(
         *FILE, "path", one_line(F.col("total_loc"), F.coalesce("_top", none)).alias("text")
     )
+
+
+def write_report(lines: DataFrame, folder: str) -> None:
+    """Writes a report ``(root, line_no, text)`` as text files, one folder a root
+    (``root=...``). Its part files, joined by name, are the report: rows are dealt by ranges of
+    root and line, so neither a root nor the whole is in one task, and no line is moved twice."""
+    ordered = lines.repartitionByRange("root", "line_no").sortWithinPartitions("root", "line_no")
+    ordered.select("root", "text").write.partitionBy("root").text(folder)

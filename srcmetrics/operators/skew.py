@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -26,6 +28,13 @@ def _ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The URI of a new folder below the one for checkpoints, which all executors share."""
+    _ensure_checkpoint_dir(spark)
+    base = re.sub(r"^(?:file:)?/+", "file:///", spark.sparkContext.getCheckpointDir())
+    return f"{base}/{uuid.uuid4().hex}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cuts the lineage in the shared folder, so lost executors lose no result."""
     _ensure_checkpoint_dir(df.sparkSession)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,47 +50,85 @@ def with_root_label(roots: DataFrame, uri: str = "uri") -> DataFrame:
 
 # Python runs only where Spark has no reader: its file source skips names that
 # begin with "." or "_", and hidden files are part of a corpus.
-def _list_directories(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _entries(uri: str) -> Iterator[tuple[str, bool, int]]:
+    """(name, whether a directory, bytes) of what a directory holds; linked directories are
+    not followed. A local directory is streamed."""
     import os
 
     from pyarrow import fs
 
+    system, where = fs.FileSystem.from_uri(uri)
+    if isinstance(system, fs.LocalFileSystem):
+        with os.scandir(where) as found:
+            for entry in found:
+                if entry.is_dir(follow_symlinks=False):
+                    yield entry.name, True, 0
+                elif entry.is_file():
+                    yield entry.name, False, entry.stat().st_size
+        return
+    for info in system.get_file_info(fs.FileSelector(where, recursive=False)):
+        yield info.base_name, info.type == fs.FileType.Directory, info.size or 0
+
+
+def _list_directories(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows: list[tuple] = []
+
+    def listed() -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) or [()] * 4
+        rows.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _LISTING, strict=True)], schema=_LISTING)
+
     for batch in batches:
-        rows = []
-        for top, uri in zip(batch["top"], batch["uri"]):
-            system, where = fs.FileSystem.from_uri(uri)
-            local = isinstance(system, fs.LocalFileSystem)
+        for top, uri in zip(batch.column("top").to_pylist(), batch.column("uri").to_pylist(), strict=True):
             base = uri.rstrip("/")
-            for info in system.get_file_info(fs.FileSelector(where, recursive=False)):
-                is_dir = info.type == fs.FileType.Directory
-                if is_dir and local and os.path.islink(info.path):
-                    continue  # linked directories are not followed
-                rows.append((top, f"{base}/{info.base_name}", is_dir))
-        yield pd.DataFrame(rows, columns=["top", "uri", "is_dir"])
+            for name, is_dir, size in _entries(uri):
+                rows.append((top, f"{base}/{name}", is_dir, size))
+                if len(rows) >= LISTED_ROWS:
+                    yield listed()
+    yield listed()
 
 
-def _read_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+_LISTING = pa.schema([("top", pa.string()), ("uri", pa.string()), ("is_dir", pa.bool_()), ("size", pa.int64())])
+_READ = pa.schema([("root", pa.string()), ("path", pa.string()), ("bytes", pa.binary())])
+#: Entries handed on at once, bytes read at once (a longer file alone), and bytes of a task.
+LISTED_ROWS, READ_BYTES, TASK_BYTES = 4096, 16 << 20, 128 << 20
+
+
+def _read_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyarrow import fs
 
+    rows: list[tuple] = []
+    held = 0
+
+    def read() -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) or [()] * 3
+        rows.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _READ, strict=True)], schema=_READ)
+
     for batch in batches:
-        for row in batch.itertuples(index=False):
-            system, where = fs.FileSystem.from_uri(row.uri)
-            with system.open_input_stream(where) as stream:
+        for root, path, uri in zip(*(batch.column(c).to_pylist() for c in ("root", "path", "uri")), strict=True):
+            system, where = fs.FileSystem.from_uri(uri)
+            with system.open_input_stream(where, compression=None) as stream:
                 data = stream.read()
-            yield pd.DataFrame([(row.root, row.path, data)], columns=["root", "path", "bytes"])
+            if rows and held + len(data) > READ_BYTES:
+                yield read()
+                held = 0
+            rows.append((root, path, data))
+            held += len(data)
+    yield read()
 
 
 def list_tree(spark: SparkSession, uris: list[str], tasks: int | None = None) -> DataFrame:
-    """``(top, uri)`` of every file below the given directories, hidden ones too.
+    """``(top, uri, size)`` of every file below the given directories, hidden ones too.
     One job per directory level; each lists its directories on the executors."""
     tasks = tasks or spark.sparkContext.defaultParallelism * 4
     open_dirs = spark.createDataFrame([(u, u) for u in uris], "top string, uri string")
     found = None
     while True:
         listing = checkpointed(
-            open_dirs.repartition(tasks, "uri").mapInPandas(_list_directories, "top string, uri string, is_dir boolean")
+            open_dirs.repartition(tasks, "uri").mapInArrow(_list_directories, "top string, uri string, is_dir boolean, size bigint")
         )
-        files = listing.filter(~F.col("is_dir")).select("top", "uri")
+        files = listing.filter(~F.col("is_dir")).select("top", "uri", "size")
         found = files if found is None else found.unionByName(files)
         open_dirs = listing.filter("is_dir").select("top", "uri")
         if open_dirs.isEmpty():
@@ -98,10 +136,13 @@ def list_tree(spark: SparkSession, uris: list[str], tasks: int | None = None) ->
 
 
 def read_listed(listing: DataFrame, tasks: int | None = None) -> DataFrame:
-    """Reads the files of ``(root, path, uri)`` rows on the executors."""
+    """Reads the files of ``(root, path, uri, size)`` rows on the executors, in as many tasks as
+    their bytes ask for (or ``tasks``)."""
     spark = listing.sparkSession
-    tasks = tasks or spark.sparkContext.defaultParallelism * 4
-    read = listing.repartition(tasks, "uri").mapInPandas(_read_files, "root string, path string, bytes binary")
+    if tasks is None:
+        size = listing.agg(F.sum("size")).first()[0] or 0
+        tasks = max(spark.sparkContext.defaultParallelism * 2, -(-size // TASK_BYTES))
+    read = listing.repartition(tasks, "uri").mapInArrow(_read_files, "root string, path string, bytes binary")
     return read.select(
         "root",
         # stable across runs and retries; distinct paths of a root get distinct ids
@@ -115,6 +156,25 @@ def read_corpus(spark: SparkSession, uris: list[str], tasks: int | None = None)
     """Directory trees on storage that all executors reach as ``source_files``;
     the URI of a tree is its ``root``."""
     listing = list_tree(spark, [u.rstrip("/") for u in uris], tasks).select(
-        F.col("top").alias("root"), F.expr("substring(uri, length(top) + 2)").alias("path"), "uri"
+        F.col("top").alias("root"), F.expr("substring(uri, length(top) + 2)").alias("path"), "uri", "size"
     )
     return read_listed(listing, tasks)
+
+
+def _write_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from pyarrow import fs
+
+    for batch in batches:
+        for uri, data in zip(batch.column("uri").to_pylist(), batch.column("bytes").to_pylist(), strict=True):
+            system, where = fs.FileSystem.from_uri(uri)
+            system.create_dir(where.rsplit("/", 1)[0], recursive=True)
+            with system.open_output_stream(where, compression=None) as stream:
+                stream.write(data or b"")
+        yield batch.select(["uri"])
+
+
+def write_tree(files: DataFrame, uri: str) -> int:
+    """Writes ``files(path, content)`` below a folder that all executors reach, on the
+    executors; a task that is run again writes the same files anew. Returns their number."""
+    named = files.select(F.concat(F.lit(f"{uri.rstrip('/')}/"), "path").alias("uri"), F.col("content").cast("binary").alias("bytes"))
+    return named.mapInArrow(_write_files, "uri string").count()

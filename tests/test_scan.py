@@ -266,3 +266,34 @@ def test_text_does_not_reach_a_shuffle(project):
     assert windows and not any("content" in line or "chunk" in line for line in windows)
     physical = rust_items(project)._jdf.queryExecution().executedPlan().toString()
     assert physical.count("Exchange hashpartitioning") == 1
+
+
+def test_written_reports_are_whole_in_order(project, tmp_path):
+    import json
+
+    s = scan(project, ScanOptions(language="rust", output_format="json"))
+    want = {}
+    for r in s.report().orderBy("root", "line_no").collect():
+        want.setdefault(r.root, []).append(r.text)
+    report.write_report(s.report(), f"{tmp_path}/report")
+    for root, lines_ in want.items():
+        parts = sorted((tmp_path / "report" / f"root={root}").glob("part-*"))
+        text = "".join(p.read_text() for p in parts)
+        assert text.splitlines() == lines_
+        json.loads(text)
+
+
+def test_files_are_read_by_bytes(spark, tmp_path, monkeypatch):
+    from srcmetrics.sources import corpus
+
+    rows = [(f"d{i % 5}/.h/f{i}", "x" * (i * 997 % 5000)) for i in range(200)] + [("big", "y" * 100_000), ("empty", "")]
+    files_ = spark.createDataFrame(rows, "path string, content string")
+    assert corpus.write_tree(files_, f"file://{tmp_path}/t") == 202
+    table = read_corpus(spark, [f"file://{tmp_path}/t"])
+    assert sorted((r.path, r.content) for r in table.collect()) == sorted(rows)
+    listing = corpus.list_tree(spark, [f"file://{tmp_path}/t"])
+    assert {r.uri.rsplit("/", 1)[1]: r["size"] for r in listing.collect()}["big"] == 100_000
+    monkeypatch.setattr(corpus, "TASK_BYTES", 10_000)
+    total = sum(len(t) for _, t in rows)
+    named = listing.selectExpr("top AS root", "uri AS path", "uri", "size")
+    assert corpus.read_listed(named).rdd.getNumPartitions() == -(-total // 10_000)
