@@ -82,19 +82,6 @@ def is_generated(path: Column, language: Column) -> Column:
     ).otherwise(F.lit(False))
 
 
-def under_prefix(path: Column, prefixes: Sequence[str]) -> Column:
-    """True where some prefix covers the path component by component."""
-    tests = []
-    for prefix in prefixes:
-        if prefix.startswith("/") or prefix == "." or prefix.startswith("./"):
-            continue  # never the beginning of a relative path
-        parts = [p for p in prefix.split("/") if p not in ("", ".")]
-        if parts:
-            head = F.slice(components(path), 1, len(parts))
-            tests.append(head == F.array(*[F.lit(p) for p in parts]))
-    return any_of(tests)
-
-
 def matches_any(path: Column, patterns: Sequence[str]) -> Column:
     """Unanchored any-of regex search with Unicode character classes."""
     return any_of([F.rlike(path, F.lit("(?U)" + p)) for p in patterns])

@@ -50,7 +50,9 @@ def chunks(files: DataFrame, language: str, whole_statements: bool = False) -> D
     statements that no definition can be part of is taken into the next chunk, so
     that it costs no row of its own in the shuffle."""
     content = F.col("content")
-    unmarked = F.when(F.startswith(content, F.lit("\ufeff")), F.substring(content, 2, 2**31 - 1)).otherwise(content)
+    # a byte-order mark is no part of a head, but makes its line a visible one, as a comment does
+    marked = F.startswith(content, F.lit("\ufeff"))
+    unmarked = F.when(marked, F.concat(F.lit("/**/"), F.substring(content, 2, 2**31 - 1))).otherwise(content)
     if language == "rust":
         unmarked = nesting.flat_comments(unmarked)
     text = F.concat(F.lit("\n"), unmarked, F.lit("\n"))

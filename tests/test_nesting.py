@@ -206,3 +206,18 @@ def test_scans_tell_the_status_of_their_files(files):
     with pytest.raises(Exception, match="unable to parse source file"):
         scan(table, ScanOptions(language="rust", mode="failfast"))
     scan(files(("a.rs", "fn a() {\n}\n")), ScanOptions(language="rust", mode="failfast"))
+
+
+def test_byte_order_marks(files):
+    from srcmetrics.operators.lines import file_loc
+
+    rust = files(("a.rs", "\ufefffn a() {}\n"), ("b.rs", "\ufeff\nfn b() {\n}\n"), ("c.rs", "\ufeff#![allow(x)]\n/// d\nfn c() {}\n"))
+    rows = rust_items(rust, with_files=True).collect()
+    sizes = {r.path: r["loc"] for r in rows if r.category == "file"}
+    assert sizes == {r.path: r.total_loc for r in file_loc(rust).collect()} == {"a.rs": 1, "b.rs": 3, "c.rs": 3}
+    assert {(r.name, r.start_line, r["loc"]) for r in rows if r.category != "file"} == {("a", 1, 1), ("b", 2, 2), ("c", 2, 2)}
+    sharp = files(("a.cs", "\ufeffusing System;\nclass A { }\n"), ("b.cs", "\ufeff\nclass B { }\n"))
+    rows = csharp_items(sharp, with_files=True).collect()
+    sizes = {r.path: r["loc"] for r in rows if r.category == "file"}
+    assert sizes == {r.path: r.total_loc for r in file_loc(sharp).collect()} == {"a.cs": 2, "b.cs": 2}
+    assert {(r.name, r.start_line) for r in rows if r.category == "struct"} == {("A", 2), ("B", 2)}
