@@ -25,14 +25,19 @@ LEAST_SCORE = 0.5
 #: Near copies: words of a shingle and percent of Jaccard similarity.
 SHINGLE, SIMILARITY = 5, 80
 SHARDS = 40
-#: Rows that go to a Python worker at once: whole texts, which may be long.
-ARROW_ROWS = 1000
+#: Whole texts, which may be long, are held by so many rows at once on the way to a Python worker
+#: and when read, and by so many bytes when written.
+LIMITS = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": 1000,
+    "spark.sql.parquet.columnarReaderBatchSize": 512,
+    "parquet.block.size": 16 << 20,
+}
 
 
 def _ready(spark: SparkSession) -> None:
     ship(spark)
-    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    spark.conf.set(rows, min(int(spark.conf.get(rows)), ARROW_ROWS))
+    for name, limit in LIMITS.items():
+        spark.conf.set(name, min(int(spark.conf.get(name, str(limit))), limit))
 
 
 def _identity() -> Column:
