@@ -32,8 +32,8 @@ ROUNDS, LOOKED_AT, LEAST_GAIN = 300, 4096, 1e-5
 #: Words, and parts of late and of before, kept with their ids in a Python worker; of words, those
 #: of so many symbols at most.
 MEMORY_WORDS, LONGEST_KEPT = 300_000, 64
-#: Bytes of ids after which pieces are handed on.
-BATCH_BYTES = 8 << 20
+#: Rows that are worked on at once, and bytes of ids after which pieces are handed on.
+SLICE_ROWS, BATCH_BYTES = 512, 8 << 20
 _RANK_BITS = 44
 
 
@@ -121,6 +121,12 @@ class TokenIds:
         return out
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)
+
+
 @lru_cache(2)
 def _token_ids(path: str) -> TokenIds:
     return TokenIds(path)
@@ -290,7 +296,7 @@ def _tokenise(path: str, window: int, end_id: int):
         end, width = np.array([end_id], ids_of.dtype).tobytes(), np.dtype(ids_of.dtype).itemsize
         part, row, full = TaskContext.get().partitionId(), 0, 0
         seen = [0] * window
-        for batch in batches:
+        for batch in _slices(batches):
             ids, n, rank, before = [], [], [], []
             for text in batch.column("text").to_pylist():
                 data = (ids_of(text) if text else b"") + end
@@ -322,7 +328,7 @@ def _cut(path: str, plan: Layout):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dtype = _token_ids(path).dtype
-        for batch in batches:
+        for batch in _slices(batches):
             column = {c: batch.column(c).to_pylist() for c in ("n", "rank", "full", "at", "ids")}
             rows, ids, out, held = [], [], [], 0
             for i, (n, rank, full, at, data) in enumerate(zip(*column.values(), strict=True)):
