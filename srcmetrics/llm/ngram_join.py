@@ -36,6 +36,8 @@ from srcmetrics.llm.store import bounded, stored
 
 #: N-grams and documents of a block, and n-grams of a fragment, about.
 BLOCK_NGRAMS, BLOCK_DOCS, FRAGMENT_NGRAMS = 1 << 20, 60_000, 1 << 19
+#: Rows that a block hands on at once.
+BATCH_ROWS = 1 << 10
 #: Fragments (a power of two, as bits) in which overlaps of pairs are counted.
 PAIR_FRAGMENT_BITS = 1
 #: Stands for "several documents of the block" in place of a document's number.
@@ -73,14 +75,21 @@ def _cut(bits: int, block: int, docs: np.ndarray, hashes: list, owners: list) ->
     docs["shared"] = np.bincount(owner[several[run]], minlength=len(docs))
     owner = np.where(several, _SEVERAL, owner[new]).astype("<u2")
     h = h[new] >> np.uint64(16)
-    edges = np.searchsorted(h, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(48 - bits))
     yield _binary((-1 - block, block, docs.tobytes(), None))
-    for frag in range(1 << bits):
-        a, b = edges[frag], edges[frag + 1]
-        if a < b:
-            steps = np.diff(h[a:b], prepend=np.uint64(frag << (48 - bits)))
-            narrow = steps.astype("<u4") if steps.max() < 1 << 32 else steps.astype("<u8")
-            yield _binary((frag, block, narrow.tobytes(), owner[a:b].tobytes()))
+    if not len(h):
+        return
+    frag = h >> np.uint64(48 - bits)
+    begin = np.flatnonzero(np.diff(frag, prepend=frag[0] + np.uint64(1)))  # only fragments that the block has
+    steps = np.diff(h, prepend=h[0])
+    steps[begin] = h[begin] - (frag[begin] << np.uint64(48 - bits))
+    wide = np.maximum.reduceat(steps, begin) >= 1 << 32
+    narrow, end = steps.astype("<u4"), np.append(begin[1:], len(h))
+    rows = [
+        (f, block, (steps if w else narrow)[a:b].tobytes(), owner[a:b].tobytes())
+        for f, w, a, b in zip(frag[begin].tolist(), wide.tolist(), begin.tolist(), end.tolist(), strict=True)
+    ]
+    for at in range(0, len(rows), BATCH_ROWS):
+        yield _binary(*rows[at : at + BATCH_ROWS])
 
 
 def _blocks(sets_of: SetsOf, bits: int):
@@ -256,6 +265,10 @@ def ngram_components(docs: DataFrame, size: int, pct: int) -> DataFrame:
             "node bigint, n int, frag int, b0 bigint, b1 bigint, b2 bigint, b3 bigint, ngrams array<bigint>",
         )
     )
+    nameless = stored(classes.filter("rep IS NULL").select(F.col("sid").alias("node")))
+    if not nameless.isEmpty():  # sets that only rows without an id have
+        unnamed = docs.filter("doc_id IS NULL").select("text").mapInArrow(_fragments(size), pieces.schema)
+        pieces = stored(pieces.unionByName(unnamed.join(bounded(nameless, 16), "node", "left_semi")))
     if pieces.count() != pieces.select("node", "frag").distinct().count():  # a doc_id repeats
         pieces = stored(pieces.dropDuplicates(["node", "frag"]))
 

@@ -12,6 +12,7 @@ from srcmetrics.llm import lines as ln
 from srcmetrics.llm import shingles as sh
 from srcmetrics.llm.components import components
 from srcmetrics.llm.decontaminate import decontaminated, find_items
+from srcmetrics.llm import ngram_join as nj
 from srcmetrics.llm.ngram_join import ngram_components
 
 ID_TEXT = "doc_id bigint, text string"
@@ -178,6 +179,32 @@ def test_banded_distance(most):
     assert (ln.within_threshold(a, b, most) == want).all()
 
 
+def test_rows_without_an_id_link_others(llm):
+    words = [f"w{k}" for k in range(60)]
+    a, b, c = words, words[:-1] + ["x"], words[2:-1] + ["x", "y"]
+    kind = "doc_id bigint, text string"
+    rows = [(1, " ".join(a)), (None, " ".join(b)), (3, " ".join(c)), (None, " ".join(b)), (9, "quite another text")]
+    got = {(r.doc_id, r.component_id) for r in nj.ngram_components(llm.createDataFrame(rows, kind), 3, 90).collect()}
+    assert got == {(1, 1), (None, 1), (3, 1), (9, 9)}
+    only = [(None, " ".join(a)), (None, " ".join(b))]
+    assert {r.component_id for r in nj.ngram_components(llm.createDataFrame(only, kind), 3, 90).collect()} == {None}
+
+
+def test_blocks_cut_only_fragments_they_have():
+    h = np.array([5, 1 << 40, (1 << 40) + 7, 1 << 63], np.uint64)
+    docs = np.zeros(2, nj._DOC)
+    for bits in (0, 3, 30):
+        batches = list(nj._cut(bits, 0, docs.copy(), [h[:3], h[1:]], [np.zeros(3, int), np.ones(3, int)]))
+        rows = [r for x in batches for r in x.to_pylist()][1:]
+        assert len(batches) == 2 and len(rows) <= 4
+        found = []
+        for r in rows:
+            own = np.frombuffer(r["docs"], "<u2")
+            steps = np.frombuffer(r["ngrams"], "<u4" if len(r["ngrams"]) == 4 * len(own) else "<u8")
+            found += [((r["frag"] << (48 - bits)) + int(x), int(o)) for x, o in zip(np.cumsum(steps, dtype=np.uint64), own)]
+        assert found == [(5 >> 16, 0), (1 << 24, nj._SEVERAL), ((1 << 24), nj._SEVERAL), (1 << 47, 1)]
+
+
 def test_line_join_finds_every_link(llm):
     rng = random.Random(9)
     lines = ["".join(rng.choice("abcdefg h") for _ in range(rng.randrange(20, 70))).strip() for _ in range(60)]
