@@ -1,14 +1,15 @@
 """Nesting to any depth, the state at the end of a text, and branches of conditions."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from srcmetrics.functions import nesting
+from srcmetrics.functions import lexical, nesting
 from srcmetrics.operators.csharp_items import csharp_items
 from srcmetrics.operators.rust_items import rust_items
-from srcmetrics.operators.structure import mask_source, scan_status
+from srcmetrics.operators.structure import chunks, mask_source, scan_status
 from srcmetrics.options import ScanOptions
 from srcmetrics.plans.scan import scan
 
@@ -221,3 +222,36 @@ def test_byte_order_marks(files):
     sizes = {r.path: r["loc"] for r in rows if r.category == "file"}
     assert sizes == {r.path: r.total_loc for r in file_loc(sharp).collect()} == {"a.cs": 2, "b.cs": 2}
     assert {(r.name, r.start_line) for r in rows if r.category == "struct"} == {("A", 2), ("B", 2)}
+
+
+BRANCHED = "class C%d : A\n{\n#if X\nvoid M()\n{\n#else\nvoid M(int a)\n{\n#endif\nint[] x = [1, 2];\n}\n}\n"
+
+
+def test_branches_of_long_files(spark, files):
+    """A file may have many marked chunks, and costs no more than its text in many files."""
+    n = 300
+    blocks = [BRANCHED % i for i in range(n)]
+    found = csharp_items(files(("a.cs", "namespace N;\n" + "".join(blocks)))).collect()
+    assert sorted(r.name for r in found if r.category == "struct") == sorted(f"C{i}" for i in range(n))
+    methods = [r for r in found if r.category == "impl_method"]
+    assert len(methods) == n and {r.loc for r in methods} == {8}
+
+    def took(*texts):
+        rows = files(*[(f"{i}.cs", t) for i, t in enumerate(texts)]).coalesce(1)
+        start = time.perf_counter()
+        chunks(rows, "csharp").write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - start
+
+    part = "".join(blocks[:50])
+    took(part)
+    assert took(part * 300) < 3 * took(*[part] * 300)
+
+
+def test_groups_side_by_side(spark):
+    """All groups of a text are taken out, those side by side at once."""
+    texts = ["f" + "(a)" * 400, "f" + "(" * 23 + ")" * 23 + "(b(c))" * 50, "(" * 9 + ")" * 8]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(
+        nesting.peeled(F.col("t"), lexical.CS_PARENS, "()", "(", lexical.PEEL_LEVELS).alias("p")
+    )
+    assert [r.p for r in rows.collect()][:2] == ["f" + "()" * 400, "f()" + "()" * 50]
+    assert rows.collect()[2].p == "()".join(["(", ""])
