@@ -255,3 +255,21 @@ def test_groups_side_by_side(spark):
     )
     assert [r.p for r in rows.collect()][:2] == ["f" + "()" * 400, "f()" + "()" * 50]
     assert rows.collect()[2].p == "()".join(["(", ""])
+
+
+def test_comments_of_long_files(spark):
+    """A text with many nested comments costs no more than its parts in many files."""
+    part = "".join(f"fn f{i}() {{\n/* a /* {{ */ */\n}}\n" for i in range(20))
+
+    def flattened(*texts):
+        return spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1).select(nesting.flat_comments(F.col("t")).alias("f"))
+
+    def took(*texts):
+        start = time.perf_counter()
+        flattened(*texts).write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - start
+
+    took(part)
+    assert took(part * 100) < 3 * took(*[part] * 100)
+    open_ = "/* a /* b"
+    assert [r.f for r in flattened(part * 30, part * 30 + open_).collect()] == [flat(part * 30), flat(part * 30 + open_)]
