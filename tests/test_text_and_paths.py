@@ -165,3 +165,14 @@ def test_long_and_unterminated_literals(files):
     table = files(("long.rs", long_text), ("open.rs", 'fn a() {}\nconst S: &str = "' + "{" * 50_000), ("comment.rs", "/*" * 2000))
     got = {r.path: r.status for r in scan_status(table, "rust").collect()}
     assert got == {"long.rs": "ok", "open.rs": "unterminated", "comment.rs": "unterminated"}
+
+
+def test_visible_lines_are_searched_only_where_lines_are_blank(spark):
+    """Counts agree with a plain reading for all kinds of white space."""
+    from srcmetrics.functions.text import visible_line_starts
+
+    texts = ["", "a", "\na", "\n\n", "\n 　\na\n", "\nb\r\n\tc", "x\n\x0b", "\n b\n c\n\nd", "\n"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", visible_line_starts(F.col("t")).alias("n"))
+    assert [r.n for r in rows.collect()] == [sum(1 for line in t.split("\n")[1:] if line.strip()) for t in texts]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" in plan
