@@ -41,15 +41,16 @@ HEAD = "struct<kind:string,name:string,trait_path:string,is_test:boolean,pos:int
 
 def _heads(cut: DataFrame) -> DataFrame:
     """Adds ``kind`` where a chunk begins a definition."""
-    chunk = F.col("chunk")
-    found = cut.withColumn(
-        "_head",
-        F.when(F.col("term").isin("{", ";", "(", "["), F.regexp_extract(chunk, lx.RUST_HEAD, 0)).otherwise(F.lit("")),
+    chunk, marked = F.col("chunk"), F.col("marked")
+    definition = F.when(marked, F.regexp_extract(chunk, lx.RUST_HEAD, 0)).otherwise(F.regexp_extract(chunk, lx.RUST_BARE_HEAD, 0))
+    found = cut.withColumn("marked", F.rlike(chunk, F.lit(lx.RUST_MARKED))).withColumn(
+        "_head", F.when(F.col("term").isin("{", ";", "(", "["), definition).otherwise(F.lit(""))
     )
     word = F.regexp_extract("_head", r"(\w+)(?:\W+mut\b)?(?:\s|//[^\n]*+|/\*[\s\S]*?\*/)+(?:r#)?\w+\z", 1)
     kind = F.when(F.col("_head") == "", None).when(F.endswith("_head", F.lit("impl")), "impl").otherwise(word)
     found = found.withColumn("kind", kind)
-    untyped = F.col("kind").isin(*VALUE_KINDS) & ~F.rlike(chunk, F.lit(lx.RUST_VALUE_HEAD))
+    typed = F.when(marked, F.rlike(chunk, F.lit(lx.RUST_VALUE_HEAD))).otherwise(F.rlike(chunk, F.lit(lx.RUST_BARE_VALUE_HEAD)))
+    untyped = F.col("kind").isin(*VALUE_KINDS) & ~typed
     return found.withColumn("kind", F.when(~untyped, F.col("kind")))
 
 
@@ -60,28 +61,30 @@ def _measured_heads(rows: DataFrame) -> DataFrame:
     # `impl<..> [!]Trait for Target where .. {`; the `for` of `for<'a>` is not the divider.
     header = F.when(kind == "impl", F.regexp_replace(bare, r"^[\s\S]*?\bimpl\b\s*", ""))
     named = F.regexp_replace(after_angles(F.col("_header")), r"\bwhere\b[\s\S]*$|\{\z", "")
-    opener = F.col("term").isin(*OPENERS)
+    opener, marked = F.col("term").isin(*OPENERS), F.col("marked")
+    extern = F.when(marked, F.rlike(chunk, F.lit(lx.RUST_EXTERN_BLOCK))).otherwise(F.rlike(chunk, F.lit(lx.RUST_BARE_EXTERN_BLOCK)))
     rows = rows.withColumn("_header", header).withColumn("_impl", named).withColumn(
         "block",
         F.when(opener & F.rlike(chunk, F.lit(lx.RUST_MACRO_OPEN)), "macro")
-        .when(opener & F.rlike(chunk, F.lit(lx.RUST_EXTERN_BLOCK)), "extern")
+        .when((F.col("term") == "{") & F.contains(chunk, F.lit("extern")) & extern, "extern")
         # an attribute that is followed as structure, as it nests deep
-        .when(F.col("term").isin("(", "[") & F.contains(chunk, F.lit("#")) & F.rlike(chunk, F.lit(lx.RUST_ATTRIBUTE_OPEN)), "attribute"),
+        .when(F.col("term").isin("(", "[") & marked & F.rlike(chunk, F.lit(lx.RUST_ATTRIBUTE_OPEN)), "attribute"),
     )
     header = F.col("_impl")
     divided = F.regexp_extract(header, r"^([\s\S]*?)\s+for\b(?!\s*<)([\s\S]*)$", 2)
     target = F.when(divided == "", header).otherwise(divided)
     trait_path = F.regexp_extract(header, r"^\s*!?([\s\S]*?)\s+for\b(?!\s*<)([\s\S]*)$", 1)
     prefix = F.regexp_replace(F.regexp_extract(chunk, lx.RUST_PREFIX, 0), lx.RUST_COMMENT, "")
+    is_test = marked & F.rlike(prefix, F.lit(lx.RUST_TEST_ATTRIBUTE))
     head = F.struct(
         F.coalesce("kind", "block").alias("kind"),
         F.when(kind == "impl", spaced_tokens(target))
         .when(kind.isNotNull(), F.regexp_extract("_head", rf"({lx.RUST_IDENT})\z", 1))
         .alias("name"),
         F.when(kind == "impl", text_or_null(spaced_tokens(trait_path))).alias("trait_path"),
-        F.when((kind == "fn") | (F.col("block") == "attribute"), F.rlike(prefix, F.lit(lx.RUST_TEST_ATTRIBUTE))).alias("is_test"),
+        F.when((kind == "fn") | (F.col("block") == "attribute"), is_test).alias("is_test"),
     )
-    return measured(rows, lx.RUST_LEAD, F.when(kind.isNotNull() | F.col("block").isNotNull(), head))
+    return measured(rows, lx.RUST_LEAD, lx.RUST_MARKED, F.when(kind.isNotNull() | F.col("block").isNotNull(), head))
 
 
 def rust_rows(files: DataFrame) -> DataFrame:

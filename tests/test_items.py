@@ -1,5 +1,7 @@
 import pytest
+from pyspark.sql import functions as F
 
+from srcmetrics.functions import lexical as lx
 from srcmetrics.operators.csharp_items import csharp_items
 from srcmetrics.operators.lines import file_loc
 from srcmetrics.operators.rust_items import rust_items
@@ -186,3 +188,21 @@ def test_file_rows_hold_the_total_of_each_file(files):
     table = files(("a.cs", "var a = 1;\n\nclass A { }\n// x"), ("b.cs", ""), ("c.cs", "class A {\n x"))
     rows = csharp_items(table, with_files=True).filter("category = 'file'").collect()
     assert {r.path: r.loc for r in rows} == {r.path: r.total_loc for r in file_loc(table).collect()}
+
+
+def test_chunks_without_a_prefix_need_no_prefix_pattern(spark):
+    texts = ["\n  pub fn a(", " \f\x0bimpl<T> X {", "\n// c\nfn a() {", "#[test]\nfn t() {", "const A: u8;", "", "\n", "[x] int a;", "extern \"C\" {"]
+    chunk = F.col("chunk")
+    rows = spark.createDataFrame([(t,) for t in texts], "chunk string")
+    bare, marked = F.ltrim(chunk, F.lit(lx.BLANKS)), F.rlike(chunk, F.lit(lx.CS_MARKED))
+    found = rows.select(
+        chunk,
+        (marked | (bare == F.regexp_replace(chunk, lx.CS_PREFIX, ""))).alias("csharp"),
+        (
+            F.rlike(chunk, F.lit(lx.RUST_MARKED))
+            | (F.regexp_extract(chunk, lx.RUST_HEAD, 0) == F.regexp_extract(chunk, lx.RUST_BARE_HEAD, 0))
+        ).alias("rust"),
+        F.rlike(chunk, F.lit(lx.RUST_MARKED)).alias("marked"),
+    ).collect()
+    assert all(r.csharp and r.rust for r in found)
+    assert [r.chunk for r in found if r.marked] == ["\n// c\nfn a() {", "#[test]\nfn t() {"]
