@@ -31,7 +31,7 @@ WINDOW, END_ID = 2048, 1
 ROUNDS, LOOKED_AT, LEAST_GAIN = 300, 4096, 1e-5
 #: Words, and parts of late and of before, kept with their ids in a Python worker; of words, those
 #: of so many symbols at most.
-MEMORY_WORDS, LONGEST_KEPT = 300_000, 64
+MEMORY_WORDS, LONGEST_KEPT = 600_000, 64
 #: Rows that are worked on at once, and bytes of ids after which pieces are handed on.
 SLICE_ROWS, BATCH_BYTES = 512, 8 << 20
 _RANK_BITS = 44

@@ -345,3 +345,22 @@ def test_one_long_conversation(llm):
     edits = repair_conversations(rows).select("edit", "role").collect()
     assert "".join(e.edit for e in edits) == "KR" * 10_000
     assert [e.role for e in edits] == ["user", "assistant"] * 10_000
+
+
+def test_words_that_come_again_are_not_merged_again(monkeypatch):
+    import public_tokenizers
+
+    from srcmetrics.llm.packing import TokenIds
+
+    ids_of, merges = TokenIds(public_tokenizers.path("byte_bpe_50k.json")), []
+    monkeypatch.setattr(ids_of, "_merged", lambda symbols: merges.append(1) or b"")
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = [a + b + c + d for a in letters for b in letters for c in letters for d in letters]
+    words = (words + [f"{w}a" for w in words])[:700_000]
+    texts = [" ".join(words[i : i + 100_000]) for i in range(0, 700_000, 100_000)]
+    for text in texts:
+        ids_of(text)
+    first = len(merges)
+    for text in texts * 2:
+        ids_of(text)
+    assert len(merges) == first
