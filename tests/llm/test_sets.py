@@ -64,6 +64,27 @@ def test_components(llm):
     assert components(llm.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+def test_components_of_few_links_take_few_tasks(llm):
+    wanted = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    kept = {k: llm.conf.get(k, None) for k in wanted}
+    context = llm.sparkContext
+    try:
+        for k, v in wanted.items():
+            llm.conf.set(k, v)
+        context.setJobGroup("few links", "")
+        links = llm.createDataFrame([(i, i - i % 50) for i in range(1000)], "a bigint, b bigint").coalesce(1)
+        got = dict(components(links).collect())
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in kept.items():
+            llm.conf.set(k, v) if v is not None else llm.conf.unset(k)
+    assert got == {i: i - i % 50 for i in range(1000)}
+    known = context.statusTracker()
+    stages = {s for j in known.getJobIdsForGroup("few links") for s in known.getJobInfo(j).stageIds}
+    # stars are known as such: links told apart, counted around each node, and no round
+    assert sum(known.getStageInfo(s).numTasks for s in stages if known.getStageInfo(s)) < 5 * 40
+
+
 def near_copies():
     rng = random.Random(3)
     base = [f"w{rng.randrange(400)}" for _ in range(120)]
