@@ -37,6 +37,13 @@ SLICE_ROWS, BATCH_BYTES = 512, 8 << 20
 _RANK_BITS = 44
 
 
+def _letters_and_mark(part: str) -> tuple[str, str]:
+    """A word of letters and the full stop or comma after it, if any; else nothing."""
+    mark = part[-1:] if part[-1:] in (".", ",") else ""
+    letters = part[:-1] if mark else part
+    return (letters, mark) if letters.isalpha() else ("", "")
+
+
 class TokenIds:
     """Ids of whole texts as the tokenizers library gives them, without added tokens.
 
@@ -63,7 +70,7 @@ class TokenIds:
         self.dtype = "<u2" if self._tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self._cut, self._merge = self._tokenizer.pre_tokenizer, self._tokenizer.model
         self._letters = byte_symbols()
-        self._space = self._letters[ord(" ")]
+        self._space, self._line_feed = self._letters[ord(" ")], self._letters[ord("\n")]
         self._code = "H" if self.dtype == "<u2" else "I"
         self._words: dict[str, bytes] = {}
         #: Parts after a space, those of late and those of before.
@@ -83,23 +90,30 @@ class TokenIds:
     def _merged(self, symbols: str) -> bytes:
         return array(self._code, [t.id for t in self._merge.tokenize(symbols)]).tobytes()
 
+    def _symbols(self, letters: str) -> str:
+        return letters if letters.isascii() else letters.encode().decode("latin-1").translate(self._letters)
+
     def _spaced(self, letters: str) -> bytes:
         """A word of letters after a space."""
         ids = self._parts.get(letters)
         if ids is None:
             ids = self._old_parts.get(letters)
             if ids is None:
-                text = letters if letters.isascii() else letters.encode().decode("latin-1").translate(self._letters)
-                ids = self._merged(self._space + text)
+                ids = self._merged(self._space + self._symbols(letters))
             self._parts[letters] = ids
         return ids
 
     def _part(self, part: str) -> bytes:
         """A part that begins with a space, which is not in it."""
-        if part.isalpha():
-            return self._spaced(part)
-        if part[-1:] in (".", ",") and part[:-1].isalpha():
-            return self._spaced(part[:-1]) + self._word(part[-1])
+        letters, mark = _letters_and_mark(part)
+        if letters:
+            return self._spaced(letters) + self._word(mark) if mark else self._spaced(letters)
+        # one line feed between characters that are no white space is a word of its own
+        head, _, tail = part.partition("\n")
+        letters, mark = _letters_and_mark(tail)
+        if letters and _letters_and_mark(head)[0]:
+            ids = self._part(head) + self._word(self._line_feed) + self._word(self._symbols(letters))
+            return ids + self._word(mark) if mark else ids
         return self._plain(f" {part}")
 
     def _plain(self, text: str) -> bytes:
@@ -112,10 +126,17 @@ class TokenIds:
         # a space between white space is not cut at: there the run of white space is one word
         parts = re.split(r"(?<=\S) (?=\S)", text) if re.search(r"\s (?:\s|\Z)", text) else text.split(" ")
         memory = self._parts
+        before, passing = self._old_parts, []
         for part in set(parts[1:]).difference(memory):
-            ids = self._old_parts.get(part)
-            memory[part] = self._part(part) if ids is None else ids
+            ids = before.get(part)
+            if ids is None:
+                ids = self._merged(self._space + self._symbols(part)) if part.isalpha() else self._part(part)
+            memory[part] = ids
+            if "\n" in part:  # the ends of two lines seldom meet again; their words are kept
+                passing.append(part)
         out = self._plain(parts[0]) + b"".join([memory[p] for p in parts[1:]])
+        for part in passing:
+            del memory[part]
         if len(memory) > MEMORY_WORDS:
             self._old_parts, self._parts = memory, {}
         return out

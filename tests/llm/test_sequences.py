@@ -364,3 +364,17 @@ def test_words_that_come_again_are_not_merged_again(monkeypatch):
     for text in texts * 2:
         ids_of(text)
     assert len(merges) == first
+
+
+def test_parts_with_a_line_feed_are_cut_into_words_that_are_kept(tokenizer, monkeypatch):
+    import public_tokenizers
+
+    ids_of, cut = packing.TokenIds(public_tokenizers.path("byte_bpe_50k.json")), []
+    plain = ids_of._plain
+    monkeypatch.setattr(ids_of, "_plain", lambda text: cut.append(text) or plain(text))
+    text = "one two.\nThree four,\nÉté five\nsix, seven.\neight."
+    assert np.frombuffer(ids_of(text), ids_of.dtype).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert cut == ["one"]
+    assert set(ids_of._parts) == {"two", "four", "five", "seven"}
+    for odd in ("a b.\n c", "a b\n\nc", "a b.\n'sc", "a b \nc", "a b.\n", "a \nb", "a b\nc\nd", "a b1\nc", "a b.\nc1"):
+        assert np.frombuffer(ids_of(odd), ids_of.dtype).tolist() == tokenizer.encode(odd, add_special_tokens=False).ids, repr(odd)
