@@ -147,7 +147,7 @@ def mix_sources(
     block and pass. Equal inputs give equal mixes on any cluster. Documents without words
     take 0, repeated rows count each, a null source is a source, an empty table gives none."""
     docs = stored(docs.select("doc_id", "source", "size"))
-    sources = stored(source_targets(docs, weights, share, most))
+    sources = source_targets(docs, weights, share, most)
     pool = sources.agg(F.sum("target")).first()[0] or 0.0
     block = max(1, math.ceil(pool / slots))
     sources = stored(source_blocks(sources, block))
@@ -163,7 +163,9 @@ def mix_sources(
         .drop("_source", "source_rows")
     )
     empty = placed.filter("size = 0").drop("_hash", "_chunk", "rank", "_block").withColumn("taken", F.lit(0).cast("bigint"))
-    stream = _ahead(placed.filter("size > 0"), ["rank"], "_chunk", ["_hash", "doc_id", "size"], F.col("size"))
+    # documents and slots are put in order by plans of their own: all stages of a plan that can
+    # run are held by the driver at once
+    stream = stored(_ahead(placed.filter("size > 0"), ["rank"], "_chunk", ["_hash", "doc_id", "size"], F.col("size")).drop("_hash", "_chunk"))
     pieces = stream.withColumn(
         "block", F.explode(F.sequence(F.expr("start div _block"), F.expr("(start + size - 1) div _block")))
     ).withColumn(
@@ -179,7 +181,7 @@ def mix_sources(
         .filter(F.col("turn") < most * F.col("_blocks"))
         .select("slot", "rank", F.expr("turn % _blocks").alias("block"), F.expr("turn div _blocks").alias("pass"))
     )
-    times = dealt.groupBy("rank", "block").agg(F.count("*").alias("_times"))
+    times = stored(dealt.groupBy("rank", "block").agg(F.count("*").alias("_times")))
     taken = (
         pieces.join(times, ["rank", "block"], "left")
         .groupBy("rank", "start", "doc_id", "source", "size", "source_size", "target")

@@ -73,6 +73,13 @@ def test_mix(llm, edges, nothing):
     assert mix_sources(nothing.select("doc_id", "source", F.lit(0).cast("bigint").alias("size")))[0].count() == 0
 
 
+def test_mix_is_not_one_plan(llm):
+    rows = [(i, "abc"[i % 3], i % 7) for i in range(60)]
+    mixed, _ = mix_sources(llm.createDataFrame(rows, "doc_id bigint, source string, size bigint"))
+    plan = mixed._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 6  # blocks meet their times, and their parts meet
+
+
 def test_mix_reaches_tiny_sources_beside_a_hot_one(llm):
     rows = [(i, "hot", 5000) for i in range(2000)]
     tiny = {"a": [1], "b": [2, 1], "c": [40] * 3, "d": [30] * 40, "e": [100] * 60, None: [9]}

@@ -85,6 +85,28 @@ def test_components_of_few_links_take_few_tasks(llm):
     assert sum(known.getStageInfo(s).numTasks for s in stages if known.getStageInfo(s)) < 5 * 40
 
 
+def test_rounds_of_few_links_take_few_tasks(llm):
+    context = llm.sparkContext
+    many = 8 * context.defaultParallelism
+    wanted = {"spark.sql.shuffle.partitions": str(many), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    kept = {k: llm.conf.get(k, None) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            llm.conf.set(k, v)
+        context.setJobGroup("few links, some rounds", "")
+        links = llm.createDataFrame([(i, i + 1) for i in range(30)], "a bigint, b bigint").coalesce(1)
+        got = dict(components(links).collect())
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in kept.items():
+            llm.conf.set(k, v) if v is not None else llm.conf.unset(k)
+    assert got == dict.fromkeys(range(31), 0)
+    known = context.statusTracker()
+    stages = {s for j in known.getJobIdsForGroup("few links, some rounds") for s in known.getJobInfo(j).stageIds}
+    # only the given links, whose number is not known as yet, are told apart in all partitions
+    assert sum(known.getStageInfo(s).numTasks == many for s in stages if known.getStageInfo(s)) <= 2
+
+
 def near_copies():
     rng = random.Random(3)
     base = [f"w{rng.randrange(400)}" for _ in range(120)]
