@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from srcmetrics.llm import lines as ln
 from srcmetrics.llm import shingles as sh
@@ -262,6 +263,22 @@ def test_line_join_finds_every_link(llm):
     assert got == {(d, k): (*first[x], first[x] == (d, k)) for d, k, x in flat}
 
 
+def test_only_shared_keys_of_lines_are_kept(llm, monkeypatch):
+    """A line's keys that no other line has are never made into rows."""
+    seen = []
+    monkeypatch.setattr(ln, "linked_components", lambda keys, *a, **b: seen.append(keys) or ln.stored(keys.select("node", F.col("node").alias("root")).limit(0)))
+    rng = random.Random(5)
+    alone = ["".join(rng.choice("abcdefghij klm") for _ in range(400)) for _ in range(6)]
+    passage = "one passage of more than forty characters that two of the lines have"
+    texts = [*alone, alone[0][:200] + passage + alone[1][:200], alone[2][:200] + passage + alone[3][:200]]
+    table = llm.createDataFrame([(x,) for x in texts], "line string").withColumn("node", F.xxhash64("line"))
+    ln.near_lines(table.unionByName(table).repartition(3))
+    (keys,) = seen
+    held = collections.Counter(r.key for r in keys.select("key", "node").distinct().collect())
+    assert held and min(held.values()) > 1
+    assert keys.select("node").distinct().count() == 6
+
+
 def test_line_join_edges(edges, nothing):
     got = collections.Counter(map(tuple, ln.dedup_lines(edges).collect()))
     assert got[(1, 1, 1, 1, True)] == 1 and got[(2, 1, 1, 1, False)] == 2
