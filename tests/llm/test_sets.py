@@ -316,3 +316,65 @@ def test_any_number_of_edits():
     assert [ln.edit_distance(x, y) for x, y in zip(a, b)] == [distance(x, y) for x, y in zip(a, b)]
     want = [distance(x, y) <= ln.threshold(min(len(x), len(y))) for x, y in zip(a, b)]
     assert ln.near(a, b).tolist() == want
+
+
+@pytest.mark.parametrize("top,most", [(90, 40), (200, 70), (330, 150)])
+def test_bands_of_several_words(top, most, monkeypatch):
+    """Each pair has its own number of edits, and bands are wider than one word."""
+    rng = random.Random(top)
+    a = ["".join(rng.choice("abé\U0001f600") for _ in range(rng.randrange(top))) for _ in range(80)]
+    b = [edited(rng, x, rng.randrange(most)) if rng.random() < 0.9 else x[: top // 3] for x in a]
+    have = np.array([distance(x, y) for x, y in zip(a, b)])
+    limits = np.array([rng.randrange(most) for _ in a])
+    assert (ln.within_threshold(a, b, limits) == (have <= limits)).all()
+    assert all((ln.edit_distance(x, y, int(k)) <= k) == (d <= k) for x, y, d, k in zip(a, b, have, limits))
+    monkeypatch.setattr(ln, "MASK_BYTES", 5000)  # a few pairs at once
+    assert (ln.within_threshold(a, b, limits) == (have <= limits)).all()
+
+
+def test_rows_of_a_key_meet_once(monkeypatch):
+    """Pivots meet all rows of their key, then the others each other, wherever batches end."""
+    from srcmetrics.llm import linking
+
+    monkeypatch.setattr(linking, "GROUP_ROWS", 5)
+    monkeypatch.setattr(linking, "GROUP_PAIRS", 7)
+    rng = random.Random(21)
+    rows = sorted({(rng.randrange(12) ** 2 // 12, rng.randrange(60)) for _ in range(160)})
+    root = lambda node: node // 3
+    index = lambda key, node: (key + node) % 3 > 0
+    near = lambda x, y: np.abs(x("v") - y("v")) <= 40
+    names = ["key", "node", "v", "index"]
+
+    def meet(rows, pivots):
+        table = pa.table({
+            "key": [k for k, _ in rows], "node": [n for _, n in rows], "v": [n * 7 % 61 for _, n in rows],
+            "index": [index(k, n) for k, n in rows], "root": [root(n) for _, n in rows],
+        })
+        found = [r for x in linking._meet(names, near, pivots)(iter(table.to_batches(max_chunksize=3))) for r in x.to_pylist()]
+        return [(r["node"], r["other"]) for r in found if r["other"] is not None], [(r["key"], r["node"]) for r in found if r["other"] is None]
+
+    want = collections.Counter()
+    for k, n in rows:
+        for j, m in rows:
+            if k == j and n < m and root(n) != root(m) and (index(k, n) or index(k, m)) and abs(n * 7 % 61 - m * 7 % 61) <= 40:
+                want[n, m] += 1
+    first, rest = meet(rows, 2)
+    second, left = meet(sorted(rest), 2)
+    last, nothing = meet(sorted(left), None)
+    assert not nothing and len(left) < len(rest) < len(rows)
+    assert set(first) | set(second) | set(last) == set(want)
+    assert len(first) + len(second) + len(last) <= sum(want.values())
+
+
+def test_pairs_of_lines_are_verified_once(llm, monkeypatch):
+    """Lines that share a passage and are not near are held against each other one time."""
+    seen = []
+    monkeypatch.setattr(ln, "stored", lambda df, real=ln.stored: seen.append(real(df)) or seen[-1])
+    rng = random.Random(3)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = text(120) + "."
+    texts = [text(60) + "<" + passage + ">" + text(60) for _ in range(40)]
+    assert ln.near_lines(llm.createDataFrame([(x,) for x in texts], "line string").withColumn("node", F.xxhash64("line"))).count() == 0
+    tried = [x for x in seen if x.columns == ["a", "b"]][::2]
+    pairs = collections.Counter(tuple(r) for x in tried for r in x.collect())
+    assert len(pairs) > 300 and max(pairs.values()) == 1
