@@ -328,10 +328,24 @@ def test_bands_of_several_words(top, most, monkeypatch):
     limits = np.array([rng.randrange(most) for _ in a])
     assert (ln.within_threshold(a, b, limits) == (have <= limits)).all()
     assert all((ln.edit_distance(x, y, int(k)) <= k) == (d <= k) for x, y, d, k in zip(a, b, have, limits))
+    told = ln.within_threshold(a, b, limits, 20)
+    assert told[have <= limits].all() and not told.all()
     monkeypatch.setattr(ln, "MASK_BYTES", 5000)  # a few pairs at once
     assert (ln.within_threshold(a, b, limits) == (have <= limits)).all()
 
 
+def test_heads_tell_lines_apart(monkeypatch):
+    """Long lines in batches, of which some have nothing in common, as their whole lines tell."""
+    rng = random.Random(8)
+    a = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(300, 420))) for _ in range(90)]
+    b = [x if k % 3 else y for k, (x, y) in enumerate(zip(a, a[1:] + a[:1]))]
+    b = [edited(rng, x, rng.randrange(45)) for x in b]
+    heads = []
+    monkeypatch.setattr(ln, "within_threshold", lambda x, y, most, head=None, real=ln.within_threshold: heads.append(head) or real(x, y, most, head))
+    assert ln.near(a, b).tolist() == [distance(x, y) <= ln.threshold(min(len(x), len(y))) for x, y in zip(a, b)]
+    assert any(heads)
+
+
 def test_rows_of_a_key_meet_once(monkeypatch):
     """Pivots meet all rows of their key, then the others each other, wherever batches end."""
     from srcmetrics.llm import linking
